@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from veridraft import domains as D
 from veridraft.functions.columns import audit_key, mapped, or_default, truthy
 from veridraft.functions.texts import non_blank
-from veridraft.operators.ordered import hour_chunk, position
-from veridraft.operators.scoring import rescore
+from veridraft.operators.ordered import GROUP_ROWS, hour_chunk, position
+from veridraft.operators.scoring import rescore_decided
 
 AUDIT_MISSING = "Audit not found"
 FLAG_MISSING = "Flag not found"
@@ -25,23 +25,21 @@ def split_decisions(
     decisions: DataFrame, audits: DataFrame, flags: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """A65. (accepted, rejected with ``reason``); every decision is in exactly one."""
-    audit_keys = audits.select(
-        audit_key(F.col("audit_id")).alias("_k"), F.lit(True).alias("_audit")
-    ).distinct()
-    flag_keys = flags.select(
-        audit_key(F.col("audit_id")).alias("_k"), "flag_id", F.lit(True).alias("_flag")
-    ).distinct()
-    judged = (
-        decisions.withColumn("_k", audit_key(F.col("audit_id")))
+    keyed = decisions.withColumn("_k", audit_key(F.col("audit_id")))
+    audit_keys = audits.select(audit_key(F.col("audit_id")).alias("_k"), F.lit(True).alias("_audit")).distinct()
+    flag_keys = flags.select(audit_key(F.col("audit_id")).alias("_k"), "flag_id").distinct()
+    # judged once per (audit, flag) pair; the log itself only meets the rejected pairs
+    refused = (
+        keyed.select("_k", "flag_id").distinct()
+        .join(flag_keys, ["_k", "flag_id"], "left_anti")
         .join(audit_keys, "_k", "left")
-        .join(flag_keys, ["_k", "flag_id"], "left")
-        .withColumn(
-            "reason",
-            F.when(F.col("_audit").isNull(), AUDIT_MISSING).when(F.col("_flag").isNull(), FLAG_MISSING),
+        .select(
+            "_k", "flag_id", F.when(F.col("_audit"), FLAG_MISSING).otherwise(AUDIT_MISSING).alias("reason")
         )
-        .select(*decisions.columns, "reason")
     )
-    return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
+    accepted = keyed.join(refused, ["_k", "flag_id"], "left_anti").select(*decisions.columns)
+    rejected = keyed.join(refused, ["_k", "flag_id"]).select(*decisions.columns, "reason")
+    return accepted, rejected
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
@@ -82,14 +80,14 @@ def apply_decisions(flags: DataFrame, decisions: DataFrame) -> DataFrame:
     return merge_decisions(flags, latest_decisions(decisions))
 
 
-def decision_history(decisions: DataFrame) -> DataFrame:
+def decision_history(decisions: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """A64. The log with the 1-based ``step`` of each entry on its flag; raw notes.
 
     Ordered rows rather than one array per flag: a flag may be decided any number of times.
     """
     keyed = decisions.withColumn("_k", audit_key(F.col("audit_id")))
     return position(
-        keyed, ["_k", "flag_id"], [F.col("ts"), F.col("decision_id")], hour_chunk(), "step"
+        keyed, ["_k", "flag_id"], [F.col("ts"), F.col("decision_id")], hour_chunk(), "step", group_rows
     ).drop("_k")
 
 
@@ -113,22 +111,8 @@ def process_decisions(audits: DataFrame, flags: DataFrame, decisions: DataFrame)
     accepted, rejected = split_decisions(decisions, audits, flags)
     # decisions on unknown flags drop out of this join by themselves
     current = apply_decisions(flags, decisions)
-    counts = current.groupBy("audit_id").agg(F.sum("decision_count").alias("_n")).where("_n > 0")
-    scored = rescore(audits, current)
-    old = "reviewer_decision_count"
-    before = (
-        audits.select("audit_id", F.coalesce(old, F.lit(0)).alias("_old"))
-        if old in audits.columns
-        else audits.select("audit_id", F.lit(0).alias("_old"))
-    )
-    touched = (
-        scored.join(counts, "audit_id")
-        .join(before, "audit_id")
-        .withColumn(old, (F.col("_old") + F.col("_n")).cast("int"))
-        .drop("_n", "_old")
-    )
     return {
-        "audits": touched,
+        "audits": rescore_decided(audits, current),
         "flags": current,
         "history": decision_history(accepted),
         "rejected": rejected,

@@ -1,10 +1,14 @@
-"""Ordered computations inside groups that may be very large.
+"""Ordered computations inside groups, safe for groups of any size.
 
-A plain window over ``partitionBy(key)`` puts a whole group into one task. Here a
-group is cut into *chunks* by a value that never decreases along the wanted order
-(an hour, a block of positions). Rows are shuffled by (key, chunk); the chunks of
-one key are then chained through a small per-chunk summary. Results equal the plain
-window exactly.
+A window over ``partitionBy(key)`` puts a whole group into one task. That is right for
+ordinary groups and hopeless for one that holds a third of the table. So groups with more
+than ``group_rows`` rows are cut into *chunks* by a value that never decreases along the
+wanted order (an hour, a block of positions); rows are shuffled by (key, chunk), and the
+chunks of such a key are chained through a small per-chunk summary. The results are those
+of the plain window.
+
+Finding the large groups is one aggregation over the key columns. There are at most
+rows / group_rows of them (a million at 10^12 rows), which bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -12,10 +16,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+GROUP_ROWS = 1_000_000
+
 
-def _with_chunks(df: DataFrame, chunk: list[Column]) -> tuple[DataFrame, list[str]]:
+def _cut(df: DataFrame, keys: list[str], chunk: list[Column], group_rows: int) -> tuple[DataFrame, list[str]]:
+    """Add chunk columns: NULL in ordinary groups, ``chunk`` in large ones."""
     names = [f"_chunk{i}" for i in range(len(chunk))]
-    return df.withColumns(dict(zip(names, chunk))), names
+    if not keys:
+        return df.withColumns({**dict(zip(names, chunk)), "_large": F.lit(True)}), names
+    large = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > group_rows)
+        .select(*keys, F.lit(True).alias("_large"))
+    )
+    marked = df.join(F.broadcast(large), keys, "left")
+    return marked.withColumns({n: F.when(F.col("_large"), c) for n, c in zip(names, chunk)}), names
 
 
 def running_sum(
@@ -24,70 +39,76 @@ def running_sum(
     order_by: list[Column],
     chunk: list[Column],
     values: dict[str, Column],
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Add inclusive running sums (``values``: new column -> summed expression).
 
-    ``keys`` may be empty: then the chunk summary (rows / chunk size) is the only
-    thing that meets in one task.
+    Without keys everything is one group: then only the chunk summary (rows / chunk size)
+    meets in one task. ``df`` is read twice; hand in a table or a cheap plan.
     """
-    work, chunks = _with_chunks(df, chunk)
+    work, chunks = _cut(df, keys, chunk, group_rows)
     work = work.withColumns({f"_v_{n}": F.coalesce(v, F.lit(0)) for n, v in values.items()})
+    within = (
+        Window.partitionBy(*keys, *chunks)
+        .orderBy(*order_by)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     before = (
         Window.partitionBy(*keys).orderBy(*chunks).rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        work.groupBy(*keys, *chunks)
+        work.where("_large").groupBy(*keys, *chunks)
         .agg(*[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in values])
         .select(
             *keys, *chunks, *[F.sum(f"_p_{n}").over(before).alias(f"_b_{n}") for n in values]
         )
-        # first chunks need no offset; usually that is every chunk
-        .where(F.col(f"_b_{next(iter(values))}").isNotNull())
     )
-    within = (
-        Window.partitionBy(*keys, *chunks)
-        .orderBy(*order_by)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        work.withColumns({n: F.sum(f"_v_{n}").over(within) for n in values})
+        # same partitioning as the window: no further shuffle
+        .join(offsets, [*keys, *chunks], "left")
+        .withColumns({n: F.col(n) + F.coalesce(F.col(f"_b_{n}"), F.lit(0)) for n in values})
+        .drop(*chunks, "_large", *[f"_v_{n}" for n in values], *[f"_b_{n}" for n in values])
     )
-    inner = work.withColumns({n: F.sum(f"_v_{n}").over(within) for n in values})
-    joined = inner.join(offsets, [*keys, *chunks], "left")
-    return joined.withColumns(
-        {n: F.col(n) + F.coalesce(F.col(f"_b_{n}"), F.lit(0)) for n in values}
-    ).drop(*chunks, *[f"_v_{n}" for n in values], *[f"_b_{n}" for n in values])
 
 
 def position(
-    df: DataFrame, keys: list[str], order_by: list[Column], chunk: list[Column], out: str
+    df: DataFrame,
+    keys: list[str],
+    order_by: list[Column],
+    chunk: list[Column],
+    out: str,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """1-based position inside the group (inside everything if no keys)."""
-    return running_sum(df, keys, order_by, chunk, {out: F.lit(1).cast("bigint")})
+    return running_sum(df, keys, order_by, chunk, {out: F.lit(1).cast("bigint")}, group_rows)
 
 
-def previous_value(
+def last_before(
     df: DataFrame,
     keys: list[str],
     order_by: list[str],
     chunk: list[Column],
     value: str,
     out: str,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Value of the row before this one in the group, NULL for the first (values
-    themselves must not be NULL)."""
-    work, chunks = _with_chunks(df, chunk)
-    last = work.groupBy(*keys, *chunks).agg(
-        F.max_by(F.col(value), F.struct(*order_by)).alias("_last")
+    """Add the last non-NULL ``value`` of the rows before this one in its group."""
+    work, chunks = _cut(df, keys, chunk, group_rows)
+    earlier = (Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys, *chunks).orderBy(*order_by).rowsBetween(*earlier)
+    between = Window.partitionBy(*keys).orderBy(*chunks).rowsBetween(*earlier)
+    at = F.when(F.col(value).isNotNull(), F.struct(*order_by))
+    carried = (
+        work.where("_large").groupBy(*keys, *chunks)
+        .agg(F.max_by(F.col(value), at).alias("_last"))
+        .select(*keys, *chunks, F.last("_last", ignorenulls=True).over(between).alias("_carry"))
     )
-    carried = last.select(
-        *keys,
-        *chunks,
-        F.lag("_last").over(Window.partitionBy(*keys).orderBy(*chunks)).alias("_carry"),
-    ).where("_carry IS NOT NULL")
-    within = Window.partitionBy(*keys, *chunks).orderBy(*order_by)
     return (
-        work.withColumn(out, F.lag(value).over(within))
+        work.withColumn(out, F.last(value, ignorenulls=True).over(within))
         .join(carried, [*keys, *chunks], "left")
         .withColumn(out, F.coalesce(out, "_carry"))
-        .drop("_carry", *chunks)
+        .drop("_carry", "_large", *chunks)
     )
 
 

@@ -54,7 +54,8 @@ def match_paragraphs(
     Audits with few prefixes test them in place against an array of at most ``small``
     entries. Audits with many prefixes never pair every paragraph with every flag: their
     paragraphs are cut into substrings of the prefix lengths in use, and equal strings are
-    joined, which also spreads a very large audit over many tasks.
+    joined, which also spreads a very large audit over many tasks. Both kinds pass through
+    one join, so paragraphs are shuffled once.
     """
     first = (
         flags.withColumn("prefix", claim_prefix(F.col("claim"), prefix_chars))
@@ -64,39 +65,53 @@ def match_paragraphs(
     )
     sizes = first.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
-        # at most prefix_chars + 1 different lengths
-        F.collect_set(F.length("prefix")).alias("_lengths"),
+        # at most prefix_chars different lengths
+        F.collect_set(F.when(F.col("prefix") != "", F.length("prefix"))).alias("_lengths"),
+        F.min(F.when(F.col("prefix") == "", F.col("hit"))).alias("_always"),
     )
+    is_small = F.col("_n") <= small
     few = (
-        first.join(sizes.where(F.col("_n") <= small).select(key), key, "left_semi")
+        first.join(sizes.where(is_small).select(key), key, "left_semi")
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("hit", "prefix"))).alias("_prefixes"))
     )
-    in_place = paras.join(few, key).select(
-        key,
-        "para_no",
-        let(
-            F.lower("para"),
-            lambda para: F.get(
-                F.filter("_prefixes", lambda p: F.contains(para, p["prefix"])), F.lit(0)
-            )["hit"],
-        ).alias("hit"),
+    info = sizes.join(few, key, "left").select(
+        key, "_prefixes", F.when(~is_small, F.col("_lengths")).alias("_lengths"),
+        F.when(~is_small, F.col("_always")).alias("_always"),
     )
-    many = sizes.where(F.col("_n") > small).select(key, "_lengths")
-    lower_paras = paras.withColumn("para", F.lower("para"))
-    pieces = (
-        lower_paras.join(many, key)
-        .select(key, "para_no", "para", F.explode(F.filter("_lengths", lambda n: n > 0)).alias("_n"))
-        .select(key, "para_no", F.explode(all_substrings(F.col("para"), F.col("_n"))).alias("prefix"))
-    )
-    by_piece = pieces.join(first, [key, "prefix"]).select(key, "para_no", "hit")
-    by_empty = paras.select(key, "para_no").join(
-        first.where("prefix = ''").join(many.select(key), key, "left_semi").select(key, "hit"), key
+
+    def in_place(para: Column) -> Column:
+        hits = F.filter("_prefixes", lambda p: F.contains(para, p["prefix"]))
+        return F.transform(
+            F.slice(hits, 1, 1), lambda p: F.struct(p["hit"].alias("hit"), F.lit(None).cast("string").alias("prefix"))
+        )
+
+    def by_pieces(para: Column) -> Column:
+        pieces = F.flatten(F.transform("_lengths", lambda n: all_substrings(para, n)))
+        cut = F.transform(
+            pieces, lambda s: F.struct(F.col("_no_hit").alias("hit"), s.alias("prefix"))
+        )
+        always = F.struct(F.col("_always").alias("hit"), F.lit(None).cast("string").alias("prefix"))
+        return F.when(F.col("_always").isNull(), cut).otherwise(F.array_append(cut, always))
+
+    no_hit = F.lit(None).cast(first.schema["hit"].dataType)
+    candidates = (
+        paras.join(info.withColumn("_no_hit", no_hit), key)
+        .select(
+            key, "para_no",
+            F.explode(
+                let(
+                    F.lower("para"),
+                    lambda p: F.when(F.col("_prefixes").isNotNull(), in_place(p)).otherwise(by_pieces(p)),
+                )
+            ).alias("c"),
+        )
+        .select(key, "para_no", "c.hit", "c.prefix")
     )
     return (
-        in_place.where("hit IS NOT NULL")
-        .unionByName(by_piece)
-        .unionByName(by_empty)
+        candidates.join(first.withColumnRenamed("hit", "_found"), [key, "prefix"], "left")
+        .select(key, "para_no", F.coalesce("hit", "_found").alias("hit"))
+        .where("hit IS NOT NULL")
         .groupBy(key, "para_no")
         .agg(F.min("hit").alias("hit"))
         .select(key, "para_no", F.col("hit.flag_id").alias("flag_id"))

@@ -82,7 +82,7 @@ def _fold(items: Column) -> Column:
     return F.aggregate(items, F.lit(""), lambda h, x: F.sha2(F.concat(h, x).cast("binary"), 256))
 
 
-def claim_root(claims: DataFrame, key: str, number: str, text: str, fan_out: int = 1024, levels: int = 4) -> DataFrame:
+def claim_root(claims: DataFrame, key: str, number: str, text: str, fan_out: int = 1024, levels: int = 3) -> DataFrame:
     """B10. Digest root over the claims of each audit in claim-number order.
 
     Up to ``fan_out`` claims this is the plain chain h <- sha256(h || claim). A chain cannot
@@ -102,7 +102,8 @@ def claim_root(claims: DataFrame, key: str, number: str, text: str, fan_out: int
         if level:
             digest = F.when(F.size("xs") == 1, F.col("xs")[0]).otherwise(digest)
         rows = gathered.select(key, F.col("b").alias("n"), digest.alias("x"))
-    return rows.select(key, F.col("x").alias("claim_tree_root"))
+    too_long = F.raise_error(F.lit("more claims than fan_out ^ levels"))
+    return rows.select(key, F.when(F.col("n") > 0, too_long).otherwise(F.col("x")).alias("claim_tree_root"))
 
 
 def check_claim_roots(claims: DataFrame, stated: DataFrame, key: str, number: str, text: str, **kw) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridraft.functions.arrays import dot
+from veridraft.session import materialise
 
 K1 = 1.2
 B = 0.75
@@ -18,37 +21,52 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NON_WORD), lambda w: w != "")
 
 
-def passage_postings(passages: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(postings(key, term, weight), terms(term, df, idf)) of an inverted index.
+@dataclass(frozen=True)
+class PassageIndex:
+    """Inverted index of the source passages, stored as two tables.
+
+    postings(passage key, term, df, idf, weight): weight is the saturated, length-normalised
+    term frequency; idf * weight is what the term adds to a score.
+    terms(term, df, idf).
+    """
+
+    key: str
+    postings: DataFrame
+    terms: DataFrame
+
+
+def build_index(passages: DataFrame, key: str = "passage_id", text: str = "text") -> PassageIndex:
+    """B06. Build the index once; any number of claim batches can use it.
 
-    weight is the saturated, length-normalised term frequency; a term's share of the
-    score is idf * weight. Corpus totals enter as scalar subqueries, not as a join.
+    Corpus totals enter as scalar subqueries, not as a join. The tables are written, since
+    every later step reads them several times.
     """
     tokens = passages.select(key, words(F.col(text)).alias("_w")).withColumn("_len", F.size("_w"))
     mean_len = tokens.agg(F.avg("_len")).scalar()
     total = tokens.agg(F.count(F.lit(1))).scalar()
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("_len") / mean_len)
-    postings = (
+    counted = (
         tokens.select(key, "_len", F.explode("_w").alias("term"))
         .groupBy(key, "term", "_len")
         .agg(F.count(F.lit(1)).alias("tf"))
         .select(key, "term", (F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + norm)).alias("weight"))
     )
+    counted = materialise(counted, "postings")
     df = F.col("df")
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn(
-        "idf", F.log(F.lit(1) + (total - df + 0.5) / (df + 0.5))
+    terms = materialise(
+        counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        .withColumn("idf", F.log(F.lit(1) + (total - df + 0.5) / (df + 0.5))),
+        "terms",
     )
-    return postings, terms
+    return PassageIndex(key, materialise(counted.join(terms, "term"), "index"), terms)
 
 
 def bm25_top_k(
     claims: DataFrame,
-    passages: DataFrame,
+    index: PassageIndex,
     k: int = 3,
     claim_key: str = "claim_id",
     claim_text: str = "text",
-    passage_key: str = "passage_id",
-    passage_text: str = "text",
     rare_df: int = RARE_DF,
 ) -> DataFrame:
     """B06. The k best passages of each claim: exact BM25, ties by passage id.
@@ -61,27 +79,27 @@ def bm25_top_k(
     2. a passage sharing only common terms can still win if those terms together can reach
        the claim's k-th score so far. Only common terms that could make that happen are
        joined - none for most claims.
+
+    Without any common term the first round is already complete.
     """
-    c, p = claim_key, passage_key
-    postings, terms = passage_postings(passages, p, passage_text)
-    query = (
-        claims.select(c, F.explode(F.array_distinct(words(F.col(claim_text)))).alias("term"))
-        .join(terms, "term")
-    )
-    rare, common = F.col("df") <= rare_df, F.col("df") > rare_df
-    common_terms = terms.where(common).select("term")
+    c, p = claim_key, index.key
+    query = claims.select(c, F.explode(F.array_distinct(words(F.col(claim_text)))).alias("term"))
+    rare_postings = index.postings.where(F.col("df") <= rare_df)
+    common_postings = index.postings.where(F.col("df") > rare_df)
+    common_terms = index.terms.where(F.col("df") > rare_df).select("term", "idf")
 
-    rare_pairs = (
-        query.where(rare).join(postings, "term").groupBy(c, p)
-        .agg(F.sum(F.col("idf") * F.col("weight")).alias("rare_score"))
-    )
+    def rare_scores(terms: DataFrame) -> DataFrame:
+        pairs = terms.join(rare_postings, "term")
+        return pairs.groupBy(c, p).agg(F.sum(F.col("idf") * F.col("weight")).alias("rare_score"))
+
+    if common_terms.isEmpty():
+        return _best(rare_scores(query).select(c, p, F.round("rare_score", 6).alias("score")), c, p, k)
+
+    query_common = query.join(common_terms, "term")
     # bounded by the words of one claim / one passage
-    claim_common = query.where(common).groupBy(c).agg(
-        F.collect_list(F.struct("term", "idf")).alias("_terms")
-    )
-    passage_common = (
-        postings.join(common_terms, "term", "left_semi").groupBy(p)
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("_weights"))
+    claim_common = query_common.groupBy(c).agg(F.collect_list(F.struct("term", "idf")).alias("_terms"))
+    passage_common = common_postings.groupBy(p).agg(
+        F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("_weights")
     )
 
     def scored(pairs: DataFrame) -> DataFrame:
@@ -95,24 +113,27 @@ def bm25_top_k(
             .select(c, p, F.round(F.col("rare_score") + extra, 6).alias("score"))
         )
 
-    first = _best(scored(rare_pairs), c, p, k)
+    first = materialise(_best(scored(rare_scores(query)), c, p, k), "first-round")
     kth = first.groupBy(c).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
     # what this term and all less valuable common terms of the claim can add at most
     reach = F.sum(F.col("idf") * F.lit(K1 + 1)).over(
         Window.partitionBy(c).orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, 0)
     )
-    essential = (
-        query.where(common).withColumn("_reach", reach).join(kth, c, "left")
+    essential = materialise(
+        query_common.withColumn("_reach", reach).join(kth, c, "left")
         .where((F.coalesce("_n", F.lit(0)) < k) | (F.col("_reach") >= F.col("_kth") - 1e-6))
-        .select(c, "term")
+        .select(c, "term"),
+        "essential-terms",
     )
-    late_pairs = (
-        essential.join(postings.select(p, "term"), "term").select(c, p).distinct()
-        .join(rare_pairs.select(c, p), [c, p], "left_anti")
-        .withColumn("rare_score", F.lit(0.0))
+    # the claims that need the second round, with everything they share
+    needy = query.join(essential.select(c).distinct(), c, "left_semi")
+    late = (
+        essential.join(common_postings.select(p, "term"), "term").select(c, p).distinct()
+        .join(rare_scores(needy), [c, p], "left")
+        .select(c, p, F.coalesce("rare_score", F.lit(0.0)).alias("rare_score"))
     )
-    every = first.select(c, p, "score").unionByName(scored(late_pairs))
-    return _best(every, c, p, k)
+    both = first.select(c, p, "score").unionByName(scored(late)).groupBy(c, p).agg(F.max("score").alias("score"))
+    return _best(both, c, p, k)
 
 
 def _best(pairs: DataFrame, c: str, p: str, k: int) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridraft import domains as D
 from veridraft.functions.columns import audit_key, is_active
 from veridraft.functions.scores import clamp_score, risk_band
-from veridraft.operators.ordered import block_chunk, hour_chunk, previous_value, running_sum
+from veridraft.operators.ordered import GROUP_ROWS, block_chunk, hour_chunk, last_before, running_sum
+from veridraft.session import materialise
 
 
 def active_totals(flags: DataFrame) -> DataFrame:
@@ -25,22 +26,34 @@ def rescore(audits: DataFrame, flags: DataFrame) -> DataFrame:
     overwritten together with the reviewed score, and the decision counter grows by one,
     as the original does. Audits without active flags score 100 and become VERIFIED.
     """
+    return _scored(audits.join(active_totals(flags), "audit_id", "left"), F.lit(1))
+
+
+def rescore_decided(audits: DataFrame, flags: DataFrame) -> DataFrame:
+    """A67. Rescore only audits whose flags were decided on; the decision counter grows by
+    the number of decisions. ``flags`` has a ``decision_count`` (see ``merge_decisions``)."""
+    active = is_active(F.col("status"))
+    totals = flags.groupBy("audit_id").agg(
+        F.sum(F.when(active, F.col("impact_score"))).alias("active_impact"),
+        F.count_if(active).alias("active_count"),
+        F.sum("decision_count").alias("_decisions"),
+    ).where("_decisions > 0")
+    return _scored(audits.join(totals, "audit_id"), F.col("_decisions")).drop("_decisions")
+
+
+def _scored(joined: DataFrame, decisions: Column) -> DataFrame:
     score = clamp_score(F.lit(D.BASELINE_SCORE) + F.coalesce("active_impact", F.lit(0))).cast("int")
     count = F.coalesce("active_count", F.lit(0)).cast("int")
-    old = F.col("reviewer_decision_count") if "reviewer_decision_count" in audits.columns else F.lit(0)
-    return (
-        audits.join(active_totals(flags), "audit_id", "left")
-        .withColumns({
-            "trust_score": score,
-            "risk_band": risk_band(score),
-            "reviewed_score": score,
-            "reviewed_risk_band": risk_band(score),
-            "reviewer_decision_count": (F.coalesce(old, F.lit(0)) + 1).cast("int"),
-            "findings_count": count,
-            "status": F.when(count == 0, "VERIFIED").otherwise("REVIEW REQUIRED"),
-        })
-        .drop("active_impact", "active_count")
-    )
+    old = F.col("reviewer_decision_count") if "reviewer_decision_count" in joined.columns else F.lit(0)
+    return joined.withColumns({
+        "trust_score": score,
+        "risk_band": risk_band(score),
+        "reviewed_score": score,
+        "reviewed_risk_band": risk_band(score),
+        "reviewer_decision_count": (F.coalesce(old, F.lit(0)) + decisions).cast("int"),
+        "findings_count": count,
+        "status": F.when(count == 0, "VERIFIED").otherwise("REVIEW REQUIRED"),
+    }).drop("active_impact", "active_count")
 
 
 def result_summary(
@@ -101,7 +114,7 @@ def result_summary(
     )
 
 
-def waterfall(audits: DataFrame, flags: DataFrame) -> DataFrame:
+def waterfall(audits: DataFrame, flags: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """B01. Step 0 is the baseline; one step per active flag in array order.
 
     ``score_after`` is the running, unclamped score. ``final_score`` is filled on the last
@@ -116,6 +129,7 @@ def waterfall(audits: DataFrame, flags: DataFrame) -> DataFrame:
         [F.col("ord")],
         block_chunk("ord"),
         {"_total": F.col("deduction"), "step": F.lit(1)},
+        group_rows,
     )
     last = active.groupBy("audit_id").agg(F.count(F.lit(1)).alias("_last"))
     start = audits.select(
@@ -140,12 +154,13 @@ def waterfall(audits: DataFrame, flags: DataFrame) -> DataFrame:
     )
 
 
-def score_progression(flags: DataFrame, decisions: DataFrame) -> DataFrame:
+def score_progression(flags: DataFrame, decisions: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """B02. Score and unresolved flags of an audit after every accepted decision.
 
     A decision changes the score by *new contribution - previous contribution* of its flag;
     running sums per audit then give the score. Unknown actions are steps without change.
     Decisions on unknown flags are ignored here (see ``decisions.split_decisions``).
+    The changes are written once, because the running sums read them twice.
     """
     known = flags.select(
         audit_key(F.col("audit_id")).alias("_k"), "flag_id", "impact_score",
@@ -154,25 +169,30 @@ def score_progression(flags: DataFrame, decisions: DataFrame) -> DataFrame:
     log = (
         decisions.withColumn("_k", audit_key(F.col("audit_id"))).drop("audit_id")
         .join(known, ["_k", "flag_id"])
-        .select("_k", "flag_id", "decision_id", "ts", "action", "impact_score", "_active0")
+        .select(
+            "_k", "flag_id", "decision_id", "ts", "action", "impact_score", "_active0",
+            F.when(F.col("action").isin(*D.ACTION_STATUS), (F.col("action") == "ACCEPT").cast("int"))
+            .alias("_active"),
+        )
+    )
+    order = ["ts", "decision_id"]
+    changes = last_before(
+        log, ["_k", "flag_id"], order, hour_chunk(), "_active", "_before", group_rows
+    ).select(
+        "_k", "flag_id", "decision_id", "ts", "action", "impact_score",
+        F.coalesce(F.col("_active") - F.coalesce("_before", "_active0"), F.lit(0)).alias("_step"),
     )
-    is_known = F.col("action").isin(*D.ACTION_STATUS)
-    changes = log.where(is_known).withColumn("_active1", (F.col("action") == "ACCEPT").cast("int"))
-    changes = previous_value(
-        changes, ["_k", "flag_id"], ["ts", "decision_id"], hour_chunk(), "_active1", "_before"
-    ).withColumn("_step", F.col("_active1") - F.coalesce("_before", "_active0"))
-    other = log.where(~F.coalesce(is_known, F.lit(False))).withColumn("_step", F.lit(0))
-    columns = ["_k", "flag_id", "decision_id", "ts", "action", "impact_score", "_step"]
     moved = running_sum(
-        changes.select(columns).unionByName(other.select(columns)),
+        materialise(changes, "score-changes"),
         ["_k"],
-        [F.col("ts"), F.col("decision_id")],
+        [F.col(c) for c in order],
         hour_chunk(),
         {
             "_impact": F.col("_step") * F.col("impact_score"),
             "_count": F.col("_step"),
             "step": F.lit(1),
         },
+        group_rows,
     )
     start = flags.groupBy(audit_key(F.col("audit_id")).alias("_k")).agg(
         F.min("audit_id").alias("audit_id"),

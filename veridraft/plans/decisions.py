@@ -57,16 +57,20 @@ def _(v):
     )
 
 
-@query(
-    "a64_decision_history",
-    """SELECT audit_id, flag_id, decision_id, action, note, reviewed_by,
-       row_number() OVER (PARTITION BY audit_id, flag_id ORDER BY ts, decision_id) AS step FROM v_decisions""",
-    ("v_decisions",),
-)
+HISTORY = ["audit_id", "flag_id", "decision_id", "action", "note", "reviewed_by", "step"]
+HISTORY_SQL = """SELECT audit_id, flag_id, decision_id, action, note, reviewed_by,
+       row_number() OVER (PARTITION BY audit_id, flag_id ORDER BY ts, decision_id) AS step FROM v_decisions"""
+
+
+@query("a64_decision_history", HISTORY_SQL, ("v_decisions",))
 def _(v):
-    return R.decision_history(v.decisions()).select(
-        "audit_id", "flag_id", "decision_id", "action", "note", "reviewed_by", "step"
-    )
+    return R.decision_history(v.decisions()).select(*HISTORY)
+
+
+@query("a64_history_large_flags", HISTORY_SQL, ("v_decisions",))
+def _(v):
+    # every flag with more than 50 decisions is treated as too large for one task
+    return R.decision_history(v.decisions(), group_rows=50).select(*HISTORY)
 
 
 def _log_with_unknown_audits(v):

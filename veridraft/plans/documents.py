@@ -110,11 +110,21 @@ def _(v):
     return P.heatmap(v.audits(), v.flags(with_ord=True), selection=selection(v))
 
 
-@query("a62_heatmap_first_flags", None)
+@query(
+    "a62_heatmap_ten_sections",
+    """SELECT a.audit_id, CAST(s.section AS INT) AS section, f.flag_id, f.flag_id IS NULL AS is_clean,
+         coalesce(f.ord = 0, FALSE) AS has_selected
+       FROM v_audits a CROSS JOIN range(1, 11) s(section)
+       LEFT JOIN v_flags f ON a.audit_id = f.audit_id AND f.ord + 1 = s.section""",
+    ("v_audits", "v_flags"),
+)
 def _(v):
-    # the sections shown with the first flag of each audit selected
+    # ten sections, with the first flag of each audit selected
     flags = v.flags(with_ord=True)
-    return P.heatmap(v.audits(), flags, selection=pick_flag(flags).select("audit_id", "flag_id"))
+    chosen = pick_flag(flags).select("audit_id", "flag_id")
+    return P.heatmap(v.audits(), flags, 10, chosen).select(
+        "audit_id", "section", "flag_id", "is_clean", "has_selected"
+    )
 
 
 SENTENCES = r"""parts AS (SELECT {key}, string_split(regexp_replace(t, '([.!?]+) ', '\1' || chr(1), 'g'), chr(1)) AS p

@@ -66,21 +66,26 @@ def _(v):
     return S.result_summary(v.audits(), v.claims(), v.audit_sources(), v.flags())
 
 
-@query(
-    "b01_waterfall",
-    """WITH act AS (SELECT *, row_number() OVER w AS step, count(*) OVER (PARTITION BY audit_id) AS n,
+WATERFALL_SQL = """WITH act AS (SELECT *, row_number() OVER w AS step, count(*) OVER (PARTITION BY audit_id) AS n,
          100 + sum(impact_score) OVER w AS after FROM v_flags WHERE status IN ('PENDING', 'ACCEPTED')
          WINDOW w AS (PARTITION BY audit_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
        SELECT audit_id, CAST(step AS INT) AS step, flag_id, severity, impact_score AS deduction, CAST(after AS INT) AS score_after,
          CAST(CASE WHEN step = n THEN greatest(0, least(100, after)) END AS INT) AS final_score FROM act
        UNION ALL
-       SELECT audit_id, 0, NULL, 'NEUTRAL', 0, 100, CASE WHEN audit_id NOT IN (SELECT audit_id FROM act) THEN 100 END FROM v_audits""",
-    ("v_audits", "v_flags"),
-)
+       SELECT audit_id, 0, NULL, 'NEUTRAL', 0, 100, CASE WHEN audit_id NOT IN (SELECT audit_id FROM act) THEN 100 END FROM v_audits"""
+
+
+@query("b01_waterfall", WATERFALL_SQL, ("v_audits", "v_flags"))
 def _(v):
     return S.waterfall(v.audits(), v.flags(with_ord=True))
 
 
+@query("b01_waterfall_large_audits", WATERFALL_SQL, ("v_audits", "v_flags"))
+def _(v):
+    # audits with more than three active flags are treated as too large for one task
+    return S.waterfall(v.audits(), v.flags(with_ord=True, group_rows=3), group_rows=3)
+
+
 PROGRESS = """kn AS (SELECT d.*, f.impact_score, CASE WHEN d.action = 'ACCEPT' THEN 1 ELSE 0 END AS act
          FROM v_decisions d JOIN v_decision_flags f ON d.audit_id = f.audit_id AND d.flag_id = f.flag_id),
        ch AS (SELECT *, act - lag(act, 1, 1) OVER (PARTITION BY audit_id, flag_id ORDER BY ts, decision_id) AS delta
@@ -99,6 +104,12 @@ def _(v):
     return S.score_progression(v.decision_flags(), v.decisions()).drop("ts")
 
 
+@query("b02_progression_large_audits", f"WITH {PROGRESS} SELECT * FROM prog", ("v_decisions", "v_decision_flags"))
+def _(v):
+    # all audits and most flags are treated as too large for one task
+    return S.score_progression(v.decision_flags(), v.decisions(), group_rows=50).drop("ts")
+
+
 @query(
     "b02_score_peak",
     f"""WITH {PROGRESS} SELECT audit_id, max(score) AS peak_score, arg_max(score, step) AS final_score, count(*) AS decisions

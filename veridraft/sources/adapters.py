@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridraft.operators.ordered import position
+from veridraft.operators.ordered import GROUP_ROWS, position
 from veridraft.session import tune
 
 
@@ -48,7 +48,7 @@ class Views:
         )
 
     # -- flags --------------------------------------------------------------------
-    def flags(self, with_ord: bool = False) -> DataFrame:
+    def flags(self, with_ord: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
         """lineitem -> flags. ``ord`` (0-based array position) costs a shuffle, so it is
         added on request."""
         flags = self.table("lineitem").select(
@@ -72,7 +72,7 @@ class Views:
             order = ["l_linenumber", "l_partkey", "l_suppkey"]
             chunk = [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 65536)]
             flags = position(
-                flags, ["l_orderkey"], [F.col(c) for c in order], chunk, "ord"
+                flags, ["l_orderkey"], [F.col(c) for c in order], chunk, "ord", group_rows
             ).withColumn("ord", (F.col("ord") - 1).cast("int"))
         return flags.drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 

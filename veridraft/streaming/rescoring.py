@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veridraft.operators.decisions import latest_decisions, merge_decisions
-from veridraft.operators.scoring import rescore
+from veridraft.operators.scoring import rescore_decided
 
 STATE_COLUMNS = ("_k", "flag_id", "new_status", "new_note", "decision_count")
 
@@ -66,17 +66,6 @@ def compact_state(spark: SparkSession, state_path: str, target: str) -> None:
     )
 
 
-def live_flags(flags: DataFrame, state: DataFrame) -> DataFrame:
-    return merge_decisions(flags, state)
-
-
 def live_scores(audits: DataFrame, flags: DataFrame, state: DataFrame) -> DataFrame:
     """Audits with at least one decision, rescored from the stream's state."""
-    current = live_flags(flags, state)
-    touched = current.groupBy("audit_id").agg(F.sum("decision_count").alias("_n")).where("_n > 0")
-    return (
-        rescore(audits, current)
-        .join(touched, "audit_id")
-        .withColumn("reviewer_decision_count", F.col("_n").cast("int"))
-        .drop("_n")
-    )
+    return rescore_decided(audits, merge_decisions(flags, state))
