@@ -20,7 +20,8 @@ def risk_band(score: Column) -> Column:
 
 def clamp_score(score: Column) -> Column:
     """A17. Score held inside 0..100; NULL shows as 0."""
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), score)), F.lit(0))
+    # least/greatest skip NULL, so it is handled first
+    return F.when(score.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score)))
 
 
 def effective_score(status: Column, trust: Column, reviewed: Column) -> Column:

@@ -17,23 +17,26 @@ def tumbling_activity(decisions: DataFrame, size: str = "1 hour", slide: str | N
     )
 
 
-def session_activity(decisions: DataFrame, gap_seconds: int = 1800) -> DataFrame:
-    """Sessions per reviewer: a new one starts after ``gap_seconds`` without a decision.
+def session_activity(
+    decisions: DataFrame, gap_seconds: int = 1800, keys: tuple[str, ...] = ("reviewed_by", "action")
+) -> DataFrame:
+    """Sessions per reviewer and action: a new one starts after ``gap_seconds`` without a
+    decision.
 
     Two decisions inside one time bucket as wide as the gap are always in the same session,
-    so the log is first reduced to one row per reviewer and bucket. The ordered part then
-    works on at most (time span / gap) rows per reviewer, however busy that reviewer is.
+    so the log is first reduced to one row per key and bucket. The ordered part then works
+    on at most (time span / gap) rows per key, however busy that key is.
     """
     gap = gap_seconds * 1_000_000
     micros = F.unix_micros("ts")
-    buckets = decisions.groupBy("reviewed_by", F.floor(micros / gap).cast("bigint").alias("bucket")).agg(
+    buckets = decisions.groupBy(*keys, F.floor(micros / gap).cast("bigint").alias("bucket")).agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n")
     )
-    by_time = Window.partitionBy("reviewed_by").orderBy("bucket")
+    by_time = Window.partitionBy(*keys).orderBy("bucket")
     idle = F.unix_micros("first_ts") - F.unix_micros(F.lag("last_ts").over(by_time))
     starts = F.when(idle < gap, 0).otherwise(1)
     numbered = buckets.withColumn("_new", starts).withColumn("session_no", F.sum("_new").over(by_time))
-    return numbered.groupBy("reviewed_by", "session_no").agg(
+    return numbered.groupBy(*keys, "session_no").agg(
         F.min("first_ts").alias("session_start"),
         F.max("last_ts").alias("last_decision"),
         F.sum("n").alias("decisions"),

@@ -24,7 +24,7 @@ def _(v):
 
 @query(
     "a17_clamp_score",
-    "SELECT audit_id, CAST(coalesce(greatest(0, least(100, reviewed_score * 3 - 90)), 0) AS INT) AS clamped FROM v_audits",
+    "SELECT audit_id, CASE WHEN reviewed_score IS NULL THEN 0 ELSE CAST(greatest(0, least(100, reviewed_score * 3 - 90)) AS INT) END AS clamped FROM v_audits",
     ("v_audits",),
 )
 def _(v):

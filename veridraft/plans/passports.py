@@ -174,16 +174,25 @@ def _(v):
     )
 
 
-@query(
-    "b15_session_activity",
-    """SELECT reviewed_by, CAST(session_no AS BIGINT) AS session_no, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS decisions FROM (
-         SELECT *, sum(new) OVER (PARTITION BY reviewed_by ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no FROM (
-           SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY reviewed_by ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS new FROM v_decisions) a) b
-       GROUP BY reviewed_by, session_no""",
-    ("v_decisions",),
-)
-def _(v):
-    return activity.session_activity(v.decisions()).select(
-        "reviewed_by", "session_no", F.unix_micros("session_start").alias("start_us"),
+def session_sql(keys: str) -> str:
+    return f"""SELECT {keys}, CAST(session_no AS BIGINT) AS session_no, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS decisions FROM (
+         SELECT *, sum(new) OVER (PARTITION BY {keys} ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_no FROM (
+           SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY {keys} ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS new FROM v_decisions) a) b
+       GROUP BY {keys}, session_no"""
+
+
+def _sessions(v, keys: tuple[str, ...]):
+    return activity.session_activity(v.decisions(), keys=keys).select(
+        *keys, "session_no", F.unix_micros("session_start").alias("start_us"),
         F.unix_micros("last_decision").alias("last_us"), "decisions",
     )
+
+
+@query("b15_session_activity", session_sql("reviewed_by, action"), ("v_decisions",))
+def _(v):
+    return _sessions(v, ("reviewed_by", "action"))
+
+
+@query("b15_reviewer_sessions", session_sql("reviewed_by"), ("v_decisions",))
+def _(v):
+    return _sessions(v, ("reviewed_by",))

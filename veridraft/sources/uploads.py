@@ -28,7 +28,8 @@ def upload_manifest(
 ) -> DataFrame:
     """A12. One row per file with its real SHA-256 digest.
 
-    The name is the last path step; ``mime_types`` maps extensions to MIME types.
+    The name is the last path step; ``mime_types`` maps extensions to MIME types. Spark's
+    file sources skip files of zero bytes, so those are not listed.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:

@@ -21,14 +21,20 @@ def decision_windows(decisions: DataFrame, late: str = "1 hour", size: str = "1
     return tumbling_activity(decisions.withWatermark("ts", late), size, slide)
 
 
-def decision_sessions(decisions: DataFrame, late: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
-    """B15. Sessions per reviewer, merged inside the map tasks first (see ``session``)."""
+def decision_sessions(
+    decisions: DataFrame,
+    late: str = "1 hour",
+    gap: str = "30 minutes",
+    keys: tuple[str, ...] = ("reviewed_by", "action"),
+) -> DataFrame:
+    """B15. Sessions per reviewer and action, merged inside the map tasks first (see
+    ``session``)."""
     return (
         decisions.withWatermark("ts", late)
-        .groupBy(F.session_window("ts", gap).alias("w"), "reviewed_by")
+        .groupBy(F.session_window("ts", gap).alias("w"), *keys)
         .agg(F.count(F.lit(1)).alias("decisions"))
         .select(
-            "reviewed_by", F.col("w.start").alias("session_start"),
+            *keys, F.col("w.start").alias("session_start"),
             F.col("w.end").alias("session_end"), "decisions",
         )
     )
