@@ -121,6 +121,14 @@ def test_match_paragraphs_equals_brute_force(spark, matching_case, small):
     assert {(r.audit_id, r.para_no): r.flag_id for r in got.collect()} == brute_match(paras, flags)
 
 
+@pytest.mark.parametrize("n", [1, 9, 10, 11, 25, 40])
+def test_segments_keep_every_substring(spark, n):
+    text = "".join(chr(97 + i % 26) if i % 7 else "😀" for i in range(n))
+    pieces = spark.createDataFrame([(text,)], "t string").select(paragraphs.segments(F.col("t"), 4, 10)).first()[0]
+    assert all(any(text[i : i + 5] in p for p in pieces) for i in range(max(1, n - 4)))
+    assert all(p in text and len(p) <= 14 for p in pieces)
+
+
 # -- BM25 ------------------------------------------------------------------------------
 
 

@@ -122,7 +122,9 @@ def without_first(text: Column, needle: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space on both ends, not only blanks."""
-    return F.regexp_replace(text, r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")
+    # the look-behind keeps long runs of white space inside a text linear
+    space = r"[\s\u00a0\ufeff]"
+    return F.regexp_replace(text, f"^{space}+|(?<!{space}){space}+$", "")
 
 
 def non_blank(text: Column) -> Column:

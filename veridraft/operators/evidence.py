@@ -77,14 +77,12 @@ def evidence_graph(audits: DataFrame, claims: DataFrame, flags: DataFrame) -> Da
 def location_heatmap(flags: DataFrame) -> DataFrame:
     """B03. Findings per place in the document (page, paragraph, sheet or text).
 
-    ``flags`` carries ``document_location``. Counts and worst severity come first; ids are
-    listed in a second step per place (``location_flags``) so that a crowded place is never
-    collected into one array.
+    ``flags`` carries ``document_location``. The ids behind a place are rows of
+    ``location_flags``: a crowded place is never collected into one array.
     """
     return flags.groupBy("audit_id", place_of(F.col("document_location")).alias("place")).agg(
         F.count(F.lit(1)).alias("finding_count"),
         severity_of_rank(F.min(severity_rank(F.col("severity")))).alias("worst_severity"),
-        F.min("flag_id").alias("first_flag_id"),
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridraft import domains as D
-from veridraft.functions.arrays import let
 from veridraft.functions.columns import mapped
 from veridraft.functions.scores import label_of, severity_of_rank, severity_rank
 from veridraft.functions.texts import split_paragraphs, without_first
@@ -14,6 +13,8 @@ from veridraft.operators.triage import finding_visible
 
 #: Audits with at most this many different claim prefixes carry them as one small array.
 SMALL_AUDIT_PREFIXES = 16
+#: Longer paragraphs are cut up before their substrings are listed.
+SEGMENT_CHARS = 10_000
 
 
 def paragraphs(documents: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:
@@ -40,6 +41,18 @@ def all_substrings(text: Column, length: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1)))
 
 
+def segments(text: Column, overlap: int, size: int = SEGMENT_CHARS) -> Column:
+    """A long text in pieces of ``size`` characters that overlap by ``overlap``, so that any
+    string of up to ``overlap`` + 1 characters lies inside one of them."""
+    pattern = F.lit(f"(?s)(.{{1,{size}}})(?=(.{{0,{overlap}}}))")
+    pieces = F.zip_with(
+        F.regexp_extract_all(text, pattern, F.lit(1)),
+        F.regexp_extract_all(text, pattern, F.lit(2)),
+        lambda body, rest: F.concat(body, rest),
+    )
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(pieces)
+
+
 def match_paragraphs(
     paras: DataFrame,
     flags: DataFrame,
@@ -95,16 +108,14 @@ def match_paragraphs(
         return F.when(F.col("_always").isNull(), cut).otherwise(F.array_append(cut, always))
 
     no_hit = F.lit(None).cast(first.schema["hit"].dataType)
+    is_few = F.col("_prefixes").isNotNull()
+    text = F.lower("para")
     candidates = (
         paras.join(info.withColumn("_no_hit", no_hit), key)
+        .withColumn("_text", F.explode(F.when(is_few, F.array(text)).otherwise(segments(text, prefix_chars - 1))))
         .select(
             key, "para_no",
-            F.explode(
-                let(
-                    F.lower("para"),
-                    lambda p: F.when(F.col("_prefixes").isNotNull(), in_place(p)).otherwise(by_pieces(p)),
-                )
-            ).alias("c"),
+            F.explode(F.when(is_few, in_place(F.col("_text"))).otherwise(by_pieces(F.col("_text")))).alias("c"),
         )
         .select(key, "para_no", "c.hit", "c.prefix")
     )

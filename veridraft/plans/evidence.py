@@ -111,7 +111,7 @@ PLACE_SQL = """CASE loc_type WHEN 'pdf' THEN concat('page ', loc_n) WHEN 'docx'
 @query(
     "b03_location_heatmap",
     f"""SELECT audit_id, place, count(*) AS finding_count,
-        ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFORMATIONAL'][min({RANK_SQL.format('severity')}) + 1] AS worst_severity, min(flag_id) AS first_flag_id
+        ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFORMATIONAL'][min({RANK_SQL.format('severity')}) + 1] AS worst_severity
         FROM (SELECT *, {PLACE_SQL} AS place FROM v_rich) x GROUP BY audit_id, place""",
     ("v_rich",),
 )
