@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridraft import domains as D
-from veridraft.functions.columns import mapped
-from veridraft.functions.scores import label_of, severity_of_rank, severity_rank
+from veridraft.functions.scores import label_of
 from veridraft.functions.texts import split_paragraphs, without_first
 from veridraft.operators.triage import finding_visible
 
@@ -186,32 +185,28 @@ def heatmap(
     """A62. ``sections`` rows per audit; section i shows the i-th flag.
 
     Later flags are not shown. A section whose only flag is INFORMATIONAL has severity CLEAN
-    but is not ``is_clean``. Only flags with a small ``ord`` are shuffled.
+    but is not ``is_clean``. ``ord`` is an array position, so a section has one flag at most;
+    only flags with a small ``ord`` are shuffled.
     """
     cells = audits.select("audit_id", F.explode(F.sequence(F.lit(1), F.lit(sections))).alias("section"))
-    shown = flags.where(F.col("ord") < sections).withColumn("section", F.col("ord") + 1)
+    shown = flags.where(F.col("ord") < sections).select(
+        "audit_id", (F.col("ord") + 1).alias("section"), "flag_id", F.col("severity").alias("_severity")
+    )
     if selection is None:
-        shown = shown.withColumn("_sel", F.lit(0))
+        shown = shown.withColumn("_selected", F.lit(False))
     else:
-        marked = selection.select("audit_id", "flag_id", F.lit(1).alias("_sel"))
+        marked = selection.select("audit_id", "flag_id", F.lit(True).alias("_selected"))
         shown = shown.join(marked, ["audit_id", "flag_id"], "left")
-    per_section = shown.groupBy("audit_id", "section").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when(F.col("severity").isin("CRITICAL", "HIGH", "MEDIUM", "LOW"), severity_rank(F.col("severity")))).alias("worst"),
-        F.max(F.coalesce("_sel", F.lit(0))).alias("sel"),
-        F.min_by("flag_id", "ord").alias("flag_id"),
-    )
-    n = F.coalesce("n", F.lit(0).cast("bigint"))
-    severity = F.coalesce(severity_of_rank(F.col("worst")), F.lit("CLEAN"))
-    return cells.join(per_section, ["audit_id", "section"], "left").select(
+    ranked = F.col("_severity").isin("CRITICAL", "HIGH", "MEDIUM", "LOW")
+    severity = F.when(ranked, F.col("_severity")).otherwise("CLEAN")
+    is_clean = F.col("flag_id").isNull()
+    return cells.join(shown, ["audit_id", "section"], "left").select(
         "audit_id",
         "section",
         "flag_id",
         severity.alias("severity"),
-        (n == 0).alias("is_clean"),
-        (F.coalesce("sel", F.lit(0)) > 0).alias("has_selected"),
+        is_clean.alias("is_clean"),
+        F.coalesce("_selected", F.lit(False)).alias("has_selected"),
         label_of(severity, "heatmap").alias("label"),
-        F.when(n == 0, "clean")
-        .otherwise(F.concat(n.cast("string"), F.lit(" "), mapped(n, {1: "issue"}, "issues")))
-        .alias("count_text"),
+        F.when(is_clean, "clean").otherwise("1 issue").alias("count_text"),
     )

@@ -34,7 +34,7 @@ def _(v):
     ("v_flags", "v_sources", "v_audit_sources"),
 )
 def _(v):
-    sources = v.audit_sources().join(v.sources(), "source_id")
+    sources = v.audit_sources(with_ord=True).join(v.sources(), "source_id")
     return E.evidence_source(v.flags(), sources, "first").select("flag_id", "source_id", "name", "authority")
 
 

@@ -51,11 +51,19 @@ class Views:
     def flags(self, with_ord: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
         """lineitem -> flags. ``ord`` (0-based array position) costs a shuffle, so it is
         added on request."""
-        flags = self.table("lineitem").select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        lines = self.table("lineitem")
+        ord_column = []
+        if with_ord:
+            order = ["l_linenumber", "l_partkey", "l_suppkey"]
+            chunk = [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 65536)]
+            lines = position(lines, ["l_orderkey"], [F.col(c) for c in order], chunk, "ord", group_rows)
+            ord_column = [(F.col("ord") - 1).cast("int").alias("ord")]
+        # texts are built after the shuffle for ord, which then moves numbers only
+        return lines.select(
             F.concat(F.lit("AUD-"), F.col("l_orderkey").cast("string")).alias("audit_id"),
             F.concat_ws("-", F.lit("FLG"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
             .alias("flag_id"),
+            *ord_column,
             F.expr(
                 "CASE WHEN l_discount >= 0.09 THEN 'CRITICAL' WHEN l_discount >= 0.07 THEN 'HIGH'"
                 " WHEN l_discount >= 0.04 THEN 'MEDIUM' WHEN l_discount >= 0.02 THEN 'LOW'"
@@ -68,13 +76,6 @@ class Views:
             (-F.floor(F.col("l_quantity") / 3)).cast("int").alias("impact_score"),
             F.concat(F.lit("SRC-"), F.col("l_suppkey").cast("string")).alias("source_id"),
         )
-        if with_ord:
-            order = ["l_linenumber", "l_partkey", "l_suppkey"]
-            chunk = [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 65536)]
-            flags = position(
-                flags, ["l_orderkey"], [F.col(c) for c in order], chunk, "ord", group_rows
-            ).withColumn("ord", (F.col("ord") - 1).cast("int"))
-        return flags.drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
     def claims(self) -> DataFrame:
         """lineitem rows still open -> claims; ids join to flags."""
@@ -97,7 +98,7 @@ class Views:
         )
 
     def submission_files(self) -> DataFrame:
-        return self.audit_sources().join(self.sources(), "source_id").selectExpr(
+        return self.audit_sources(with_ord=True).join(self.sources(), "source_id").selectExpr(
             "replace(audit_id, 'AUD-', 'NEW-') AS audit_id", "ord", "source_id", "name",
             "CASE WHEN group_key % 2 = 0 THEN CAST(size_bytes AS STRING) ELSE '1.2 MB' END AS size",
             "CASE WHEN group_key % 3 = 0 THEN authority WHEN group_key % 3 = 1 THEN '' END AS authority",
@@ -131,27 +132,24 @@ class Views:
             F.col("s_nationkey").alias("group_key"),
         )
 
-    def audit_sources(self) -> DataFrame:
+    def audit_sources(self, with_ord: bool = False) -> DataFrame:
         """Sources per audit: the suppliers of returned or refused lines, one row each;
-        array position follows the supplier key."""
+        array position (on request) follows the supplier key."""
         cited = (
             self.table("lineitem")
             .where("l_returnflag <> 'N'")
             .select("l_orderkey", "l_suppkey")
             .distinct()
         )
-        placed = position(
-            cited,
-            ["l_orderkey"],
-            [F.col("l_suppkey")],
-            [F.floor(F.col("l_suppkey") / 65536)],
-            "ord",
-        )
-        return placed.select(
+        ids = [
             F.concat(F.lit("AUD-"), F.col("l_orderkey").cast("string")).alias("audit_id"),
-            (F.col("ord") - 1).cast("int").alias("ord"),
             F.concat(F.lit("SRC-"), F.col("l_suppkey").cast("string")).alias("source_id"),
-        )
+        ]
+        if not with_ord:
+            return cited.select(*ids)
+        chunk = [F.floor(F.col("l_suppkey") / 65536)]
+        placed = position(cited, ["l_orderkey"], [F.col("l_suppkey")], chunk, "ord")
+        return placed.select(*ids, (F.col("ord") - 1).cast("int").alias("ord"))
 
     # -- decisions -----------------------------------------------------------------
     def decision_flags(self) -> DataFrame:
