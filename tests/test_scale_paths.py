@@ -193,6 +193,24 @@ def test_vector_top_k(spark):
     assert got == [v[0] for v in want] and got[0] == 3
 
 
+@pytest.mark.parametrize("block", [2, 1024])
+def test_vector_top_k_many(spark, block):
+    rng = random.Random(6)
+    vectors = [(i, [rng.choice([-1.0, 0.5, 1.0]) for _ in range(3)]) for i in range(150)]
+    df = spark.createDataFrame(vectors, "vec_id int, embedding array<float>").repartition(3)
+    queries = df.where("vec_id < 7").withColumnRenamed("vec_id", "query_id")
+    got = {}
+    for r in retrieval.vector_top_k_many(df, queries, 4, block=block).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+    for q in range(7):
+        want = sorted(vectors, key=lambda v: (-round(cosine(v[1], vectors[q][1]), 6), v[0]))[:4]
+        assert [got[q][i + 1] for i in range(4)] == [v[0] for v in want]
+
+
 # -- text ------------------------------------------------------------------------------
 
 

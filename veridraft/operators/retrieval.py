@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,11 +154,74 @@ def vector_top_k(
     where it is read and only k rows per task reach the final sort.
     """
     q = query.scalar()
-    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
-    scored = vectors.withColumn("_q", q).select(
-        key,
-        F.round(
-            dot(F.col(vector), F.col("_q")) / (norm * F.sqrt(dot(F.col("_q"), F.col("_q")))), 6
-        ).alias("similarity"),
-    )
+    v, u = F.col(vector), F.col("_q")
+    norms = F.sqrt(dot(v, v)) * F.sqrt(dot(u, u))
+    cosine = F.when(norms == 0, 0.0).otherwise(dot(v, u) / norms)
+    scored = vectors.withColumn("_q", q).select(key, F.round(cosine, 6).alias("similarity"))
     return scored.orderBy(F.desc("similarity"), F.col(key)).limit(k)
+
+
+#: Query vectors handled in one pass over the table; bounds what is sent to the tasks.
+QUERY_BLOCK = 1024
+
+
+def vector_top_k_many(
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int = 10,
+    key: str = "vec_id",
+    vector: str = "embedding",
+    query_key: str = "query_id",
+    block: int = QUERY_BLOCK,
+) -> DataFrame:
+    """B07. The k most similar vectors for each query of queries(query_key, vector).
+
+    Exact. A block of at most about ``block`` queries goes to all tasks; each Arrow batch of
+    vectors is compared as one matrix product and keeps its k best per query, so pairs are
+    never listed. More queries than that take more passes over ``vectors``.
+    """
+    blocks = math.ceil(queries.count() / block)
+    if blocks == 0:
+        raise ValueError("no query vectors")
+    passes = []
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
+        rows = part.select(query_key, vector).toPandas()
+        if rows.empty:
+            continue
+        ids = rows[query_key].to_numpy()
+        passes.append(_batch_best(vectors, ids, _unit_rows(rows[vector]), k, key, vector, query_key, queries))
+    every = passes[0]
+    for more in passes[1:]:
+        every = every.unionByName(more)
+    return _best(every, query_key, key, k)
+
+
+def _unit_rows(column) -> np.ndarray:
+    """Rows scaled to length 1; a zero vector stays zero and is similar to nothing."""
+    matrix = np.vstack([np.asarray(v, dtype=np.float64) for v in column])
+    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    return matrix / np.where(norms == 0, 1.0, norms)
+
+
+def _batch_best(vectors, ids, unit_queries, k, key, vector, query_key, queries) -> DataFrame:
+    types = {query_key: queries.schema[query_key].dataType, key: vectors.schema[key].dataType}
+    schema = ", ".join(f"{n} {t.simpleString()}" for n, t in types.items()) + ", score double"
+
+    def best(batches):
+        for batch in batches:
+            if batch.empty:
+                continue
+            scores = np.round(unit_queries @ _unit_rows(batch[vector]).T, 6)
+            keys = batch[key].to_numpy()
+            # ties by key: order by key first, then stably by score
+            by_key = np.argsort(keys, kind="stable")
+            top = np.argsort(-scores[:, by_key], axis=1, kind="stable")[:, :k]
+            chosen = by_key[top]
+            yield pd.DataFrame({
+                query_key: np.repeat(ids, chosen.shape[1]),
+                key: keys[chosen].ravel(),
+                "score": np.take_along_axis(scores, chosen, axis=1).ravel(),
+            })
+
+    return vectors.select(key, vector).mapInPandas(best, schema)

@@ -54,6 +54,21 @@ def _(v):
     return R.vector_top_k(vectors, vectors.where("vec_id = 0").select("embedding"), k=10)
 
 
+@query(
+    "b07_vector_top_k_per_label",
+    """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+       q AS (SELECT label AS query_id, arg_min(v, vec_id) AS u FROM e GROUP BY label),
+       s AS (SELECT query_id, vec_id, round(list_dot_product(v, u) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(u, u))), 6) AS score FROM e, q)
+       SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM (
+         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) x WHERE rank <= 5""",
+)
+def _(v):
+    vectors = v.table("embeddings")
+    # one query per label: its first vector
+    queries = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return R.vector_top_k_many(vectors, queries.withColumnRenamed("label", "query_id"), 5)
+
+
 @query(
     "b09_claim_verdicts",
     """WITH src AS (SELECT concat('part-', p_partkey) AS source_key, 'AMOUNT' AS kind, p_retailprice AS amount, CAST(NULL AS DATE) AS day FROM part WHERE p_size > 5
