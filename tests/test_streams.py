@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from veridraft.operators import activity, decisions, stages
@@ -14,6 +17,13 @@ FOLDER = "/root/testdata/sf0.001"
 def _split(df, path, parts, order):
     """Write the rows as several files, in the given order of time."""
     df.repartitionByRange(parts, order).sortWithinPartitions(order).write.parquet(path)
+    _date_files(path)
+
+
+def _date_files(path, start=1_000_000_000):
+    """Files are taken in order of their age; make that order the order of their names."""
+    for i, file in enumerate(sorted(Path(path).glob("part-*.parquet"))):
+        os.utime(file, (start + i, start + i))
 
 
 def _stream(spark, path, schema):

@@ -3,7 +3,7 @@
 The stream keeps one state row per flag (a built-in aggregation, so decisions on a busy
 flag are reduced before the shuffle). Every micro-batch appends the flags that changed to a
 log; audits are rescored from the latest row per flag. The result equals the batch
-pipeline on the same decisions, whatever their arrival order.
+pipeline on the same decisions, in any arrival order within the watermark delay.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ STATE_COLUMNS = ("_k", "flag_id", "new_status", "new_note", "decision_count")
 
 
 def flag_state(decisions: DataFrame, late: str = "7 days") -> DataFrame:
-    """Streaming state per flag. Redelivered decisions are dropped by id as long as they
-    arrive within ``late`` of the newest one."""
+    """Streaming state per flag. Redelivered decisions are dropped by id; decisions more
+    than ``late`` behind the newest one are dropped too, so choose it generously."""
     return latest_decisions(
         decisions.withWatermark("ts", late).dropDuplicatesWithinWatermark(["decision_id"])
     )
