@@ -109,8 +109,8 @@ def op7_chat_format(spark, folder: str) -> DataFrame:
 
 OP7_SQL = """
 WITH d AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-s AS (SELECT *, turn - min(turn) OVER (PARTITION BY conv_id) AS at FROM d),
-c AS (SELECT conv_id, list({'at': at, 'role': role, 'text': text} ORDER BY at, role, text) AS turns FROM s GROUP BY conv_id),
+s AS (SELECT *, turn - min(turn) OVER (PARTITION BY conv_id) AS pos FROM d),
+c AS (SELECT conv_id, list({'pos': pos, 'role': role, 'text': text} ORDER BY pos, role, text) AS turns FROM s GROUP BY conv_id),
 one AS (SELECT min(conv_id) AS conv_id, turns FROM c GROUP BY turns),
 prefix AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS k FROM c)),
 kept AS (SELECT conv_id, len(turns) AS n_turns FROM one ANTI JOIN prefix USING (turns))
