@@ -76,10 +76,11 @@ def test_phrases_hold_every_window_once():
     rng = random.Random(9)
     texts = [words(rng, 400).encode(), b"", b"x" * 99, b"y" * 100, b"ab" * 300, words(rng, 50).encode()]
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    starts, n, trigger = passages.phrases(b"".join(texts), offsets)
+    starts, n, trigger, lead = passages.phrases(b"".join(texts), offsets)
     windows = np.concatenate([np.arange(s, s + k) for s, k in zip(starts, n)])
     want = np.concatenate([np.arange(o, o + max(0, len(t) - 99)) for o, t in zip(offsets, texts)])
     assert (windows == want).all() and len(trigger) == len(starts)
+    assert ((lead >= 0) & (lead <= 80) & (lead >= n - 1)).all()
 
 
 def test_odd_texts_nulls_and_repeated_rows(spark):

@@ -10,9 +10,11 @@ every window lies in exactly one phrase.
 * The *dictionary* is the phrases at their first place. Windows in two different phrases can
   only be equal if the phrases share a trigger; for those phrases alone the dictionary's
   suffixes are sorted. A window is a suffix cut at 100 bytes, which is as deep as the order
-  matters: suffixes with the same first 100 bytes meet, in corpus order.
+  matters: suffixes with the same first 100 bytes meet, in corpus order. Suffixes are first
+  taken 21 at a time: neighbours share a core of 80 bytes, and only where two blocks have one
+  core but are not equal are their suffixes sorted one by one.
 
-Both steps are one sort by key, read as a stream. Before it every chunk of documents keeps
+Each step is one sort by key, read as a stream. Before it every chunk of documents keeps
 only the first place of each key, and settles the others itself, so a passage that all
 documents share reaches the sort once per chunk.
 """
@@ -40,8 +42,11 @@ CHUNK_BYTES = 12 << 20
 NO_ID = -(1 << 63)
 
 LONG = T.LongType()
-PLACES = [("k1", LONG), ("k2", LONG), ("doc", LONG), ("at", LONG), ("n", LONG)]
-SPANS = [("kind", LONG)] + PLACES
+#: k1: what two places must share to hold equal windows; k2: equal if all their windows are.
+#: ``n`` windows of ``doc`` from ``at`` on; ``lead``: from there to the trigger.
+SPANS = [(c, LONG) for c in ("kind", "k1", "k2", "doc", "at", "n", "lead")]
+#: Suffixes of a phrase that are taken together.
+TOGETHER = 21
 #: Kinds of rows: a stretch of repeated windows, or a first place that must be looked at.
 REPEAT, FIRST = 0, 1
 ADDED = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"]
@@ -81,11 +86,12 @@ def selected(h: np.ndarray) -> np.ndarray:
     return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def phrases(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, number of windows, trigger hashes) of all phrases of the concatenated documents."""
+def phrases(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, number of windows, trigger hashes, distance to the trigger) of all phrases of
+    the concatenated documents."""
     none = np.empty(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none
+        return none, none, none, none
     h = rolling(np.frombuffer(data, np.uint8))
     place = selected(h)
     total = len(data) - LENGTH + 1  # windows, also those across documents
@@ -101,7 +107,7 @@ def phrases(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     starts = np.flatnonzero(cut & (np.cumsum(inside[:-1]) > 0))
     owner = np.searchsorted(first, starts, "right") - 1
     ends = np.minimum(np.append(starts[1:], total), stop[owner]) if len(starts) else starts
-    return starts, ends - starts, h[place[starts]].view(np.int64)
+    return starts, ends - starts, h[place[starts]].view(np.int64), place[starts] - starts
 
 
 def settle(k1, k2, doc, at, n):
@@ -163,7 +169,7 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts, _ in _chunks(batches):
         data = b"".join(texts)
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
-        starts, n, trigger = phrases(data, offsets)
+        starts, n, trigger, lead = phrases(data, offsets)
         view = memoryview(data)
         digest = np.fromiter(
             (xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), (starts + n + LENGTH - 1).tolist())),
@@ -171,38 +177,73 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ).view(np.int64)
         owner = np.searchsorted(offsets, starts, "right") - 1
         doc, at = np.array(ids, np.int64)[owner], starts - offsets[owner]
-        columns = [trigger, digest, doc, at, n]
+        columns = [trigger, digest, doc, at, n, lead]
         if len(set(ids)) < len(ids):  # rows with one id are one place
             order = np.lexsort((at, doc))
             columns = [c[order] for c in columns]
         yield from _places(*columns)
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, phrases to look at) -> places of blocks of their suffixes.
+
+    A block's suffixes begin up to TOGETHER - 1 bytes apart, at fixed distances from the
+    trigger; k1 is the hash of the core that all suffixes at these distances have.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    def cut(i, text, spans):
+        view = memoryview(text)
+        for at, n, lead in spans:
+            trigger, stop = at + lead, at + n
+            while at < stop and at + LENGTH <= len(text):
+                near = (trigger - at) // TOGETHER * TOGETHER  # of the block's last suffix
+                end = min(stop, trigger - near + 1, len(text) - LENGTH + 1)
+                core = view[trigger - near : trigger - near - TOGETHER + 1 + LENGTH]
+                yield xxh3_64_intdigest(core), xxh3_64_intdigest(view[at : end + LENGTH - 1]), i, at, end - at
+                at = end
+
+    for columns in _cut_texts(batches, cut, 5):
+        k1, k2 = (c.view(np.int64) for c in columns[:2])
+        yield from _places(k1, k2, *(c.view(np.int64) for c in columns[2:]))
+
+
 def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, phrases to look at) -> places of their windows, and repeats within the chunk."""
-    from xxhash import xxh3_128_digest
+    """(id, text, blocks to look at) -> places of their suffixes, one by one."""
+    from xxhash import xxh3_128_intdigest
+
+    low = (1 << 64) - 1
 
+    def cut(i, text, spans):
+        view = memoryview(text)
+        for at, n, _ in spans:
+            for p in range(at, min(at + n, len(text) - LENGTH + 1)):
+                digest = xxh3_128_intdigest(view[p : p + LENGTH])
+                yield digest >> 64, digest & low, i, p, 1
+
+    for columns in _cut_texts(batches, cut, 5):
+        yield from _places(*(c.view(np.int64) for c in columns))
+
+
+def _cut_texts(batches, cut, width: int):
+    """What ``cut(id, text, spans)`` yields for a chunk, as columns in corpus order."""
     for ids, texts, more in _chunks(batches):
-        docs, ats, digests = [], [], []
+        rows = []
         for i, text, (spans,) in zip(ids, texts, more):
-            view = memoryview(text)
-            for a, n in sorted((s["at"], s["n"]) for s in spans):
-                for p in range(a, a + n):
-                    if p + LENGTH <= len(text):
-                        docs.append(i)
-                        ats.append(p)
-                        digests.append(xxh3_128_digest(view[p : p + LENGTH]))
-        keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        doc, at = np.array(docs, np.int64), np.array(ats, np.int64)
-        order = np.lexsort((at, doc))
-        k1, k2 = np.ascontiguousarray(keys[order, 0]), np.ascontiguousarray(keys[order, 1])
-        yield from _places(k1, k2, doc[order], at[order], np.ones(len(doc), np.int64))
-
-
-def _places(k1, k2, doc, at, n) -> Iterator[pa.RecordBatch]:
+            rows += cut(i % (1 << 64), text, sorted((s["at"], s["n"], s["lead"]) for s in spans))
+        columns = [np.array([r[k] for r in rows], np.uint64) for k in range(width)]
+        if len(set(ids)) < len(ids):
+            order = np.lexsort((columns[3], columns[2].view(np.int64)))
+            columns = [c[order] for c in columns]
+        yield columns
+
+
+def _places(k1, k2, doc, at, n, lead=None) -> Iterator[pa.RecordBatch]:
     first, (d, a, m) = settle(k1, k2, doc, at, n)
-    yield _batch(SPANS, [np.full(len(first), FIRST), k1[first], k2[first], doc[first], at[first], n[first]])
-    yield _batch(SPANS, [np.full(len(d), REPEAT), _spread(d, a), np.zeros(len(d), np.int64), d, a, m])
+    lead = np.zeros(len(k1), np.int64) if lead is None else lead
+    yield _batch(SPANS, [np.full(len(first), FIRST), *(c[first] for c in (k1, k2, doc, at, n, lead))])
+    none = np.zeros(len(d), np.int64)
+    yield _batch(SPANS, [np.full(len(d), REPEAT), _spread(d, a), none, d, a, m, none])
 
 
 def _sorted_places(places: DataFrame) -> DataFrame:
@@ -215,34 +256,33 @@ def merge(conflicts: bool):
     first places of different k2 that share a k1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the newest first place: k1, k2, doc, at, n, and whether it was put out
+        last, done = None, False  # the newest first place, and whether it was put out
         for batch in batches:
-            kind, *row = (batch.column(i).to_numpy() for i in range(6))
+            kind, *row = (batch.column(i).to_numpy() for i in range(len(SPANS)))
             through = kind == REPEAT
             yield _batch(SPANS, [c[through] for c in (kind, *row)])
-            k1, k2, doc, at, n = (c[~through] for c in row)
-            if not len(k1):
+            row = [c[~through] for c in row]
+            if not len(row[0]):
                 continue
             if last:
-                k1, k2, doc, at, n = (np.concatenate(([x], c)) for x, c in zip(last[:5], (k1, k2, doc, at, n)))
+                row = [np.concatenate(([x], c)) for x, c in zip(last, row)]
+            k1, k2, doc, at = row[:4]
             new = np.ones(len(k1), bool)
             new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
             first = np.maximum.accumulate(np.where(new, np.arange(len(k1)), 0))
             again = ~new & ((doc != doc[first]) | (at != at[first]))
-            yield _batch(SPANS, [np.full(again.sum(), REPEAT)] + [c[again] for c in (k1, k2, doc, at, n)])
+            yield _batch(SPANS, [np.full(again.sum(), REPEAT), *(c[again] for c in row)])
             heads = np.flatnonzero(new)
             shared = np.zeros(len(heads), bool)
             same = k1[heads][1:] == k1[heads][:-1]
             shared[1:] |= same
             shared[:-1] |= same
             out = shared.copy()
-            if last and last[5]:
-                out[0] = False
+            out[0] &= not done
             if conflicts:
-                yield _batch(SPANS, [np.full(out.sum(), FIRST)] + [c[heads[out]] for c in (k1, k2, doc, at, n)])
-            h = heads[-1]
-            done = bool(shared[-1]) or bool(len(heads) == 1 and last and last[5])
-            last = (k1[h], k2[h], doc[h], at[h], n[h], done)
+                yield _batch(SPANS, [np.full(out.sum(), FIRST), *(c[heads[out]] for c in row)])
+            done = bool(shared[-1]) or (len(heads) == 1 and done)
+            last = [c[heads[-1]] for c in row]
 
     return run
 
@@ -295,16 +335,20 @@ def remove_repeats(
     # By default no more than id and text go through the joins, in both as the same exchange.
     rows = docs.select(place, body, *([] if columns is None else carried))
 
-    found = _sorted_places(map_batches(rows.select("__doc", "__body"), parse, SPANS))
-    found = materialise(map_batches(found, merge(conflicts=True), SPANS), "passages")
-    looked = found.where(F.col("kind") == FIRST).groupBy(F.col("doc").alias("__doc")).agg(
-        F.collect_list(F.struct("at", "n")).alias("spans")
-    )
-    windows = rows.join(looked, "__doc").select("__doc", "__body", "spans")
-    windows = map_batches(_sorted_places(map_batches(windows, suffixes, SPANS)), merge(conflicts=False), SPANS)
-    repeats = found.unionByName(windows).where(F.col("kind") == REPEAT).groupBy(F.col("doc").alias("__doc")).agg(
-        F.collect_list(F.struct("at", "n")).alias("__spans")
-    )
+    def looked(places: DataFrame) -> DataFrame:
+        """Documents with the first places that must be looked at."""
+        spans = places.where(F.col("kind") == FIRST).groupBy(F.col("doc").alias("__doc"))
+        spans = spans.agg(F.collect_list(F.struct("at", "n", "lead")).alias("spans"))
+        return rows.join(spans, "__doc").select("__doc", "__body", "spans")
+
+    def sorted_merge(texts: DataFrame, step, conflicts: bool) -> DataFrame:
+        return map_batches(_sorted_places(map_batches(texts, step, SPANS)), merge(conflicts), SPANS)
+
+    whole = materialise(sorted_merge(rows.select("__doc", "__body"), parse, True), "passages")
+    parts = sorted_merge(looked(whole), blocks, True)
+    single = sorted_merge(looked(parts), suffixes, False)
+    repeats = whole.unionByName(parts).unionByName(single).where(F.col("kind") == REPEAT)
+    repeats = repeats.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("at", "n")).alias("__spans"))
     joined = rows.join(repeats, "__doc", "left")
     if columns is None:
         joined = joined.withColumn(doc_id, F.expr(f"nullif(__doc, cast({NO_ID} AS BIGINT))"))
