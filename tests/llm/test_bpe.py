@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+from itertools import chain
 
+import numpy as np
 import public_tokenizers as public
 import pytest
 import regex
@@ -12,7 +14,7 @@ from hypothesis import strategies as st
 
 from tests.llm.cases import documents, odd_texts, words
 from veridraft.llm import bpe
-from veridraft.llm.pretokens import Stretches
+from veridraft.llm.pretokens import Memory, stretches
 
 PATH = public.path("byte_bpe_multi_50k.tiktoken")
 RANKS = bpe.read_ranks(PATH)
@@ -26,8 +28,9 @@ TEXT = st.text(st.sampled_from("abeinorst 'AZé日́²3\n\t\r\x1c\x85\xa0  　.,
 @settings(max_examples=400, deadline=None)
 @given(TEXT)
 def test_same_as_the_library(text):
-    stretches = Stretches(lambda s: [i for p in CUT.findall(s) for i in PAIRS.encode_piece(p.encode())])
-    ids = [i for v in stretches.of(text) for i in v]
+    assert "".join(stretches(text)) == text
+    values = lambda new: [list(chain(*PAIRS.encode_pieces([p.encode() for p in CUT.findall(s)]))) for s in new]
+    ids = [i for v in next(Memory(values).of([text])) for i in v]
     assert ids == REFERENCE.encode_ordinary(text)
     assert PAIRS.decode(ids) == text.encode()
 
@@ -41,22 +44,35 @@ def test_any_ranks(text, seed):
     tokens = rng.sample(sorted(tokens), len(tokens) // 2)
     ranks = {bytes([b]): b for b in range(256)} | {t: 256 + k for k, t in enumerate(tokens)}
     own = tiktoken.Encoding("x", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=len(ranks))
-    assert bpe.BytePairs(ranks).encode_piece(text.encode()) == own.encode_ordinary(text)
+    pieces = [text, text[1:], text[::-1], text]
+    assert bpe.BytePairs(ranks).encode_pieces([p.encode() for p in pieces]) == [own.encode_ordinary(p) for p in pieces]
 
 
 def test_white_space_of_the_pattern():
     every = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
     for c in every:
         for text in (f"a{c} b", f"a {c}b", f"{c}{c}x"):
-            got = [i for p in CUT.findall(text) for i in PAIRS.encode_piece(p.encode())]
+            got = list(chain(*PAIRS.encode_pieces([p.encode() for p in CUT.findall(text)])))
             assert got == REFERENCE.encode_ordinary(text), hex(ord(c))
 
 
-def test_long_piece():
+def test_long_pieces_together():
     rng = random.Random(3)
-    piece = "".join(rng.choices("abcdefgh", k=60_000)) + "a" * 60_000
-    assert PAIRS.encode_piece(piece.encode()) == REFERENCE.encode_ordinary(piece)
-    assert PAIRS.queue.first() == -1
+    pieces = ["".join(rng.choices("abcdefgh", k=60_000)) + "a" * 60_000, "", "b" * 30_001, "x", " the"]
+    got = PAIRS.encode_pieces([p.encode() for p in pieces])
+    assert got == [REFERENCE.encode_ordinary(p) for p in pieces]
+
+
+def test_queue_gives_the_lowest_rank():
+    rng, queue, held = random.Random(4), bpe.RankQueue(50_000), {}
+    for k in range(3000):
+        if held and rng.random() < 0.5:
+            rank = queue.first()
+            assert rank == min(held) and queue.take(rank).tolist() == sorted(held.pop(rank))
+        else:
+            rank = rng.choice([rng.randrange(50_000), 63, 64, 4095, 4096, 49_999])
+            queue.push(rank, np.array([k]))
+            held.setdefault(rank, []).append(k)
 
 
 @pytest.mark.parametrize("extra", [[], ["n_tokens", "kept"]])

@@ -1,46 +1,59 @@
 """Byte-level BPE with a rank queue of hierarchical bitmaps.
 
-The queue holds, for every merge rank, the places in the pre-token where that merge could be
-made. Three levels of 64-bit words say which ranks have places; find-first-set from the top
-gives the next rank in three steps, however long the pre-token is. Merging a pair makes its
-neighbours' entries stale; they are skipped when their turn comes. A pre-token of n bytes
-costs O(n) queue operations, and O(n log n) for the sorting of places of equal rank.
+The queue holds, for every merge rank, the places where that merge could be made. Three levels
+of 64-bit words say which ranks have places; find-first-set from the top gives the next rank
+in three steps. The places are those of a linked list over the bytes of all pre-tokens that
+are new in a chunk of texts, so one step merges a rank's places wherever they are. Merging a
+pair makes its neighbours' entries stale; they are skipped when their turn comes. A pre-token
+of n bytes costs O(n) queue entries, however long it is.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veridraft.llm.common import add_columns, table
-from veridraft.llm.pretokens import Stretches
+from veridraft.llm.common import map_batches, table
+from veridraft.llm.pretokens import Memory, chunked
 
 
 class RankQueue:
-    """Places by rank; ``first`` is the smallest rank that has any, or -1."""
+    """Places by rank, as lists of arrays; ``first`` is the smallest rank that has any, or -1."""
 
     def __init__(self, ranks: int):
-        self.places: list[list[int] | None] = [None] * ranks
+        self.places: list[list[np.ndarray] | None] = [None] * ranks
         self.low = [0] * ((ranks >> 6) + 1)
         self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
 
-    def push(self, rank: int, place: int) -> None:
+    def push(self, rank: int, places: np.ndarray) -> None:
         at = self.places[rank]
         if at is not None:
-            at.append(place)
+            at.append(places)
             return
-        self.places[rank] = [place]
+        self.places[rank] = [places]
         a, b = rank >> 6, rank >> 12
         self.low[a] |= 1 << (rank & 63)
         self.mid[b] |= 1 << (a & 63)
         self.top |= 1 << b
 
+    def push_all(self, ranks: np.ndarray, places: np.ndarray) -> None:
+        """Places of several ranks."""
+        order = ranks.argsort(kind="stable")
+        ranks, places = ranks[order], places[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        for rank, some in zip(ranks[np.append(0, cuts)].tolist(), np.split(places, cuts)):
+            self.push(rank, some)
+
     def first(self) -> int:
         if not self.top:
             return -1
@@ -50,8 +63,8 @@ class RankQueue:
         word = self.low[a]
         return a << 6 | (word & -word).bit_length() - 1
 
-    def take(self, rank: int) -> list[int]:
-        """All places of a rank, which leaves the queue."""
+    def take(self, rank: int) -> np.ndarray:
+        """All places of a rank in order, which leave the queue."""
         found, self.places[rank] = self.places[rank], None
         a, b = rank >> 6, rank >> 12
         self.low[a] &= ~(1 << (rank & 63))
@@ -59,7 +72,8 @@ class RankQueue:
             self.mid[b] &= ~(1 << (a & 63))
             if not self.mid[b]:
                 self.top &= ~(1 << b)
-        return found
+        places = found[0] if len(found) == 1 else np.concatenate(found)
+        return np.sort(places)
 
 
 class BytePairs:
@@ -68,56 +82,97 @@ class BytePairs:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.queue = RankQueue(max(ranks.values()) + 1)
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """One pre-token: always the lowest rank first, the leftmost place of equal ranks."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        rank_of, queue, n = self.ranks.get, self.queue, len(piece)
+        self.size = max(ranks.values()) + 1
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte_pair = np.full((256, 256), -1, np.int64)
+        #: All ways to write a token as two tokens: key (left, right), sorted, and its rank.
+        keys, values = [], []
+        #: Ranks whose merge can open a lower rank: these are merged one by one in a pre-token.
+        self.opens = np.zeros(self.size, bool)
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    keys.append(left * self.size + right)
+                    values.append(rank)
+                    self.opens[left] |= rank < left
+                    self.opens[right] |= rank < right
+            if len(token) == 2:
+                self.byte_pair[token[0], token[1]] = rank
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.values = np.append(np.array(values, np.int64)[order], -1)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of tokens, -1 where they don't make a token."""
+        key = left * self.size + right
+        at = self.keys.searchsorted(key)
+        return np.where(self.keys[at] == key, self.values[at], -1)
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of every pre-token: always the lowest rank first, the leftmost of equal ranks."""
+        ids: list = [self.ranks.get(p) for p in pieces]
+        open_ = [k for k, i in enumerate(ids) if i is None and pieces[k]]
+        for k, part in zip(open_, self._merge([pieces[k] for k in open_]) if open_ else []):
+            ids[k] = part
+        return [i if isinstance(i, list) else [] if i is None else [i] for i in ids]
+
+    def _merge(self, pieces: list[bytes]) -> list[list[int]]:
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n, queue = len(data), RankQueue(self.size)
+        stops = np.cumsum([len(p) for p in pieces])
+        piece = np.repeat(np.arange(len(pieces)), np.diff(stops, prepend=0))
         # A linked list over the bytes: a token starts at i and ends where the next one starts.
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # the rank of the token at i merged with the next one
-        for i in range(n - 1):
-            rank = rank_of(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
+        token = self.byte[data]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        pair = np.full(n, -1, np.int64)  # the rank of the token at i merged with the next one
+        pair[:-1] = self.byte_pair[data[:-1], data[1:]]
+        pair[stops - 1] = -1
+        before[np.append(0, stops[:-1])] = -1
+        stop = stops[piece]
+        alive = np.ones(n, bool)
+        start = np.flatnonzero(pair >= 0)
+        if len(start):
+            queue.push_all(pair[start], start)
         while (rank := queue.first()) >= 0:
             places = queue.take(rank)
-            places.sort()
-            for k, i in enumerate(places):
-                if pair[i] != rank:
-                    continue  # stale
-                gone = after[i]
-                end = after[gone]
-                after[i] = end
-                pair[gone] = pair[i] = -1
-                lowest = rank
-                if end < n:
-                    before[end] = i
-                    new = rank_of(piece[i : after[end]])
-                    if new is not None:
-                        pair[i] = new
-                        queue.push(new, i)
-                        lowest = min(lowest, new)
-                left = before[i]
-                if left >= 0:
-                    new = rank_of(piece[left:end])
-                    pair[left] = -1 if new is None else new
-                    if new is not None:
-                        queue.push(new, left)
-                        lowest = min(lowest, new)
-                if lowest < rank:  # goes first; the other places wait
-                    for other in places[k + 1 :]:
-                        queue.push(rank, other)
-                    break
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
-        return ids
+            places = places[pair[places] == rank]  # the others are stale
+            if self.opens[rank] and len(places) > 1:
+                one = np.append(True, piece[places[1:]] != piece[places[:-1]])
+                if not one.all():
+                    queue.push(rank, places[~one])
+                    places = places[one]
+            elif len(places) > 1:
+                chained = after[places[:-1]] == places[1:]
+                if chained.any():  # of places that share a token every other one, from the left
+                    k = np.arange(len(places))
+                    head = np.append(True, ~chained)
+                    places = places[(k - np.maximum.accumulate(np.where(head, k, 0))) % 2 == 0]
+            if not len(places):
+                continue
+            gone = after[places]
+            end = after[gone]
+            after[places] = end
+            token[places] = rank
+            pair[gone] = -1
+            pair[places] = -1
+            alive[gone] = False
+            inner = end < stop[places]
+            before[end[inner]] = places[inner]
+            back = before[places]
+            left = np.concatenate((places[inner], back[back >= 0]))
+            if not len(left):
+                continue
+            # A left neighbour that was merged in this step as well is listed once.
+            left = np.unique(left)
+            new = self.merged(token[left], token[after[left]])
+            pair[left] = new
+            found = new >= 0
+            if found.any():
+                queue.push_all(new[found], left[found])
+        ids, owner = token[alive], piece[alive]
+        cuts = np.searchsorted(owner, np.arange(1, len(pieces)))
+        return [part.tolist() for part in np.split(ids, cuts)]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -130,17 +185,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str, pattern: str) -> Stretches:
-    """What a Python worker keeps between batches."""
+def _worker(path: str, pattern: str) -> Memory:
+    """What a Python worker keeps between chunks: (decimal ids, number of ids, decoded bytes)."""
     import regex
 
     pairs, cut = BytePairs(read_ranks(path)), regex.compile(pattern)
-
-    def value(stretch: str):
-        ids = [i for piece in cut.findall(stretch) for i in pairs.encode_piece(piece.encode())]
-        return ",".join(map(str, ids)), len(ids), pairs.decode(ids)
-
-    return Stretches(value)
+    decimal = {i: str(i) for i in pairs.bytes_of}
+
+    def values(new: list[str]) -> list[tuple[str, int, bytes]]:
+        found = [cut.findall(x) for x in new]
+        pieces = list(set(chain.from_iterable(found)))
+        ids = pairs.encode_pieces([p.encode() for p in pieces])
+        known = {
+            p: (",".join([decimal[i] for i in row]), len(row), pairs.decode(row)) for p, row in zip(pieces, ids)
+        }
+        out = []
+        for parts in found:
+            if len(parts) == 1:
+                out.append(known[parts[0]])
+            else:
+                texts, counts, decoded = zip(*[known[p] for p in parts])
+                out.append((",".join(texts), sum(counts), b"".join(decoded)))
+        return out
+
+    return Memory(values)
 
 
 def encode_documents(
@@ -152,26 +220,23 @@ def encode_documents(
     ``columns`` (default: the id) pass through; added names replace carried ones. A null or
     empty text has no tokens. No special tokens are used: their strings are ordinary text.
     """
-
-    def digests(texts: list[str]):
-        worker = _worker(path, pattern)
-        counts, ids, decoded = [], [], []
-        for t in texts:
-            worker.forget()
-            values = worker.of(t)
-            counts.append(sum([v[1] for v in values]))
-            ids.append(hashlib.sha256(",".join([v[0] for v in values]).encode()).hexdigest())
-            decoded.append(hashlib.sha256(b"".join([v[2] for v in values])).hexdigest())
-        return counts, ids, decoded
-
-    carried = columns or ["doc_id"]
-    rows = docs.select(*dict.fromkeys([*carried, text]))
-    added = [
-        ("n_tokens", T.LongType(), pa.int64()),
-        ("ids_sha256", T.StringType(), pa.string()),
-        ("decoded_sha256", T.StringType(), pa.string()),
-    ]
-    return add_columns(rows, text, added, digests, keep_text=text in carried)
+    added = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    carried = [c for c in columns or ["doc_id"] if c not in added]
+    rows = docs.select(*carried, F.col(text).alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunked(batches, len(carried)):
+            counts, ids, decoded = [], [], []
+            for values in _worker(path, pattern).of(texts):
+                counts.append(sum([v[1] for v in values]))
+                ids.append(hashlib.sha256(",".join([v[0] for v in values]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([v[2] for v in values])).hexdigest())
+            columns = [batch.column(i) for i in range(len(carried))]
+            columns += [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, carried + added)
+
+    fields = [(f.name, f.dataType) for f in docs.select(*carried).schema.fields]
+    return map_batches(rows, run, fields + list(zip(added, [T.LongType(), T.StringType(), T.StringType()])))
 
 
 def op2_byte_pairs(spark, folder: str) -> DataFrame:

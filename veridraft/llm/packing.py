@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from veridraft.llm.common import map_batches, table
-from veridraft.llm.pretokens import Stretches
+from veridraft.llm.pretokens import Memory, chunked
 from veridraft.session import materialise
 
 CAPACITY = 2048
@@ -160,24 +160,19 @@ def places(kinds: Counter[Kind]) -> list[tuple[int, int, int, int, int]]:
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str) -> Stretches:
+def _worker(path: str) -> Memory:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def value(stretch: str) -> bytes:
-        return np.array(tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+    def values(new: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids."""
+        found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    return Stretches(value)
-
-
-def token_bytes(text: str, path: str) -> bytes:
-    """Little-endian 32-bit ids of a whole text and the end id."""
-    worker = _worker(path)
-    worker.forget()
-    return b"".join(worker.of(text)) + np.uint32(END).tobytes()
+    return Memory(values)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -191,14 +186,14 @@ def pieces(docs: DataFrame, path: str, capacity: int, text: str, carried: list[s
     rows = docs.select(*carried, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in chunked(batches, len(carried)):
             owner, out = [], []
-            for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                ids = memoryview(token_bytes(t or "", path))
+            for i, parts in enumerate(_worker(path).of(texts)):
+                ids = memoryview(b"".join(parts) + np.uint32(END).tobytes())
                 for k, (start, n) in enumerate(cuts(len(ids) // 4, capacity)):
                     owner.append(i)
                     out.append((k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
-            columns = [batch.column(i).take(pa.array(owner, pa.int64())) for i in range(batch.num_columns - 1)]
+            columns = [batch.column(i).take(pa.array(owner, pa.int64())) for i in range(len(carried))]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns += [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, [*carried, "piece", "start", "length", "ids_crc32"])

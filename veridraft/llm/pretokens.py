@@ -1,58 +1,67 @@
 """Pre-tokens of byte-level BPE vocabularies, with results remembered by stretch of text.
 
 No pre-token reaches past a single space between two characters that are no white space (the
-space opens the next pre-token). Texts are therefore cut there, and a stretch that was seen
-before is not matched again. Stretches that touch other white space at an end take the exact
-but slower cut by pattern.
+space opens the next pre-token). Texts are therefore cut before such spaces, and a stretch
+that was seen before is not matched again.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 #: A worker forgets what it remembers beyond this many stretches; results do not depend on it.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Longer stretches are not remembered.
 LONGEST = 64
+#: Characters of text handled at a time; a longer text is handled alone.
+CHUNK_CHARS = 8 << 20
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than blanks and line ends, and the mark used for cutting.
+_RARE = re.compile(r"[^\S \n]|\0")
 
 
-class _Memory(dict):
-    """stretch -> value; None where white space at an end makes the cut unsafe."""
-
-    def __init__(self, value: Callable[[str], object], before: str):
-        super().__init__()
-        self.value, self.before = value, before
+def stretches(text: str) -> list[str]:
+    """The text, cut before every single space between characters that are no white space."""
+    if not text:
+        return []
+    ends = text[0].isspace() or text[-1].isspace()
+    if ends or "  " in text or "\n " in text or " \n" in text or _RARE.search(text):
+        first, *later = _CUT.split(text)
+        return [first, *(" " + x for x in later)]
+    return text.replace(" ", "\0 ").split("\0")
 
-    def __missing__(self, piece: str):
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            found = None
-        else:
-            found = self.value(self.before + piece)
-        if len(piece) <= LONGEST:
-            self[piece] = found
-        return found
 
+class Memory:
+    """Values of stretches; ``values`` computes those of a list of new ones, whatever is around."""
 
-class Stretches:
-    """Values of the stretches of a text, in order; ``value`` must not depend on what is around."""
+    def __init__(self, values: Callable[[list[str]], list]):
+        self.values, self.known = values, {}
 
-    def __init__(self, value: Callable[[str], object]):
-        self.value, self.first, self.later = value, _Memory(value, ""), _Memory(value, " ")
+    def of(self, texts: list[str]) -> Iterator[list]:
+        """For every text the values of its stretches, in order."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        cut = [stretches(t) for t in texts]
+        new = list(set().union(*cut).difference(self.known))
+        known = self.known | dict(zip(new, self.values(new))) if new else self.known
+        for parts in cut:
+            yield list(map(known.__getitem__, parts))
+        self.known = {k: v for k, v in known.items() if len(k) <= LONGEST} if new else known
 
-    def forget(self) -> None:
-        for memory in (self.first, self.later):
-            if len(memory) > REMEMBERED:
-                memory.clear()
 
-    def of(self, text: str) -> list:
-        if not text:
-            return []
-        first, *later = text.split(" ")
-        values = [self.first[first], *map(self.later.__getitem__, later)]
-        if None in values:
-            first, *later = _CUT.split(text)
-            values = [self.value(first), *(self.value(" " + x) for x in later)]
-        return values
+def chunked(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Pieces of the batches whose texts (in column ``text``, null: empty) fit a chunk."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(text).to_pylist()]
+        start, size = 0, 0
+        for i, t in enumerate(texts):
+            if size and size + len(t) > CHUNK_CHARS:
+                yield batch.slice(start, i - start), texts[start:i]
+                start, size = i, 0
+            size += len(t)
+        if start < len(texts):
+            yield batch.slice(start), texts[start:]
