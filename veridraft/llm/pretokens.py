@@ -7,7 +7,6 @@ that was seen before is not matched again.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -46,21 +45,15 @@ class Memory:
         """For every text the values of its stretches, in order."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        collecting = gc.isenabled()
-        gc.disable()  # nothing here has cycles, and there are very many small objects
-        try:
-            cut = [stretches(t) for t in texts]
-            new = list(set().union(*cut).difference(self.known))
-            if new:
-                self.known.update(zip(new, self.values(new)))
-            out = [list(map(self.known.__getitem__, parts)) for parts in cut]
-            for k in new:
-                if len(k) > LONGEST:
-                    del self.known[k]
-        finally:
-            if collecting:
-                gc.enable()
-        return iter(out)
+        cut = [stretches(t) for t in texts]
+        new = list(set().union(*cut).difference(self.known))
+        if new:
+            self.known.update(zip(new, self.values(new)))
+        for parts in cut:
+            yield list(map(self.known.__getitem__, parts))
+        for k in new:
+            if len(k) > LONGEST:
+                del self.known[k]
 
 
 def chunked(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
