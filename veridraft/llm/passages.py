@@ -37,7 +37,7 @@ from veridraft.session import materialise
 LENGTH = 100
 TRIGGER = 20
 #: Bytes of text parsed at a time; longer documents are a chunk of their own.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 3 << 20
 #: Stands for a null id: it sorts before all others.
 NO_ID = -(1 << 63)
 
@@ -64,14 +64,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def rolling(data: np.ndarray) -> np.ndarray:
     """Hashes of all stretches of TRIGGER = 16 + 4 bytes: polynomial, by doubling, then mixed."""
     base = 0x100000001B3
-    h, width, at = data.astype(np.uint64) + np.uint64(1), 1, {}
+    h, width, four = data.astype(np.uint64) + np.uint64(1), 1, None
     while width < 16:
         factor = np.uint64(pow(base, width, 1 << 64))
         h = h[:-width] * factor + h[width:]
         width *= 2
-        at[width] = h
+        four = h if width == 4 else four
     n = len(data) - TRIGGER + 1
-    return _mixed(h[:n] * np.uint64(pow(base, 4, 1 << 64)) + at[4][16 : 16 + n])
+    return _mixed(h[:n] * np.uint64(pow(base, 4, 1 << 64)) + four[16 : 16 + n])
 
 
 def selected(h: np.ndarray) -> np.ndarray:
