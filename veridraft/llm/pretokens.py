@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 #: A worker forgets what it remembers beyond this many stretches; results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Longer stretches are not remembered.
 LONGEST = 64
 #: Characters of text handled at a time; a longer text is handled alone.
