@@ -16,13 +16,13 @@ from veridraft.plans.registry import all_queries
 from veridraft.session import local_session
 
 HEADLINE = [
-    "a37_review_queue", "a41_dashboard", "a43_rescore", "a43_rescored_queue", "a44_result_summary",
-    "a50_join_flags", "a51_evidence_source_cited", "a56_match_paragraphs", "a62_heatmap",
+    "a35_pick_flag", "a37_review_queue", "a41_dashboard", "a43_rescore", "a43_rescored_queue", "a44_result_summary",
+    "a50_join_flags", "a51_evidence_source_cited", "a56_match_paragraphs", "a60_paragraph_view", "a62_heatmap", "a62_heatmap_ten_sections",
     "a63_apply_decisions", "a67_process_decisions", "a71_verification_trail", "a72_stage_board",
     "b01_waterfall", "b02_score_progression", "b03_location_heatmap", "b04_canonical_text",
     "b05_extract_claims", "b06_bm25_top_k", "b07_vector_top_k", "b08_source_precedence",
     "b09_claim_verdicts", "b10_claim_root", "b11_policy_rollup", "b12_live_scores",
-    "b13_integrity_report", "b15_session_activity",
+    "b13_integrity_report", "b14_live_stages", "b15_session_activity", "e3_audit_documents",
 ]
 
 

@@ -7,11 +7,12 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from veridraft.session import local_session  # noqa: E402
+from veridraft.session import clean_up, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("4", shuffle_partitions=4, memory="6g")
+def spark(tmp_path_factory):
+    session = local_session("4", shuffle_partitions=4, memory="6g", work=str(tmp_path_factory.mktemp("work")))
     yield session
+    clean_up(session)
     session.stop()

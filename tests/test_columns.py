@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,10 +80,14 @@ def test_upload_validation(spark):
 def test_manifest_has_real_digests(spark, tmp_path):
     import hashlib
 
-    (tmp_path / "a.txt").write_bytes(b"hello")
-    (tmp_path / "b.bin").write_bytes(b"x")
-    rows = {r.filename: r for r in uploads.upload_manifest(spark, str(tmp_path), {"txt": "text/plain"}).collect()}
+    for name, content in (("a.txt", b"hello"), ("b.bin", b"x"), ("c.txt", b"")):
+        (tmp_path / name).write_bytes(content)
+    files = spark.createDataFrame([(f"file:{p}", p.stat().st_size) for p in tmp_path.iterdir()] + [("file:/gone.txt", 9)], "path string, length bigint")
+    contents = uploads.read_contents(spark, str(tmp_path))
+    rows = {r.filename: r for r in uploads.upload_manifest(files, contents, {"txt": "text/plain"}).collect()}
+    assert len(rows) == 4 and rows["gone.txt"].hash is None
     assert rows["a.txt"].hash == "sha256:" + hashlib.sha256(b"hello").hexdigest()
+    assert rows["c.txt"].hash == "sha256:" + hashlib.sha256(b"").hexdigest() and rows["c.txt"].size_bytes == 0
     assert (rows["a.txt"].size_bytes, rows["a.txt"].mime_type) == (5, "text/plain")
     assert rows["b.bin"].mime_type == "application/octet-stream"
 
@@ -181,9 +187,15 @@ def test_notes_and_edits(spark):
 def test_parse_values(spark):
     rows = [("₹20,640,000",), ("24.8M",), ("99.5 %",), ("none",), ("₹41.6L",)]
     got = values(spark, rows, "x string", verdicts.parse_amount(F.col("x")))
-    assert got[:4] == [20640000.0, 24.8e6, 99.5, None] and got[4] == pytest.approx(4.16e6)
-    days = values(spark, [("22 Dec 2026",), ("2026-11-15",), ("x",)], "x string", verdicts.parse_day(F.col("x")))
-    assert [str(d) if d else None for d in days] == ["2026-12-22", "2026-11-15", None]
+    assert got == [20640000, 24800000, Decimal("99.5"), None, 4160000]
+    rows = [("16.4M",), ("₹2.5 Cr",), ("₹15 lakh",), ("$5 million",), ("20 Meters",), ("5 Basis",), ("1.29M",), ("9" * 25,)]
+    got = values(spark, rows, "x string", verdicts.parse_amount(F.col("x")))
+    assert got == [16400000, 25000000, 1500000, 5000000, 20, 5, 1290000, None]
+    forms = [("22 Dec 2026",), ("2026-11-15",), ("x",), ("March 5, 2026",), ("Dec 22, 2026",), ("7 November 2026",)]
+    days = values(spark, forms, "x string", verdicts.parse_day(F.col("x")))
+    assert [str(d) if d else None for d in days] == [
+        "2026-12-22", "2026-11-15", None, "2026-03-05", "2026-12-22", "2026-11-07"
+    ]
 
 
 def test_verdicts(spark):

@@ -6,7 +6,7 @@ import pytest
 
 from veridraft.plans.registry import all_queries
 from veridraft.sources.adapters import Views
-from veridraft.operators import scoring, triage
+from veridraft.operators import decisions, scoring, triage
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -42,8 +42,21 @@ def test_dashboard_is_one_aggregation(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    lines = Views(spark, FOLDER).claims()
-    assert "PushedFilters: [IsNotNull(l_linestatus), EqualTo(l_linestatus,O)]" in plan(lines)
+    urgent = Views(spark, FOLDER).table("orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    assert "EqualTo(o_orderpriority,1-URGENT)" in plan(urgent)
+
+
+def test_ordered_groups_force_no_broadcast(spark, no_broadcast):
+    """The list of large groups grows with the data: its join is left to the planner."""
+    for name in ("b01_waterfall_large_audits", "a64_history_large_flags", "b02_progression_large_audits"):
+        assert "BroadcastHashJoin" not in plan(all_queries()[name].run(spark, FOLDER)), name
+
+
+def test_submitted_decisions_meet_flags_as_a_small_side(spark):
+    """A65 leaves no distinct over all flags: they are filtered by the pairs of the batch first."""
+    v = Views(spark, FOLDER)
+    _ok, rejected = decisions.split_decisions(v.decisions().limit(5), v.decision_audits(), v.decision_flags())
+    assert "LeftSemi" in plan(rejected)
 
 
 def test_recent_audits_is_a_top_k(spark):

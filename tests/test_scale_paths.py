@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -14,7 +15,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veridraft.functions.arrays import BLOCK, start_offsets
-from veridraft.operators import activity, canonical, evidence, ordered, paragraphs, passports, retrieval, stages
+from veridraft.operators import activity, canonical, evidence, ordered, paragraphs, passports, retrieval, scoring, stages
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +34,7 @@ def skewed_log(spark):
 @pytest.mark.parametrize("group_rows", [0, 100, 10**9])
 def test_running_sum_equals_plain_window(skewed_log, group_rows):
     order = [F.col("ts"), F.col("id")]
-    got = ordered.running_sum(skewed_log, ["k"], order, ordered.hour_chunk(), {"s": F.col("v")}, group_rows)
+    got = ordered.running_sum(skewed_log, ["k"], order, ordered.time_chunks("ts", "id"), {"s": F.col("v")}, group_rows)
     plain = F.sum(F.coalesce("v", F.lit(0))).over(
         Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -43,7 +44,7 @@ def test_running_sum_equals_plain_window(skewed_log, group_rows):
 
 @pytest.mark.parametrize("group_rows", [0, 100, 10**9])
 def test_last_before_equals_plain_window(skewed_log, group_rows):
-    got = ordered.last_before(skewed_log, ["k"], ["ts", "id"], ordered.hour_chunk(), "v", "p", group_rows)
+    got = ordered.last_before(skewed_log, ["k"], ["ts", "id"], ordered.time_chunks("ts", "id"), "v", "p", group_rows)
     plain = F.last("v", ignorenulls=True).over(
         Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -51,6 +52,30 @@ def test_last_before_equals_plain_window(skewed_log, group_rows):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_group_with_one_timestamp(spark):
+    """A bulk import: one key holds all rows, at one time."""
+    log = spark.range(5000).selectExpr("id * 40 AS id", "'hot' AS k", "TIMESTAMP '2026-01-01' AS ts", "CAST(id % 7 AS INT) AS v")
+    log = log.repartition(5)
+    got = ordered.running_sum(log, ["k"], [F.col("ts"), F.col("id")], ordered.time_chunks("ts", "id"), {"s": F.col("v")}, 100)
+    assert [r.s for r in got.orderBy("id").collect()] == list(itertools.accumulate(i % 7 for i in range(5000)))
+    got = ordered.last_before(log.withColumn("v", F.expr("nullif(v, 3)")), ["k"], ["ts", "id"], ordered.time_chunks("ts", "id"), "v", "p", 100)
+    want = [None] + [2 if i % 7 == 3 else i % 7 for i in range(4999)]
+    assert [r.p for r in got.orderBy("id").collect()] == want
+
+
+def test_sums_beyond_an_int(spark):
+    """Four flags of -2 * 10^9: the running score and the clamped one."""
+    flags = spark.createDataFrame(
+        [("A", i, f"F{i}", "HIGH", "PENDING", -2_000_000_000) for i in range(4)],
+        "audit_id string, ord int, flag_id string, severity string, status string, impact_score int",
+    )
+    audits = spark.createDataFrame([("A", 1)], "audit_id string, seq bigint")
+    steps = scoring.waterfall(audits, flags).orderBy("step").collect()
+    assert [r.score_after for r in steps] == [100 - 2_000_000_000 * i for i in range(5)]
+    assert [r.final_score for r in steps] == [None] * 4 + [0]
+    assert scoring.rescore(audits, flags).first().trust_score == 0
+
+
 def test_global_position(skewed_log):
     got = ordered.position(skewed_log, [], [F.desc("id")], [-F.floor(F.col("id") / 100)], "p").collect()
     assert all(r.p == 3000 - r.id for r in got)
@@ -240,16 +265,19 @@ def test_sentences_cover_the_canonical_text(spark, texts):
 
 def test_markup(spark):
     html = '<p>A&amp;lt; b</p><script>x("</p>")</script><STYLE>p{}</STYLE><!-- c --><br/>C&nbsp;d &copy;'
+    html += " &#8217;&#x20AC;&#39;&#0;&#55296;&#99999999; &amp;#65;"
     row = spark.createDataFrame([(html,)], "h string").select(
         canonical.normalise_space(canonical.strip_markup(F.col("h")))
     ).first()[0]
-    assert row == "A&lt; b C d ©"
+    assert row == "A&lt; b C d © ’€'&#0;&#55296;&#99999999; &#65;"
 
 
 def test_extracted_claims(spark):
     text = (
         "The fee is ₹24,800,000 or $5.5M. Delivery by 22 Dec 2026 or 2026-11-15! Uptime 99.99% a month."
-        " Mail a.b@mail.example.org from 10.0.0.1? Nothing here."
+        " Mail a.b@mail.example.org from 10.0.0.1? Nothing here. "
+        + "Rent ₹2.5 Cr, ₹3.2Cr, ₹15 lakh, $5 million, USD 500 or $20 Meters by March 5, 2026 at 2 percent."
+        + " Mail " + "a" * 80 + "@b.co!"
     )
     df = spark.createDataFrame([(1, text)], "id int, text string")
     rows = canonical.extract_claims(canonical.canonical_stream(df, "id", F.col("text")), "id").collect()
@@ -258,13 +286,16 @@ def test_extracted_claims(spark):
         (2, "DELIVERY_DATE", "22 Dec 2026"), (2, "DELIVERY_DATE", "2026-11-15"),
         (3, "SLA_GUARANTEE", "99.99%"),
         (4, "PII_SECURITY", "a.b@mail.example.org"), (4, "PII_SECURITY", "10.0.0.1"),
+        *[(6, "COMMERCIAL_VALUE", x) for x in ("₹2.5 Cr", "₹3.2Cr", "₹15 lakh", "$5 million", "USD 500", "$20")],
+        (6, "DELIVERY_DATE", "March 5, 2026"), (6, "SLA_GUARANTEE", "2 percent"),
+        (7, "PII_SECURITY", "a" * 80 + "@b.co"),
     ]
 
 
 # -- digests, precedence, stages -----------------------------------------------------------
 
 
-def test_claim_root_is_the_plain_chain_and_then_a_tree(spark):
+def test_claim_root_is_one_tree_for_every_size(spark):
     import hashlib
 
     def chain(items):
@@ -273,16 +304,17 @@ def test_claim_root_is_the_plain_chain_and_then_a_tree(spark):
             h = hashlib.sha256((h + x).encode()).hexdigest()
         return h
 
+    def root(items, fan_out, levels):
+        for _ in range(levels):
+            items = [chain(items[i : i + fan_out]) for i in range(0, len(items), fan_out)]
+        return items[0]
+
     claims = [f"claim {i}" for i in range(7)]
     df = spark.createDataFrame([("A", i + 1, c) for i, c in enumerate(claims)] + [("B", 1, "é")], "a string, n int, t string")
-    plain = {r.a: r.claim_tree_root for r in passports.claim_root(df, "a", "n", "t").collect()}
-    assert plain == {"A": chain(claims), "B": chain(["é"])}
-    tree = {r.a: r.claim_tree_root for r in passports.claim_root(df, "a", "n", "t", fan_out=3).collect()}
-    assert tree["A"] == chain([chain(claims[:3]), chain(claims[3:6]), chain(claims[6:])])
-    assert tree["B"] == chain(["é"])
-    with pytest.raises(Exception, match="more claims than"):
-        passports.claim_root(df, "a", "n", "t", fan_out=2, levels=2).collect()
-    stated = spark.createDataFrame([("A", "sha256chain:" + chain(claims)), ("B", "x"), ("C", "y")], "a string, claim_tree_root string")
+    for fan_out, levels in ((1024, 7), (3, 7), (2, 3)):
+        got = {r.a: r.claim_tree_root for r in passports.claim_root(df, "a", "n", "t", fan_out, levels).collect()}
+        assert got == {"A": root(claims, fan_out, levels), "B": root(["é"], fan_out, levels)}
+    stated = spark.createDataFrame([("A", "sha256chain:" + root(claims, 1024, 7)), ("B", "x"), ("C", "y")], "a string, claim_tree_root string")
     checked = {r.a: r.is_tampered for r in passports.check_claim_roots(df, stated, "a", "n", "t").collect()}
     assert checked == {"A": False, "B": True, "C": True}
 

@@ -67,3 +67,16 @@ def test_empty_store(spark, store):
     assert store.verify(asked).first().outcome == "INVALID"
     ids = spark.createDataFrame([("AUD-1",)], "audit_id string")
     assert store.passport(ids).first().is_fallback
+
+
+def test_one_audit_prunes_the_scan(spark, store, capsys):
+    """The stored key reaches the scans of audits and children."""
+    t = golden.tables(spark)
+    store.append("flags", t["flags"])
+    store.append("audits", t["audits"])
+    from veridraft.sources.audits import children_of, get_audit
+
+    audits, flags = store.table("audits"), store.table("flags")
+    for rows in (get_audit(audits, "AUD-1042", strict=False), children_of(audits, flags, "AUD-1042")):
+        rows.explain()
+        assert "EqualTo(audit_key,aud-1042)" in capsys.readouterr().out and rows.count() > 0

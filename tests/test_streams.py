@@ -37,19 +37,31 @@ def test_live_scores_equal_batch(spark, tmp_path):
     _split(log, f"{tmp_path}/in", 4, F.desc("ts"))
     log.where("decision_id % 3 = 0").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     query = rescoring.start_rescoring(
-        _stream(spark, f"{tmp_path}/in", log.schema), f"{tmp_path}/log", f"{tmp_path}/cp", late="60 days", availableNow=True
+        _stream(spark, f"{tmp_path}/in", log.schema), f"{tmp_path}/flags", f"{tmp_path}/cp", availableNow=True
     )
     query.awaitTermination()
-    state = rescoring.current_state(spark, f"{tmp_path}/log")
+    state = rescoring.DecisionLog(spark, f"{tmp_path}/flags").states()
     columns = ["audit_id", "trust_score", "findings_count", "status", "reviewer_decision_count"]
     live = rescoring.live_scores(v.decision_audits(), v.decision_flags(), state).select(*columns)
     batch = decisions.process_decisions(v.decision_audits(), v.decision_flags(), log)["audits"].select(*columns)
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
-    rescoring.compact_state(spark, f"{tmp_path}/log", f"{tmp_path}/compact")
-    again = rescoring.current_state(spark, f"{tmp_path}/compact")
+    assert rescoring.DecisionLog(spark, f"{tmp_path}/flags").decisions().count() == log.count()
+    rescoring.DecisionLog(spark, f"{tmp_path}/flags").compact(f"{tmp_path}/compact")
+    again = rescoring.DecisionLog(spark, f"{tmp_path}/compact").states()
     assert sorted(map(str, again.collect())) == sorted(map(str, state.select(*again.columns).collect()))
 
 
+def test_retried_batch_counts_once(spark, tmp_path):
+    log = Views(spark, FOLDER).decisions()
+    table = rescoring.DecisionLog(spark, f"{tmp_path}/flags")
+    table.add(log.where("decision_id % 2 = 0"), 0)
+    for _ in range(2):  # the second one replaces the first
+        table.add(log.where("decision_id % 2 = 1 OR decision_id % 5 = 0"), 1)
+    want = decisions.flag_states(log)
+    got = table.states().select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_live_stages_equal_batch(spark, tmp_path):
     v = Views(spark, FOLDER)
     events = v.stage_events()
@@ -83,6 +95,7 @@ def test_windows_drop_late_rows(spark, tmp_path):
 
 
 def test_session_stream(spark, tmp_path):
+    """Exactly the sessions the watermark has closed."""
     v = Views(spark, FOLDER)
     log = v.decisions()
     _split(log, f"{tmp_path}/in", 3, F.col("ts"))
@@ -90,8 +103,27 @@ def test_session_stream(spark, tmp_path):
     tables.start_table(stream, f"{tmp_path}/log", f"{tmp_path}/cp", mode="append", availableNow=True).awaitTermination()
     live = spark.read.parquet(f"{tmp_path}/log")
     batch = activity.session_activity(log, 1800).where(
-        # sessions still open at the end of the stream are not emitted
-        F.col("last_decision") + F.expr("INTERVAL 30 MINUTES") < F.lit(log.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 1 HOUR")
+        F.col("last_decision") + F.expr("INTERVAL 30 MINUTES") <= F.lit(log.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 1 HOUR")
     )
     columns = ["reviewed_by", "action", "session_start", "decisions"]
-    assert set(map(tuple, batch.select(*columns).collect())) <= set(map(tuple, live.select(*columns).collect()))
+    assert sorted(map(tuple, batch.select(*columns).collect())) == sorted(map(tuple, live.select(*columns).collect()))
+
+
+def test_stuck_stream_releases_finished_audits(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start = datetime(2026, 1, 1)
+    rows = [
+        ("done", "UPLOADING", 0), ("stuck", "PARSING", 0), ("late", "PARSING", 0), ("done", "COMPLETED", 5),
+        ("failed", "FAILED", 6), ("late", "INDEXING", 20), ("new", "QUEUED", 50), ("end", "COMPLETED", 60),
+    ]
+    for k, part in enumerate((rows[:3], rows[3:6], rows[6:])):
+        df = spark.createDataFrame([(a, s, start + timedelta(hours=h)) for a, s, h in part], "audit_id string, status string, ts timestamp")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        newest = max(Path(f"{tmp_path}/in").glob("part-*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+        newest.rename(newest.with_name(f"part-{k}.parquet"))
+    _date_files(f"{tmp_path}/in")
+    stream = tables.stuck_stream(_stream(spark, f"{tmp_path}/in", df.schema))
+    tables.start_table(stream, f"{tmp_path}/log", f"{tmp_path}/cp", mode="append", availableNow=True).awaitTermination()
+    found = {(r.audit_id, r.stage_rank) for r in spark.read.parquet(f"{tmp_path}/log").collect()}
+    assert found == {("stuck", 2), ("late", 5)}

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridraft.functions.arrays import start_offsets
+from veridraft.operators.verdicts import NUMBER, UNIT
 
 # --- fixed values: markup that carries no text, in the order it is removed ---------
 NO_TEXT = (
@@ -17,23 +18,31 @@ NO_TEXT = (
 TAG = r"<[^>]*>"
 # --- fixed values: entities, '&amp;' last -------------------------------------------
 ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "),
     ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"),
 )
 # --- fixed values: what counts as a verifiable value -----------------------------------
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+#: A run before the @ is taken whole and only where it begins: linear in the text, without a
+#: bound on its length.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._+-]))[A-Za-z0-9._+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 CLAIM_PATTERNS = (
-    ("COMMERCIAL_VALUE", r"[$€£₹]\s?[0-9][0-9,]*(?:\.[0-9]+)?(?:[KMBL]\b)?"),
-    ("DELIVERY_DATE", rf"\b[0-9]{{1,2}} (?:{MONTHS})[a-z]* [0-9]{{4}}\b|\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\b"),
-    ("SLA_GUARANTEE", r"\b[0-9]+(?:\.[0-9]+)?\s?%"),
+    ("COMMERCIAL_VALUE", rf"(?:[$€£₹]\s?|\b(?:USD|EUR|GBP|INR) ){NUMBER}(?:\s?(?:{UNIT})\b)?"),
+    (
+        "DELIVERY_DATE",
+        rf"\b[0-9]{{1,2}} (?:{MONTHS})[a-z]* [0-9]{{4}}\b|\b(?:{MONTHS})[a-z]* [0-9]{{1,2}}, [0-9]{{4}}\b"
+        r"|\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b",
+    ),
+    ("SLA_GUARANTEE", r"\b[0-9]+(?:\.[0-9]+)?\s?(?:%|percent\b)"),
     (
         "PII_SECURITY",
-        r"[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-        r"|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
+        EMAIL
+        + r"|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
         r"|\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
         r"|\b[0-9]{16}\b",
     ),
 )
+ENTITY_NUMBER = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 SENTENCE_END = "(?<=[.!?]) "
 
 
@@ -43,11 +52,26 @@ def strip_markup(html: Column) -> Column:
     for pattern in NO_TEXT:
         text = F.regexp_replace(text, pattern, " ")
     text = F.regexp_replace(text, TAG, " ")
+    text = numeric_entities(text)
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
 
+def numeric_entities(text: Column) -> Column:
+    """Decode ``&#8217;`` and ``&#x20AC;``; numbers that are no character stay as they are."""
+    code = lambda e: F.when(
+        e.rlike("^&#[xX]"), F.conv(F.regexp_extract(e, "([0-9a-fA-F]+);", 1), 16, 10)
+    ).otherwise(F.regexp_extract(e, "([0-9]+);", 1)).try_cast("bigint")
+    valid = lambda n: (n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF))
+    # UTF-32 bytes of the number, read as text
+    char = lambda e: F.when(
+        valid(code(e)), F.decode(F.unhex(F.lpad(F.hex(code(e)), 8, "0")), "UTF-32")
+    ).otherwise(e)
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY_NUMBER), F.lit(0)))
+    return F.when(text.contains("&#"), F.aggregate(found, text, lambda t, e: F.replace(t, e, char(e)))).otherwise(text)
+
+
 def normalise_space(text: Column) -> Column:
     """Runs of white space become one blank. Plain byte replacements do most of the work;
     the pattern only meets runs of blanks."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veridraft import domains as D
 from veridraft.functions.columns import audit_key, mapped, or_default, truthy
 from veridraft.functions.texts import non_blank
-from veridraft.operators.ordered import GROUP_ROWS, hour_chunk, position
+from veridraft.operators.ordered import GROUP_ROWS, position, time_chunks
 from veridraft.operators.scoring import rescore_decided
 
 AUDIT_MISSING = "Audit not found"
@@ -24,60 +24,75 @@ def join_flags(decisions: DataFrame, flags: DataFrame) -> DataFrame:
 def split_decisions(
     decisions: DataFrame, audits: DataFrame, flags: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """A65. (accepted, rejected with ``reason``); every decision is in exactly one."""
+    """A65. (accepted, rejected with ``reason``); every decision is in exactly one.
+
+    The audit is looked up first: a flag whose audit is unknown does not count. Judged once
+    per (audit, flag) pair of the decisions; flags and audits only meet those pairs.
+    """
     keyed = decisions.withColumn("_k", audit_key(F.col("audit_id")))
-    audit_keys = audits.select(audit_key(F.col("audit_id")).alias("_k"), F.lit(True).alias("_audit")).distinct()
-    flag_keys = flags.select(audit_key(F.col("audit_id")).alias("_k"), "flag_id").distinct()
-    # judged once per (audit, flag) pair; the log itself only meets the rejected pairs
+    pairs = keyed.select("_k", "flag_id").distinct()
+    asked = pairs.select("_k").distinct()
+    audit_keys = (
+        audits.select(audit_key(F.col("audit_id")).alias("_k")).join(asked, "_k", "left_semi").distinct()
+        .withColumn("_audit", F.lit(True))
+    )
+    flag_keys = flags.select(audit_key(F.col("audit_id")).alias("_k"), "flag_id")
+    known = flag_keys.join(pairs, ["_k", "flag_id"], "left_semi").distinct().withColumn("_flag", F.lit(True))
     refused = (
-        keyed.select("_k", "flag_id").distinct()
-        .join(flag_keys, ["_k", "flag_id"], "left_anti")
-        .join(audit_keys, "_k", "left")
-        .select(
-            "_k", "flag_id", F.when(F.col("_audit"), FLAG_MISSING).otherwise(AUDIT_MISSING).alias("reason")
-        )
+        pairs.join(audit_keys, "_k", "left").join(known, ["_k", "flag_id"], "left")
+        .where("_audit IS NULL OR _flag IS NULL")
+        .select("_k", "flag_id", F.when(F.col("_audit"), FLAG_MISSING).otherwise(AUDIT_MISSING).alias("reason"))
     )
     accepted = keyed.join(refused, ["_k", "flag_id"], "left_anti").select(*decisions.columns)
     rejected = keyed.join(refused, ["_k", "flag_id"]).select(*decisions.columns, "reason")
     return accepted, rejected
 
 
-def latest_decisions(decisions: DataFrame) -> DataFrame:
-    """A63. One row per flag with the last status and the last note that count.
+def flag_states(decisions: DataFrame) -> DataFrame:
+    """A63. One row per flag with what its decisions come to, in a form that can be merged.
 
     Status follows the last *known* action. Notes follow the last DISMISS (its note, even
     if missing) or FIX (its note, or a default text). Aggregates, so a flag decided very
     often is reduced before the shuffle.
     """
-    at = F.struct("ts", "decision_id")
     action = F.col("action")
     note = F.when(action == "FIX", or_default(F.col("note"), D.DEFAULT_FIX_NOTE)).otherwise(F.col("note"))
+    at = [F.col("ts").alias("ts"), F.col("decision_id").alias("id")]
     return decisions.groupBy(audit_key(F.col("audit_id")).alias("_k"), "flag_id").agg(
-        F.max_by(
-            mapped(action, D.ACTION_STATUS), F.when(action.isin(*D.ACTION_STATUS), at)
-        ).alias("new_status"),
-        # boxed, so that a winning NULL note is kept apart from "no such decision"
-        F.max_by(F.struct(note.alias("note")), F.when(action.isin("DISMISS", "FIX"), at)).alias("new_note"),
+        F.max(F.when(
+            action.isin(*D.ACTION_STATUS), F.struct(*at, mapped(action, D.ACTION_STATUS).alias("value"))
+        )).alias("status_at"),
+        F.max(F.when(action.isin("DISMISS", "FIX"), F.struct(*at, note.alias("value")))).alias("note_at"),
+        F.max("ts").alias("decided_at"),
         F.count(F.lit(1)).alias("decision_count"),
     )
 
 
-def merge_decisions(flags: DataFrame, latest: DataFrame) -> DataFrame:
-    """Flags with the result of ``latest_decisions`` applied."""
+def merge_states(states: DataFrame) -> DataFrame:
+    """States of disjoint sets of decisions become the states of all of them."""
+    return states.groupBy("_k", "flag_id").agg(
+        F.max("status_at").alias("status_at"), F.max("note_at").alias("note_at"),
+        F.max("decided_at").alias("decided_at"), F.sum("decision_count").alias("decision_count"),
+    )
+
+
+def merge_decisions(flags: DataFrame, states: DataFrame) -> DataFrame:
+    """Flags with the result of ``flag_states`` applied; adds decision_count and decided_at."""
     columns = flags.columns
-    merged = flags.withColumn("_k", audit_key(F.col("audit_id"))).join(latest, ["_k", "flag_id"], "left")
+    merged = flags.withColumn("_k", audit_key(F.col("audit_id"))).join(states, ["_k", "flag_id"], "left")
     return merged.withColumns({
-        "status": F.coalesce("new_status", "status"),
-        "reviewer_note": F.when(F.col("new_note").isNotNull(), F.col("new_note.note")).otherwise(
+        "status": F.coalesce("status_at.value", "status"),
+        # a winning NULL note is not the same as no such decision
+        "reviewer_note": F.when(F.col("note_at").isNotNull(), F.col("note_at.value")).otherwise(
             F.col("reviewer_note")
         ),
         "decision_count": F.coalesce("decision_count", F.lit(0).cast("bigint")),
-    }).select(*columns, "decision_count")
+    }).select(*columns, "decision_count", "decided_at")
 
 
 def apply_decisions(flags: DataFrame, decisions: DataFrame) -> DataFrame:
     """A63. Flags after all decisions; decisions on unknown flags change nothing."""
-    return merge_decisions(flags, latest_decisions(decisions))
+    return merge_decisions(flags, flag_states(decisions))
 
 
 def decision_history(decisions: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -87,7 +102,7 @@ def decision_history(decisions: DataFrame, group_rows: int = GROUP_ROWS) -> Data
     """
     keyed = decisions.withColumn("_k", audit_key(F.col("audit_id")))
     return position(
-        keyed, ["_k", "flag_id"], [F.col("ts"), F.col("decision_id")], hour_chunk(), "step", group_rows
+        keyed, ["_k", "flag_id"], [F.col("ts"), F.col("decision_id")], time_chunks(), "step", group_rows
     ).drop("_k")
 
 
@@ -105,9 +120,10 @@ def validate_notes(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
 def process_decisions(audits: DataFrame, flags: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]:
     """A67. Reject, apply, log and rescore in one pass over the log.
 
-    Only audits with an accepted decision are rescored; their decision counter grows by the
+    A decision that was delivered again (same ``decision_id``) counts once. Only audits with an accepted decision are rescored; their decision counter grows by the
     number of accepted log rows. Returns audits, flags, history, rejected.
     """
+    decisions = decisions.dropDuplicates(["decision_id"])
     accepted, rejected = split_decisions(decisions, audits, flags)
     # decisions on unknown flags drop out of this join by themselves
     current = apply_decisions(flags, decisions)

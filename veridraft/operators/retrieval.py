@@ -30,7 +30,7 @@ class PassageIndex:
 
     postings(passage key, term, df, idf, weight): weight is the saturated, length-normalised
     term frequency; idf * weight is what the term adds to a score.
-    terms(term, df, idf).
+    terms(term, df, most, idf): ``most`` is the largest weight.
     """
 
     key: str
@@ -57,11 +57,11 @@ def build_index(passages: DataFrame, key: str = "passage_id", text: str = "text"
     counted = materialise(counted, "postings")
     df = F.col("df")
     terms = materialise(
-        counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("most"))
         .withColumn("idf", F.log(F.lit(1) + (total - df + 0.5) / (df + 0.5))),
         "terms",
     )
-    return PassageIndex(key, materialise(counted.join(terms, "term"), "index"), terms)
+    return PassageIndex(key, materialise(counted.join(terms.drop("most"), "term"), "index"), terms)
 
 
 def bm25_top_k(
@@ -89,7 +89,7 @@ def bm25_top_k(
     query = claims.select(c, F.explode(F.array_distinct(words(F.col(claim_text)))).alias("term"))
     rare_postings = index.postings.where(F.col("df") <= rare_df)
     common_postings = index.postings.where(F.col("df") > rare_df)
-    common_terms = index.terms.where(F.col("df") > rare_df).select("term", "idf")
+    common_terms = index.terms.where(F.col("df") > rare_df).select("term", "idf", "most")
 
     def rare_scores(terms: DataFrame) -> DataFrame:
         pairs = terms.join(rare_postings, "term")
@@ -119,7 +119,7 @@ def bm25_top_k(
     first = materialise(_best(scored(rare_scores(query)), c, p, k), "first-round")
     kth = first.groupBy(c).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
     # what this term and all less valuable common terms of the claim can add at most
-    reach = F.sum(F.col("idf") * F.lit(K1 + 1)).over(
+    reach = F.sum(F.col("idf") * F.col("most")).over(
         Window.partitionBy(c).orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, 0)
     )
     essential = materialise(
@@ -177,8 +177,8 @@ def vector_top_k_many(
     """B07. The k most similar vectors for each query of queries(query_key, vector).
 
     Exact. A block of at most about ``block`` queries goes to all tasks; each Arrow batch of
-    vectors is compared as one matrix product and keeps its k best per query, so pairs are
-    never listed. More queries than that take more passes over ``vectors``.
+    vectors is compared as one matrix product; a task keeps the k best per query and puts them
+    out once, so pairs are never listed. More queries than that take more passes over ``vectors``.
     """
     blocks = math.ceil(queries.count() / block)
     if blocks == 0:
@@ -209,19 +209,22 @@ def _batch_best(vectors, ids, unit_queries, k, key, vector, query_key, queries)
     schema = ", ".join(f"{n} {t.simpleString()}" for n, t in types.items()) + ", score double"
 
     def best(batches):
+        best_keys, best_scores = None, None  # (queries, up to k): the best of the task so far
         for batch in batches:
             if batch.empty:
                 continue
             scores = np.round(unit_queries @ _unit_rows(batch[vector]).T, 6)
-            keys = batch[key].to_numpy()
-            # ties by key: order by key first, then stably by score
-            by_key = np.argsort(keys, kind="stable")
-            top = np.argsort(-scores[:, by_key], axis=1, kind="stable")[:, :k]
-            chosen = by_key[top]
+            keys = np.broadcast_to(batch[key].to_numpy(), scores.shape)
+            if best_keys is not None:
+                keys, scores = np.hstack([best_keys, keys]), np.hstack([best_scores, scores])
+            top = np.lexsort((keys, -scores), axis=1)[:, :k]  # ties by key
+            best_keys = np.take_along_axis(keys, top, axis=1)
+            best_scores = np.take_along_axis(scores, top, axis=1)
+        if best_keys is not None:
             yield pd.DataFrame({
-                query_key: np.repeat(ids, chosen.shape[1]),
-                key: keys[chosen].ravel(),
-                "score": np.take_along_axis(scores, chosen, axis=1).ravel(),
+                query_key: np.repeat(ids, best_keys.shape[1]),
+                key: best_keys.ravel(),
+                "score": best_scores.ravel(),
             })
 
     return vectors.select(key, vector).mapInPandas(best, schema)

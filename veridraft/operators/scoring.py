@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veridraft import domains as D
 from veridraft.functions.columns import audit_key, is_active
 from veridraft.functions.scores import clamp_score, risk_band
-from veridraft.operators.ordered import GROUP_ROWS, block_chunk, hour_chunk, last_before, running_sum
+from veridraft.operators.ordered import GROUP_ROWS, block_chunks, last_before, running_sum, time_chunks
 from veridraft.session import materialise
 
 
@@ -31,26 +31,31 @@ def rescore(audits: DataFrame, flags: DataFrame) -> DataFrame:
 
 def rescore_decided(audits: DataFrame, flags: DataFrame) -> DataFrame:
     """A67. Rescore only audits whose flags were decided on; the decision counter grows by
-    the number of decisions. ``flags`` has a ``decision_count`` (see ``merge_decisions``)."""
+    the number of decisions, and ``updated_at`` is the time of the last one. ``flags`` has a
+    ``decision_count`` (see ``merge_decisions``)."""
     active = is_active(F.col("status"))
     totals = flags.groupBy("audit_id").agg(
         F.sum(F.when(active, F.col("impact_score"))).alias("active_impact"),
         F.count_if(active).alias("active_count"),
         F.sum("decision_count").alias("_decisions"),
+        (F.max("decided_at") if "decided_at" in flags.columns else F.lit(None).cast("timestamp")).alias("_decided"),
     ).where("_decisions > 0")
-    return _scored(audits.join(totals, "audit_id"), F.col("_decisions")).drop("_decisions")
+    scored = _scored(audits.join(totals, "audit_id"), F.col("_decisions"))
+    if "updated_at" in audits.columns:
+        scored = scored.withColumn("updated_at", F.greatest("updated_at", "_decided"))
+    return scored.drop("_decisions", "_decided")
 
 
 def _scored(joined: DataFrame, decisions: Column) -> DataFrame:
     score = clamp_score(F.lit(D.BASELINE_SCORE) + F.coalesce("active_impact", F.lit(0))).cast("int")
-    count = F.coalesce("active_count", F.lit(0)).cast("int")
+    count = F.coalesce("active_count", F.lit(0)).cast("bigint")
     old = F.col("reviewer_decision_count") if "reviewer_decision_count" in joined.columns else F.lit(0)
     return joined.withColumns({
         "trust_score": score,
         "risk_band": risk_band(score),
         "reviewed_score": score,
         "reviewed_risk_band": risk_band(score),
-        "reviewer_decision_count": (F.coalesce(old, F.lit(0)) + decisions).cast("int"),
+        "reviewer_decision_count": (F.coalesce(old, F.lit(0)) + decisions).cast("bigint"),
         "findings_count": count,
         "status": F.when(count == 0, "VERIFIED").otherwise("REVIEW REQUIRED"),
     }).drop("active_impact", "active_count")
@@ -108,7 +113,7 @@ def result_summary(
         .join(flag_n, "audit_id", "left")
         .select(
             "audit_id",
-            *[pick(k, v).cast("int").alias(k) for k, v in derived.items()],
+            *[pick(k, v).cast("bigint").alias(k) for k, v in derived.items()],
             pick("result_state", state).alias("result_state"),
         )
     )
@@ -127,7 +132,7 @@ def waterfall(audits: DataFrame, flags: DataFrame, group_rows: int = GROUP_ROWS)
         active,
         ["audit_id"],
         [F.col("ord")],
-        block_chunk("ord"),
+        block_chunks("ord"),
         {"_total": F.col("deduction"), "step": F.lit(1)},
         group_rows,
     )
@@ -143,11 +148,11 @@ def waterfall(audits: DataFrame, flags: DataFrame, group_rows: int = GROUP_ROWS)
         .join(last, "audit_id", "left")
         .select(
             "audit_id",
-            F.col("step").cast("int").alias("step"),
+            "step",
             "flag_id",
             "severity",
             "deduction",
-            after.cast("int").alias("score_after"),
+            after.alias("score_after"),
             F.when(F.col("step") == F.coalesce("_last", F.lit(0)), clamp_score(after))
             .cast("int").alias("final_score"),
         )
@@ -177,7 +182,7 @@ def score_progression(flags: DataFrame, decisions: DataFrame, group_rows: int =
     )
     order = ["ts", "decision_id"]
     changes = last_before(
-        log, ["_k", "flag_id"], order, hour_chunk(), "_active", "_before", group_rows
+        log, ["_k", "flag_id"], order, time_chunks(), "_active", "_before", group_rows
     ).select(
         "_k", "flag_id", "decision_id", "ts", "action", "impact_score",
         F.coalesce(F.col("_active") - F.coalesce("_before", "_active0"), F.lit(0)).alias("_step"),
@@ -186,7 +191,7 @@ def score_progression(flags: DataFrame, decisions: DataFrame, group_rows: int =
         materialise(changes, "score-changes"),
         ["_k"],
         [F.col(c) for c in order],
-        hour_chunk(),
+        time_chunks(),
         {
             "_impact": F.col("_step") * F.col("impact_score"),
             "_count": F.col("_step"),
@@ -201,13 +206,13 @@ def score_progression(flags: DataFrame, decisions: DataFrame, group_rows: int =
     )
     return moved.join(start, "_k").select(
         "audit_id",
-        F.col("step").cast("int").alias("step"),
+        "step",
         "decision_id",
         "ts",
         "flag_id",
         "action",
         clamp_score(F.lit(D.BASELINE_SCORE) + F.col("_impact0") + F.col("_impact")).cast("int").alias("score"),
-        (F.col("_count0") + F.col("_count")).cast("int").alias("unresolved_flags"),
+        (F.col("_count0") + F.col("_count")).alias("unresolved_flags"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridraft import domains as D
-from veridraft.functions.columns import audit_key, is_active
+from veridraft.functions.columns import is_active
 from veridraft.functions.scores import severity_rank
 from veridraft.operators.ordered import position
 
@@ -96,7 +96,7 @@ def review_queue(audits: DataFrame, query: str = "", risk: str = "ALL", status:
         ranked,
         [],
         [F.col("severity_rank"), F.desc("seq")],
-        [F.col("severity_rank"), -F.floor(F.col("seq") / 65536)],
+        [F.col("severity_rank"), -F.floor(F.col("seq") / (1 << 32)), -F.floor(F.col("seq") / (1 << 16))],
         "position",
     )
 
@@ -113,16 +113,17 @@ def headline_audit(audits: DataFrame) -> DataFrame:
 
 
 def checklist(items: DataFrame, selection: DataFrame) -> DataFrame:
-    """A40. Items in array order, marked where they point at the audit's selected flag.
+    """A40. Items, marked where they point at the audit's selected flag.
 
-    selection(audit_id, flag_id): one row per audit.
+    selection(audit_id, flag_id): one row per audit. Items lie in array order (``ord``) within
+    a partition; a total order over all audits would serve nobody.
     """
     chosen = selection.select("audit_id", F.col("flag_id").alias("_selected"))
     return (
         items.join(chosen, "audit_id", "left")
         .withColumn("is_selected", F.coalesce(F.col("flag_id") == F.col("_selected"), F.lit(False)))
         .drop("_selected")
-        .orderBy("audit_id", "ord")
+        .sortWithinPartitions("audit_id", "ord")
     )
 
 
@@ -172,11 +173,3 @@ def policy_rows(flags: DataFrame) -> DataFrame:
         "audit_id", "flag_id", F.posexplode_outer("policy_findings").alias("policy_ord", "p")
     ).select("audit_id", "flag_id", "policy_ord", "p.policy_name", "p.rationale", "p.policy_status")
 
-
-def audit_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Join two tables on the case-insensitive audit id; keeps the left spelling."""
-    return (
-        left.withColumn("_k", audit_key(F.col("audit_id")))
-        .join(right.withColumn("_k", audit_key(F.col("audit_id"))).drop("audit_id"), "_k", how)
-        .drop("_k")
-    )

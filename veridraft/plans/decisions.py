@@ -24,7 +24,7 @@ CURRENT = """cur AS (SELECT f.audit_id, f.flag_id, f.impact_score, coalesce(s.st
      ON f.audit_id = k.audit_id AND f.flag_id = k.flag_id)"""
 SCORED = f"""{CURRENT}, sc AS (SELECT audit_id,
       CAST(greatest(0, least(100, 100 + coalesce(sum(impact_score) FILTER (status IN ('PENDING', 'ACCEPTED')), 0))) AS INT) AS score,
-      CAST(count(*) FILTER (status IN ('PENDING', 'ACCEPTED')) AS INT) AS findings_count, CAST(sum(decision_count) AS INT) AS reviewer_decision_count
+      count(*) FILTER (status IN ('PENDING', 'ACCEPTED')) AS findings_count, CAST(sum(decision_count) AS BIGINT) AS reviewer_decision_count
       FROM cur GROUP BY audit_id)"""
 PROCESSED_SQL = f"""WITH {SCORED} SELECT audit_id, score AS trust_score, {band_sql('score')} AS risk_band, findings_count,
       CASE WHEN findings_count = 0 THEN 'VERIFIED' ELSE 'REVIEW REQUIRED' END AS status, reviewer_decision_count
@@ -80,7 +80,7 @@ def _log_with_unknown_audits(v):
 
 
 REJECT_SQL = """FROM (SELECT decision_id, flag_id, action, CASE WHEN action = 'error' THEN 'AUD-none' ELSE audit_id END AS audit_id FROM v_decisions) d
-   LEFT JOIN (SELECT DISTINCT audit_id FROM v_decision_flags) a ON d.audit_id = a.audit_id
+   LEFT JOIN (SELECT DISTINCT audit_id FROM v_decisions) a ON d.audit_id = a.audit_id
    LEFT JOIN v_decision_flags f ON d.audit_id = f.audit_id AND d.flag_id = f.flag_id"""
 
 
@@ -97,7 +97,7 @@ def _(v):
 
 @query(
     "a65_accepted_decisions",
-    f"SELECT d.decision_id, d.audit_id, d.flag_id {REJECT_SQL} WHERE f.flag_id IS NOT NULL",
+    f"SELECT d.decision_id, d.audit_id, d.flag_id {REJECT_SQL} WHERE a.audit_id IS NOT NULL AND f.flag_id IS NOT NULL",
     BOTH,
 )
 def _(v):

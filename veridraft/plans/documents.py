@@ -132,6 +132,8 @@ SENTENCES = r"""parts AS (SELECT {key}, string_split(regexp_replace(t, '([.!?]+)
    sent AS (SELECT {key}, CAST(i AS INT) AS sentence_no, p[i] AS sentence,
      CAST(coalesce(list_sum(list_transform(p[1:i - 1], lambda s: length(s) + 1)), 0) AS BIGINT) AS char_start FROM (
        SELECT {key}, p, unnest(range(1, len(p) + 1)) AS i FROM parts) b)"""
+#: The comparison engine's patterns have no look-behind, and need none.
+_SQL_PATTERNS = [(c, p.replace(K.EMAIL, r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")) for c, p in K.CLAIM_PATTERNS]
 STRIPPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
 for _entity, _char in K.ENTITIES:
     STRIPPED = f"replace({STRIPPED}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
@@ -162,7 +164,7 @@ def _(v):
     + " UNION ALL ".join(
         f"SELECT doc_id, sentence_no, {i} AS c, '{category}' AS category, v, unnest(range(1, len(v) + 1)) AS j FROM"
         f" (SELECT doc_id, sentence_no, regexp_extract_all(sentence, '{pattern}') AS v FROM sent) x"
-        for i, (category, pattern) in enumerate(K.CLAIM_PATTERNS)
+        for i, (category, pattern) in enumerate(_SQL_PATTERNS)
     )
     + """) SELECT doc_id, sentence_no, CAST(row_number() OVER (PARTITION BY doc_id, sentence_no ORDER BY c, j) AS INT) AS value_no,
         category, v[j] AS value FROM hits""",

@@ -140,14 +140,16 @@ def _(v):
     "a23_audit_progress",
     """SELECT audit_id, status, CASE WHEN status IN ('COMPLETED', 'REVIEW REQUIRED', 'VERIFIED') THEN 100 ELSE 75 END AS percent,
        CASE WHEN status = 'REVIEW REQUIRED' THEN 'Awaiting Human Auditor Sign-off' ELSE 'Analysis complete' END AS stage,
-       'COMPLETED' AS processing_status FROM v_audits""",
+       CASE WHEN status = 'PROCESSING' THEN 'INDEXING' ELSE 'COMPLETED' END AS processing_status FROM v_audits""",
     ("v_audits",),
 )
 def _(v):
     return v.audits().select(
         "audit_id", "status", scores.progress_percent(C("status")).alias("percent"),
         scores.current_stage(C("status")).alias("stage"),
-        scores.or_default(F.lit(None).cast("string"), "COMPLETED").alias("processing_status"),
+        scores.or_default(
+            F.expr("CASE status WHEN 'PROCESSING' THEN 'INDEXING' WHEN 'VERIFIED' THEN '' END"), "COMPLETED"
+        ).alias("processing_status"),
     )
 
 

@@ -12,8 +12,9 @@ C = F.col
 
 
 def _issued(v):
-    """Issued passports: half of the documents have one (by language)."""
-    return v.passport_requests().join(v.table("documents").select("doc_id", "lang"), "doc_id").where("lang = 'en'")
+    """Issued passports; those of documents not in English were issued under another token."""
+    issued = v.passport_requests().join(v.table("documents").select("doc_id", "lang"), "doc_id")
+    return issued.withColumn("token", F.when(C("lang") == "en", C("token")).otherwise(F.concat(F.lit("OLD-"), "token")))
 
 
 def _requests(v):
@@ -24,7 +25,8 @@ def _requests(v):
 
 
 VERIFIED_SQL = """req AS (SELECT doc_id, CASE WHEN is_altered THEN substr(token, 1, 4) ELSE token END AS token FROM v_passport_requests),
-  iss AS (SELECT r.* FROM v_passport_requests r JOIN documents d ON r.doc_id = d.doc_id WHERE d.lang = 'en'),
+  iss AS (SELECT CASE WHEN d.lang = 'en' THEN r.token ELSE concat('OLD-', r.token) END AS token, r.unresolved_flags_count
+      FROM v_passport_requests r JOIN documents d ON r.doc_id = d.doc_id),
   ver AS (SELECT req.doc_id, req.token, CASE WHEN length(req.token) < 5 THEN 'INVALID' WHEN starts_with(req.token, 'TAMPER-') THEN 'TAMPERED'
      WHEN starts_with(req.token, 'INVALID-') OR iss.token IS NULL THEN 'INVALID' ELSE 'VERIFIED' END AS outcome, iss.unresolved_flags_count AS n
      FROM req LEFT JOIN iss ON req.token = iss.token)"""
@@ -79,31 +81,23 @@ def _(v):
 CHAIN = "list_reduce(list_prepend('', {0}), lambda h, x: sha256(h || x))"
 
 
-@query(
-    "b10_claim_root",
-    f"""SELECT doc_id, {CHAIN.format('p')} AS claim_tree_root FROM (
-          SELECT doc_id, list(para ORDER BY para_no) AS p FROM v_paragraphs GROUP BY doc_id) x""",
-    ("v_paragraphs",),
-)
-def _(v):
-    # no document here has more than 1024 lines: the root is the plain chain
-    return passports.claim_root(paragraphs(v.table("documents"), "doc_id", "text", "\n"), "doc_id", "para_no", "para")
+def _root_sql(fan_out: int, levels: int) -> str:
+    """Blocks of ``fan_out``, chained on every level."""
+    ctes = ["l0 AS (SELECT doc_id, para_no - 1 AS n, para AS x FROM v_paragraphs)"]
+    for level in range(levels):
+        ctes.append(
+            f"l{level + 1} AS (SELECT doc_id, b AS n, {CHAIN.format('p')} AS x FROM (SELECT doc_id, n // {fan_out} AS b,"
+            f" list(x ORDER BY n) AS p FROM l{level} GROUP BY doc_id, n // {fan_out}) g)"
+        )
+    return f"WITH {', '.join(ctes)} SELECT doc_id, x AS claim_tree_root FROM l{levels}"
 
 
-def _level(source: str) -> str:
-    folded = CHAIN.format("p")
-    return f"""SELECT doc_id, b AS n, CASE WHEN len(p) = 1 THEN p[1] ELSE {folded} END AS x FROM (
-        SELECT doc_id, n // 4 AS b, list(x ORDER BY n) AS p FROM {source} GROUP BY doc_id, n // 4) g"""
+@query("b10_claim_root", _root_sql(1024, 7), ("v_paragraphs",))
+def _(v):
+    return passports.claim_root(paragraphs(v.table("documents"), "doc_id", "text", "\n"), "doc_id", "para_no", "para")
 
 
-@query(
-    "b10_claim_root_blocks",
-    f"""WITH l0 AS (SELECT doc_id, b AS n, {CHAIN.format('p')} AS x FROM (
-          SELECT doc_id, (para_no - 1) // 4 AS b, list(para ORDER BY para_no) AS p FROM v_paragraphs GROUP BY doc_id, (para_no - 1) // 4) g),
-        l1 AS ({_level('l0')}), l2 AS ({_level('l1')}), l3 AS ({_level('l2')}), l4 AS ({_level('l3')}), l5 AS ({_level('l4')})
-        SELECT doc_id, x AS claim_tree_root FROM l5""",
-    ("v_paragraphs",),
-)
+@query("b10_claim_root_blocks", _root_sql(4, 6), ("v_paragraphs",))
 def _(v):
     # blocks of four, to exercise the levels
     lines = paragraphs(v.table("documents"), "doc_id", "text", "\n")

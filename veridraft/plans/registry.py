@@ -48,7 +48,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 
 def all_queries() -> dict[str, Query]:
     from veridraft.plans import (  # noqa: F401  (importing registers)
-        decisions, documents, evidence, labels, passports, retrieval, scoring, sources, streams,
+        decisions, documents, evidence, labels, passports, pipeline, retrieval, scoring, sources, streams,
         triage,
     )
 

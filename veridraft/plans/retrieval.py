@@ -71,15 +71,15 @@ def _(v):
 
 @query(
     "b09_claim_verdicts",
-    """WITH src AS (SELECT concat('part-', p_partkey) AS source_key, 'AMOUNT' AS kind, p_retailprice AS amount, CAST(NULL AS DATE) AS day FROM part WHERE p_size > 5
+    """WITH src AS (SELECT concat(CASE WHEN p_size > 5 THEN 'part-' ELSE 'gone-' END, p_partkey) AS source_key, 'AMOUNT' AS kind, CAST(floor(p_retailprice) AS DECIMAL(38, 6)) AS amount, CAST(NULL AS DATE) AS day FROM part
          UNION ALL SELECT concat('order-', o_orderkey), CASE WHEN o_orderstatus = 'P' THEN 'TEXT' ELSE 'DATE' END, NULL, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END FROM orders),
        clm AS (SELECT concat_ws('-', 'A', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS claim_id, concat('part-', l_partkey) AS source_key, 'AMOUNT' AS kind,
-             l_extendedprice / l_quantity AS amount, CAST(NULL AS DATE) AS day FROM lineitem
+             CAST(floor(l_extendedprice / l_quantity) AS DECIMAL(38, 6)) AS amount, CAST(NULL AS DATE) AS day FROM lineitem
          UNION ALL SELECT concat_ws('-', 'D', l_orderkey, l_linenumber, l_partkey, l_suppkey), concat('order-', l_orderkey), 'DATE', NULL, CAST(l_shipdate AS DATE) FROM lineitem)
        SELECT c.claim_id, CASE WHEN s.source_key IS NULL THEN 'UNSUPPORTED' WHEN c.kind <> s.kind THEN 'UNCERTAIN'
            WHEN coalesce(c.amount - s.amount, 0) = 0 AND coalesce(date_diff('day', s.day, c.day), 0) = 0 THEN 'SUPPORTED' ELSE 'CONTRADICTED' END AS verdict,
-         CASE WHEN c.kind = s.kind THEN c.amount - s.amount END AS delta_amount,
-         CASE WHEN c.kind = s.kind AND s.amount <> 0 THEN (c.amount - s.amount) / s.amount * 100 END AS delta_percent,
+         CAST(CASE WHEN c.kind = s.kind THEN c.amount - s.amount END AS DOUBLE) AS delta_amount,
+         CASE WHEN c.kind = s.kind AND s.amount <> 0 THEN CAST(c.amount - s.amount AS DOUBLE) / CAST(s.amount AS DOUBLE) * 100 END AS delta_percent,
          CAST(CASE WHEN c.kind = s.kind THEN date_diff('day', s.day, c.day) END AS INT) AS delta_days
        FROM clm c LEFT JOIN src s ON c.source_key = s.source_key""",
 )
@@ -88,18 +88,19 @@ def _(v):
     ids = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
     amounts = lines.selectExpr(
         f"concat_ws('-', 'A', {ids}) AS claim_id", "concat('part-', l_partkey) AS source_key",
-        "'AMOUNT' AS kind", "l_extendedprice / l_quantity AS amount", none,
+        "'AMOUNT' AS kind", "CAST(floor(l_extendedprice / l_quantity) AS DECIMAL(38, 6)) AS amount", none,
     )
     days = lines.selectExpr(
         f"concat_ws('-', 'D', {ids}) AS claim_id", "concat('order-', l_orderkey) AS source_key",
-        "'DATE' AS kind", "CAST(NULL AS DOUBLE) AS amount", "CAST(l_shipdate AS DATE) AS day",
+        "'DATE' AS kind", "CAST(NULL AS DECIMAL(38, 6)) AS amount", "CAST(l_shipdate AS DATE) AS day",
     )
-    prices = v.table("part").where("p_size > 5").selectExpr(
-        "concat('part-', p_partkey) AS source_key", "'AMOUNT' AS kind", "p_retailprice AS amount", none
+    prices = v.table("part").selectExpr(
+        "concat(CASE WHEN p_size > 5 THEN 'part-' ELSE 'gone-' END, p_partkey) AS source_key",
+        "'AMOUNT' AS kind", "CAST(floor(p_retailprice) AS DECIMAL(38, 6)) AS amount", none,
     )
     dates = v.table("orders").selectExpr(
         "concat('order-', o_orderkey) AS source_key",
-        "CASE WHEN o_orderstatus = 'P' THEN 'TEXT' ELSE 'DATE' END AS kind", "CAST(NULL AS DOUBLE) AS amount",
+        "CASE WHEN o_orderstatus = 'P' THEN 'TEXT' ELSE 'DATE' END AS kind", "CAST(NULL AS DECIMAL(38, 6)) AS amount",
         "CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS day",
     )
     return claim_verdicts(amounts.unionByName(days), prices.unionByName(dates), ["source_key"]).select(

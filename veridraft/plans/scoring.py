@@ -11,14 +11,14 @@ from veridraft.plans.registry import query
 
 RESCORED = """SELECT a.audit_id, a.seq, a.priority,
       CAST(greatest(0, least(100, 100 + coalesce(sum(f.impact_score) FILTER (f.status IN ('PENDING', 'ACCEPTED')), 0))) AS INT) AS score,
-      CAST(count(*) FILTER (f.status IN ('PENDING', 'ACCEPTED')) AS INT) AS findings_count
+      count(*) FILTER (f.status IN ('PENDING', 'ACCEPTED')) AS findings_count
     FROM v_audits a LEFT JOIN v_flags f ON a.audit_id = f.audit_id GROUP BY a.audit_id, a.seq, a.priority"""
 
 
 @query(
     "a43_rescore",
     f"""SELECT audit_id, score AS trust_score, {band_sql('score')} AS risk_band, score AS reviewed_score,
-        {band_sql('score')} AS reviewed_risk_band, 1 AS reviewer_decision_count, findings_count,
+        {band_sql('score')} AS reviewed_risk_band, CAST(1 AS BIGINT) AS reviewer_decision_count, findings_count,
         CASE WHEN findings_count = 0 THEN 'VERIFIED' ELSE 'REVIEW REQUIRED' END AS status FROM ({RESCORED}) x""",
     ("v_audits", "v_flags"),
 )
@@ -47,12 +47,12 @@ query(
 
 @query(
     "a44_result_summary",
-    """SELECT a.audit_id, CAST(coalesce(c.n, 4) AS INT) AS claims_checked,
-       CAST(CASE WHEN s.n > 0 THEN coalesce(c.n, 4) ELSE 0 END AS INT) AS evidence_matched,
-       CAST(coalesce(f.crit + f.high, 0) AS INT) AS contradictions, CAST(coalesce(f.med, 0) AS INT) AS unsupported_claims,
-       CAST(coalesce(f.low, 0) AS INT) AS uncertain_claims, CAST(coalesce(f.crit, 0) AS INT) AS critical_findings,
-       CAST(coalesce(f.high, 0) AS INT) AS high_findings, CAST(coalesce(f.med, 0) AS INT) AS medium_findings,
-       CAST(coalesce(f.low, 0) AS INT) AS low_findings,
+    """SELECT a.audit_id, CAST(coalesce(c.n, 4) AS BIGINT) AS claims_checked,
+       CAST(CASE WHEN s.n > 0 THEN coalesce(c.n, 4) ELSE 0 END AS BIGINT) AS evidence_matched,
+       CAST(coalesce(f.crit + f.high, 0) AS BIGINT) AS contradictions, CAST(coalesce(f.med, 0) AS BIGINT) AS unsupported_claims,
+       CAST(coalesce(f.low, 0) AS BIGINT) AS uncertain_claims, CAST(coalesce(f.crit, 0) AS BIGINT) AS critical_findings,
+       CAST(coalesce(f.high, 0) AS BIGINT) AS high_findings, CAST(coalesce(f.med, 0) AS BIGINT) AS medium_findings,
+       CAST(coalesce(f.low, 0) AS BIGINT) AS low_findings,
        CASE WHEN a.status = 'PROCESSING' THEN 'PROCESSING' WHEN f.n > 0 THEN 'FINDINGS_PRESENT' ELSE 'NO_FINDINGS' END AS result_state
        FROM v_audits a
        LEFT JOIN (SELECT audit_id, count(*) AS n FROM v_claims GROUP BY audit_id) c ON a.audit_id = c.audit_id
@@ -69,7 +69,7 @@ def _(v):
 WATERFALL_SQL = """WITH act AS (SELECT *, row_number() OVER w AS step, count(*) OVER (PARTITION BY audit_id) AS n,
          100 + sum(impact_score) OVER w AS after FROM v_flags WHERE status IN ('PENDING', 'ACCEPTED')
          WINDOW w AS (PARTITION BY audit_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-       SELECT audit_id, CAST(step AS INT) AS step, flag_id, severity, impact_score AS deduction, CAST(after AS INT) AS score_after,
+       SELECT audit_id, step, flag_id, severity, impact_score AS deduction, CAST(after AS BIGINT) AS score_after,
          CAST(CASE WHEN step = n THEN greatest(0, least(100, after)) END AS INT) AS final_score FROM act
        UNION ALL
        SELECT audit_id, 0, NULL, 'NEUTRAL', 0, 100, CASE WHEN audit_id NOT IN (SELECT audit_id FROM act) THEN 100 END FROM v_audits"""
@@ -94,8 +94,8 @@ PROGRESS = """kn AS (SELECT d.*, f.impact_score, CASE WHEN d.action = 'ACCEPT' T
        st AS (SELECT audit_id, sum(impact_score) AS impact0, count(*) AS n0 FROM v_decision_flags GROUP BY audit_id),
        run AS (SELECT audit_id, decision_id, flag_id, action, row_number() OVER w AS step, sum(delta * impact_score) OVER w AS impact, sum(delta) OVER w AS n
          FROM ch WINDOW w AS (PARTITION BY audit_id ORDER BY ts, decision_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-       prog AS (SELECT r.audit_id, CAST(r.step AS INT) AS step, r.decision_id, r.flag_id, r.action,
-         CAST(greatest(0, least(100, 100 + s.impact0 + r.impact)) AS INT) AS score, CAST(s.n0 + r.n AS INT) AS unresolved_flags
+       prog AS (SELECT r.audit_id, r.step, r.decision_id, r.flag_id, r.action,
+         CAST(greatest(0, least(100, 100 + s.impact0 + r.impact)) AS INT) AS score, CAST(s.n0 + r.n AS BIGINT) AS unresolved_flags
          FROM run r JOIN st s ON r.audit_id = s.audit_id)"""
 
 

@@ -65,7 +65,7 @@ N = D.NEW_AUDIT
     f"""SELECT seq, audit_id, CASE WHEN title <> '' THEN title ELSE regexp_replace(file_name, '\\.[^/.]+$', '') END AS title,
         file_name AS document_name, '{N["status"]}' AS status, '{N["processing_status"]}' AS processing_status,
         '{N["priority"]}' AS priority, {N["trust_score"]} AS trust_score, 100 AS initial_score,
-        '{N["risk_band"]}' AS risk_band, 1 AS findings_count,
+        '{N["risk_band"]}' AS risk_band, CAST(1 AS BIGINT) AS findings_count,
         CASE WHEN file_size LIKE '% MB' THEN file_size ELSE '{N["document_size"]}' END AS document_size
         FROM v_new""",
     ("v_audits", "v_new"),
@@ -88,8 +88,8 @@ def _(v):
           CASE WHEN name LIKE '%.pdf' THEN 'Purchase Order' WHEN name LIKE '%.xlsx' THEN 'Commercial Schedule' ELSE 'Policy Doc' END AS type,
           CASE WHEN size LIKE '% MB' THEN CAST({D.DEFAULT_SIZE_BYTES} AS BIGINT) ELSE CAST(size AS BIGINT) END AS size_bytes,
           CASE WHEN authority <> '' THEN authority WHEN ord = 0 THEN 'LATEST_APPROVED' ELSE 'SIGNED_EXECUTED' END AS authority,
-          'v1.0' AS version FROM v_new_files) x""",
-    ("v_sources", "v_audit_sources", "v_new_files"),
+          'v1.0' AS version FROM v_new_files WHERE audit_id IN (SELECT audit_id FROM v_new)) x""",
+    ("v_audits", "v_new", "v_sources", "v_audit_sources", "v_new_files"),
 )
 def _(v):
     new = A.create_audits(v.submissions(), v.submission_files())["source_documents"]
@@ -223,11 +223,22 @@ def _(v):
     return rejected.select("name", "batch_size", "reason")
 
 
-@query("a12_upload_manifest")
+@query(
+    "a12_upload_manifest",
+    f"""SELECT concat('DOC-', substr(h, 1, 16)) AS id, concat(doc_id, kind) AS filename, CAST(strlen(body) AS BIGINT) AS size_bytes,
+        CASE kind WHEN '.txt' THEN 'text/plain' ELSE '{D.DEFAULT_MIME}' END AS mime_type, concat('sha256:', h) AS hash
+        FROM (SELECT doc_id, kind, body, sha256(body) AS h FROM (
+          SELECT doc_id, CASE WHEN lang = 'en' THEN '.txt' ELSE '.bin' END AS kind,
+            CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS body FROM documents) a) b""",
+)
 def _(v):
-    return U.upload_manifest(
-        v.spark, v.folder, {"parquet": "application/vnd.apache.parquet"}, glob="*.parquet"
+    # documents as uploaded files; those of every tenth id are empty and have no content row
+    files = v.table("documents").selectExpr(
+        "concat('/uploads/', doc_id, CASE WHEN lang = 'en' THEN '.txt' ELSE '.bin' END) AS path",
+        "encode(CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END, 'utf-8') AS content",
     )
+    listed = files.select("path", F.octet_length("content").alias("length"))
+    return U.upload_manifest(listed, files.where("octet_length(content) > 0"), {"txt": "text/plain"})
 
 
 @query(

@@ -23,11 +23,14 @@ def _(v):
 
 @query(
     "a30_search_literal",
-    f"SELECT audit_id FROM v_audits WHERE {HIT.format('_1%')}",
+    f"""SELECT audit_id FROM (SELECT audit_id, replace(title, 'BUILDING', '100%_BUILT') AS title, document_name FROM v_audits) x
+        WHERE {HIT.format('%_b')}""",
     ("v_audits",),
 )
 def _(v):
-    return T.search_audits(v.audits(), "_1%").select("audit_id")
+    # titles with characters that are wild cards elsewhere
+    audits = v.audits().withColumn("title", F.replace("title", F.lit("BUILDING"), F.lit("100%_BUILT")))
+    return T.search_audits(audits, "%_B").select("audit_id")
 
 
 @query("a31_filter_risk", "SELECT audit_id, priority FROM v_audits WHERE priority = 'HIGH'", ("v_audits",))

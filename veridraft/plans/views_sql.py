@@ -25,24 +25,25 @@ SELECT concat('AUD-', CAST(l_orderkey AS STRING)) AS audit_id,
        concat('SRC-', CAST(l_suppkey AS STRING)) AS source_id
 FROM lineitem""",
     "v_claims": """
-SELECT concat('AUD-', CAST(l_orderkey AS STRING)) AS audit_id,
+SELECT concat(CASE WHEN l_linestatus = 'O' THEN 'AUD-' ELSE 'GONE-' END, CAST(l_orderkey AS STRING)) AS audit_id,
        concat('CLM-', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS claim_id,
        l_linenumber AS claim_number
-FROM lineitem WHERE l_linestatus = 'O'""",
+FROM lineitem""",
     "v_sources": """
 SELECT concat('SRC-', CAST(s_suppkey AS STRING)) AS source_id, concat(s_name, CASE s_suppkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.xlsx' ELSE '.docx' END) AS name,
        CASE s_suppkey % 4 WHEN 0 THEN 'LATEST_APPROVED' WHEN 1 THEN 'SIGNED_EXECUTED' WHEN 2 THEN 'SUPERSEDED' ELSE 'DRAFT' END AS authority,
        CAST(1000000 + s_suppkey * 977777 AS BIGINT) AS size_bytes, s_nationkey AS group_key
 FROM supplier""",
     "v_audit_sources": """
-SELECT concat('AUD-', CAST(l_orderkey AS STRING)) AS audit_id,
-       CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) - 1 AS INT) AS ord,
+SELECT concat(CASE WHEN gone THEN 'GONE-' ELSE 'AUD-' END, CAST(l_orderkey AS STRING)) AS audit_id,
+       CAST(row_number() OVER (PARTITION BY l_orderkey, gone ORDER BY l_suppkey) - 1 AS INT) AS ord,
        concat('SRC-', CAST(l_suppkey AS STRING)) AS source_id
-FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag <> 'N') d""",
+FROM (SELECT DISTINCT l_orderkey, l_returnflag = 'N' AS gone, l_suppkey FROM lineitem) d""",
     "v_decision_flags": """
-SELECT DISTINCT concat('AUD-', CAST(user_id % 10 AS STRING)) AS audit_id, concat('FLG-', CAST(user_id AS STRING)) AS flag_id,
+SELECT DISTINCT concat('AUD-', CASE WHEN user_id % 31 = 0 THEN 'none' ELSE CAST(user_id % 10 AS STRING) END) AS audit_id,
+       concat(CASE WHEN user_id % 29 = 0 THEN 'GONE-' ELSE 'FLG-' END, CAST(user_id AS STRING)) AS flag_id,
        CAST(-(1 + user_id % 12) AS INT) AS impact_score
-FROM events WHERE user_id % 29 <> 0""",
+FROM events""",
     "v_decisions": """
 SELECT event_id AS decision_id, concat('AUD-', CAST(user_id % 10 AS STRING)) AS audit_id, concat('FLG-', CAST(user_id AS STRING)) AS flag_id,
        CASE event_type WHEN 'click' THEN 'ACCEPT' WHEN 'view' THEN 'DISMISS' WHEN 'purchase' THEN 'FIX' ELSE event_type END AS action,

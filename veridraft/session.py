@@ -15,6 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Stream state on disk: one row per open audit or session does not fit the executors' heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Session windows: merge inside the map task before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
@@ -27,8 +30,10 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the benchmark."""
+def local_session(
+    cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g", work: str | None = None
+) -> SparkSession:
+    """A local session for tests and the benchmark; ``work`` is the folder for written tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("veridraft")
@@ -37,6 +42,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if work:
+        builder = builder.config("spark.checkpoint.dir", work)
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -44,6 +51,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+#: Folders given out and not yet cleaned up.
+_WRITTEN: list[str] = []
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for a written table or a stream checkpoint.
 
@@ -55,7 +66,16 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete every folder ``work_dir`` has given out, once their results are no longer read."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:

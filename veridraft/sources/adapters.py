@@ -78,9 +78,11 @@ class Views:
         )
 
     def claims(self) -> DataFrame:
-        """lineitem rows still open -> claims; ids join to flags."""
-        return self.table("lineitem").where("l_linestatus = 'O'").select(
-            F.concat(F.lit("AUD-"), F.col("l_orderkey").cast("string")).alias("audit_id"),
+        """lineitem -> claims; ids join to flags. Claims of closed lines belong to audits that
+        are gone."""
+        return self.table("lineitem").select(
+            F.expr("concat(CASE WHEN l_linestatus = 'O' THEN 'AUD-' ELSE 'GONE-' END, CAST(l_orderkey AS STRING))")
+            .alias("audit_id"),
             F.concat_ws("-", F.lit("CLM"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
             .alias("claim_id"),
             F.col("l_linenumber").alias("claim_number"),
@@ -133,32 +135,29 @@ class Views:
         )
 
     def audit_sources(self, with_ord: bool = False) -> DataFrame:
-        """Sources per audit: the suppliers of returned or refused lines, one row each;
-        array position (on request) follows the supplier key."""
-        cited = (
-            self.table("lineitem")
-            .where("l_returnflag <> 'N'")
-            .select("l_orderkey", "l_suppkey")
-            .distinct()
-        )
+        """Sources per audit: the suppliers of its lines, one row each; those of lines neither
+        returned nor refused belong to audits that are gone. The array position (on request)
+        follows the supplier key."""
+        cited = self.table("lineitem").selectExpr("l_orderkey", "l_returnflag = 'N' AS gone", "l_suppkey").distinct()
         ids = [
-            F.concat(F.lit("AUD-"), F.col("l_orderkey").cast("string")).alias("audit_id"),
+            F.expr("concat(CASE WHEN gone THEN 'GONE-' ELSE 'AUD-' END, CAST(l_orderkey AS STRING))").alias("audit_id"),
             F.concat(F.lit("SRC-"), F.col("l_suppkey").cast("string")).alias("source_id"),
         ]
         if not with_ord:
             return cited.select(*ids)
         chunk = [F.floor(F.col("l_suppkey") / 65536)]
-        placed = position(cited, ["l_orderkey"], [F.col("l_suppkey")], chunk, "ord")
+        placed = position(cited, ["l_orderkey", "gone"], [F.col("l_suppkey")], chunk, "ord")
         return placed.select(*ids, (F.col("ord") - 1).cast("int").alias("ord"))
 
     # -- decisions -----------------------------------------------------------------
     def decision_flags(self) -> DataFrame:
+        """events -> flags. Some are gone under the id the decisions use, some belong to an
+        audit nobody knows."""
         return (
             self.table("events")
-            .where("user_id % 29 <> 0")
             .select(
-                F.expr("concat('AUD-', CAST(user_id % 10 AS STRING))").alias("audit_id"),
-                F.expr("concat('FLG-', CAST(user_id AS STRING))").alias("flag_id"),
+                F.expr("concat('AUD-', CASE WHEN user_id % 31 = 0 THEN 'none' ELSE CAST(user_id % 10 AS STRING) END)").alias("audit_id"),
+                F.expr("concat(CASE WHEN user_id % 29 = 0 THEN 'GONE-' ELSE 'FLG-' END, CAST(user_id AS STRING))").alias("flag_id"),
                 F.expr("CAST(-(1 + user_id % 12) AS INT)").alias("impact_score"),
             )
             .distinct()
@@ -170,7 +169,6 @@ class Views:
         """The audits the decision log talks about."""
         return (
             self.table("events")
-            .where("user_id % 29 <> 0")
             .select(F.expr("concat('AUD-', CAST(user_id % 10 AS STRING))").alias("audit_id"))
             .distinct()
         )

@@ -32,14 +32,23 @@ def list_audits(audits: DataFrame) -> DataFrame:
     return audits.orderBy(F.desc("seq"))
 
 
+def _stored_key(table: DataFrame):
+    """The stored key, which scans can filter by, or the one computed from the id."""
+    return F.col("audit_key") if "audit_key" in table.columns else audit_key(F.col("audit_id"))
+
+
+def with_key(rows: DataFrame) -> DataFrame:
+    """Rows with the stored key."""
+    return rows.withColumn("audit_key", audit_key(F.col("audit_id")))
+
+
 def get_audit(audits: DataFrame, audit_id: str, strict: bool = True) -> DataFrame:
     """A03. One audit by case-insensitive id.
 
     ``strict`` makes the result fail when it is evaluated and the id is unknown. With a
     stored ``audit_key`` column the filter is pushed to the scan.
     """
-    key = F.col("audit_key") if "audit_key" in audits.columns else audit_key(F.col("audit_id"))
-    found = audits.where(key == audit_id.lower())
+    found = audits.where(_stored_key(audits) == audit_id.lower())
     if not strict:
         return found
     first, *rest = found.columns
@@ -61,7 +70,7 @@ def children_of(audits: DataFrame, child: DataFrame, audit_id: str, order: str =
     wanted = get_audit(audits, audit_id, strict=False).select(
         audit_key(F.col("audit_id")).alias("_key")
     )
-    mine = child.where(audit_key(F.col("audit_id")) == audit_id.lower())
+    mine = child.where(_stored_key(child) == audit_id.lower())
     return (
         mine.join(wanted, audit_key(mine["audit_id"]) == F.col("_key"), "left_semi")
         .orderBy(order)
@@ -90,9 +99,9 @@ def create_audits(
         F.col("ts").alias("uploaded_at"),
         F.col("ts").alias("updated_at"),
         *[lit(t[c]).alias(c) for c in (
-            "status", "processing_status", "priority", "trust_score", "initial_score",
-            "risk_band", "findings_count",
+            "status", "processing_status", "priority", "trust_score", "initial_score", "risk_band",
         )],
+        lit(t["findings_count"]).cast("bigint").alias("findings_count"),
         F.struct(
             F.col("file_name").alias("name"),
             F.when(F.col("file_size").isNull() | numeric, t["document_size"])
@@ -149,13 +158,14 @@ def create_audits(
     steps = F.array(*[
         F.struct(
             lit(i).alias("ord"), lit(name).alias("name"), lit(deduction).alias("deduction"),
-            lit(after).alias("score_after"), lit(text).alias("description"),
+            lit(after).cast("bigint").alias("score_after"), lit(text).alias("description"),
             lit(severity).alias("severity"),
         )
         for i, (name, deduction, after, text, severity) in enumerate(t["waterfall"])
     ])
     waterfall = submissions.select("audit_id", F.explode(steps).alias("s")).select("audit_id", "s.*")
-    return {
+    new = {
         "audits": audits, "source_documents": sources, "claims": claims, "flags": flags,
         "check_items": items, "waterfall": waterfall,
     }
+    return {name: with_key(rows) for name, rows in new.items()}

@@ -23,28 +23,34 @@ def validate_uploads(files: DataFrame, validate_multi: bool = True) -> tuple[Dat
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
 
 
-def upload_manifest(
-    spark: SparkSession, path: str, mime_types: dict[str, str] | None = None, glob: str | None = None
-) -> DataFrame:
-    """A12. One row per file with its real SHA-256 digest.
-
-    The name is the last path step; ``mime_types`` maps extensions to MIME types. Spark's
-    file sources skip files of zero bytes, so those are not listed.
-    """
+def read_contents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(path, content) of the files below ``path``. Spark's file sources skip empty files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    return reader.load(path).select("path", "content")
+
+
+def upload_manifest(files: DataFrame, contents: DataFrame, mime_types: dict[str, str] | None = None) -> DataFrame:
+    """A12. One row per listed file with its real SHA-256 digest.
+
+    files(path, length) is the listing, contents(path, content) what could be read: a file of
+    length 0 needs no content and has the digest of nothing. Any other file without content
+    has a NULL id and hash. The name is the last path step; ``mime_types`` maps extensions.
+    """
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.element_at(F.split(name, r"\."), -1))
     mime = F.lit(None).cast("string")
     if mime_types:
         table = F.create_map(*[F.lit(x) for kv in mime_types.items() for x in kv])
         mime = table[ext]
-    digest = F.sha2("content", 256)
-    return reader.load(path).select(
+    # digests before the join, so that contents are not shuffled
+    read = contents.select("path", F.sha2("content", 256).alias("_digest"))
+    digest = F.when(F.col("length") == 0, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("_digest"))
+    return files.join(read, "path", "left").select(
         F.concat(F.lit("DOC-"), F.substring(digest, 1, 16)).alias("id"),
         name.alias("filename"),
-        F.col("length").alias("size_bytes"),
+        F.col("length").cast("bigint").alias("size_bytes"),
         or_default(mime, D.DEFAULT_MIME).alias("mime_type"),
         F.concat(F.lit("sha256:"), digest).alias("hash"),
     )

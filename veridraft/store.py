@@ -1,7 +1,7 @@
 """The audit tables of one folder, with the calls an application makes on them.
 
-Base tables are append-only; reviewer decisions are a log, partitioned by day. Current
-flags and scores are views: base tables plus log. Nothing is collected.
+Base tables are append-only; reviewer decisions are a log, partitioned by day, with a table of
+the flags' current states. Current flags and scores are views: base tables plus states.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from veridraft.operators import evidence, passports
 from veridraft.operators.scoring import rescore_decided
 from veridraft.session import tune
 from veridraft.sources import audits as A
+from veridraft.streaming.rescoring import DecisionLog
 
 
 class AuditStore:
@@ -34,6 +35,8 @@ class AuditStore:
             return self.spark.createDataFrame([], schemas.TABLES[name])
 
     def append(self, name: str, rows: DataFrame) -> None:
+        if "audit_key" in self.table(name).columns:
+            rows = A.with_key(rows)
         A.write_table(rows, f"{self.root}/{name}", "append", self.fmt)
 
     # -- audits --------------------------------------------------------------------
@@ -69,21 +72,24 @@ class AuditStore:
         return A.children_of(self.table("audits"), self.current_flags(), audit_id)
 
     # -- decisions -------------------------------------------------------------------
-    def submit_decisions(self, decisions: DataFrame) -> DataFrame:
-        """A67. Append the acceptable decisions to the log; returns the rejected ones.
+    def _log(self) -> DecisionLog:
+        return DecisionLog(self.spark, f"{self.root}/decided")
 
-        Scores follow by themselves, since they are computed from the log.
-        """
+    def submit_decisions(self, decisions: DataFrame) -> DataFrame:
+        """A67. Log the acceptable decisions and bring their flags up to date; returns the
+        rejected ones. A decision submitted again changes nothing."""
         accepted, rejected = D.split_decisions(decisions, self.table("audits"), self.table("flags"))
-        (
-            accepted.withColumn("day", F.to_date("ts"))
-            .write.mode("append").partitionBy("day").format(self.fmt).save(f"{self.root}/decisions")
-        )
+        self._log().add(accepted, self._log().next_batch())
         return rejected
 
     def current_flags(self) -> DataFrame:
-        """A63."""
-        return D.apply_decisions(self.table("flags"), self.table("decisions"))
+        """A63. Stored flags with the states the decisions left them in."""
+        states = self._log().states()
+        if states is None:
+            return self.table("flags").withColumns({
+                "decision_count": F.lit(0).cast("bigint"), "decided_at": F.lit(None).cast("timestamp"),
+            })
+        return D.merge_decisions(self.table("flags"), states)
 
     def current_audits(self) -> DataFrame:
         """A43. Stored audits; those with decisions rescored."""
@@ -94,7 +100,8 @@ class AuditStore:
 
     def decision_history(self) -> DataFrame:
         """A64."""
-        return D.decision_history(self.table("decisions"))
+        log = self._log().decisions()
+        return D.decision_history(self.table("decisions") if log is None else log)
 
     # -- passports -------------------------------------------------------------------
     def passport(self, audit_ids: DataFrame) -> DataFrame:

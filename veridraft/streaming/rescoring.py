@@ -1,71 +1,101 @@
 """Live rescoring from a stream of reviewer decisions.
 
-The stream keeps one state row per flag (a built-in aggregation, so decisions on a busy
-flag are reduced before the shuffle). Every micro-batch appends the flags that changed to a
-log; audits are rescored from the latest row per flag. The result equals the batch
-pipeline on the same decisions, in any arrival order within the watermark delay.
+Every micro-batch is merged into two tables: the log of raw decisions, each id once, and the
+state of every flag that was ever decided. A flag's state holds the winning decisions with
+their (time, id), so a decision may arrive at any time and in any order: it wins exactly if
+it is the newest, as in the batch pipeline. Nothing is dropped for being late, and nothing is
+kept in a state store.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from veridraft.operators.decisions import latest_decisions, merge_decisions
+from veridraft.operators.decisions import flag_states, merge_decisions, merge_states
 from veridraft.operators.scoring import rescore_decided
 
-STATE_COLUMNS = ("_k", "flag_id", "new_status", "new_note", "decision_count")
 
-
-def flag_state(decisions: DataFrame, late: str = "7 days") -> DataFrame:
-    """Streaming state per flag. Redelivered decisions are dropped by id; decisions more
-    than ``late`` behind the newest one are dropped too, so choose it generously."""
-    return latest_decisions(
-        decisions.withWatermark("ts", late).dropDuplicatesWithinWatermark(["decision_id"])
-    )
-
-
-def start_rescoring(
-    decisions: DataFrame, state_path: str, checkpoint: str, late: str = "7 days", **trigger
-) -> StreamingQuery:
-    """Run the stream. A batch that is retried replaces its own folder: exactly once."""
-
-    def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
+class DecisionLog:
+    """Decisions and flag states below ``root``, in folders by batch.
+
+    A batch that is retried replaces its own folders and only looks at earlier ones.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _read(self, name: str, before: int | None = None) -> DataFrame | None:
+        try:
+            table = self.spark.read.parquet(f"{self.root}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+        return table if before is None else table.where(F.col("batch_id") < before)
+
+    def next_batch(self) -> int:
+        log = self._read("log")
+        return 0 if log is None else (log.agg(F.max("batch_id")).first()[0] or 0) + 1
+
+    def add(self, decisions: DataFrame, batch_id: int) -> None:
+        """Log the decisions that are new, then bring the touched flags up to date."""
+        new = decisions.dropDuplicates(["decision_id"]).withColumn("day", F.to_date("ts"))
+        known = self._read("log", batch_id)
+        if known is not None:
+            # a decision that comes again has the same time: only its day's files are read
+            again = known.select(F.col("day").alias("_day"), F.col("decision_id").alias("_id"))
+            new = new.join(
+                again, (F.col("decision_id") == F.col("_id")) & F.col("day").eqNullSafe(F.col("_day")), "left_anti"
+            )
+        at = f"batch_id={batch_id}"
+        new.write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/log/{at}")
+        added = self.spark.read.schema(new.schema).option("basePath", f"{self.root}/log/{at}").parquet(f"{self.root}/log/{at}")
+        states = flag_states(added)
+        earlier = self.states(batch_id)
+        if earlier is not None:
+            touched = earlier.join(states.select("_k", "flag_id"), ["_k", "flag_id"], "left_semi")
+            states = merge_states(states.unionByName(touched))
+        states.write.mode("overwrite").parquet(f"{self.root}/states/{at}")
+
+    def decisions(self) -> DataFrame | None:
+        """Every decision once."""
+        log = self._read("log")
+        return None if log is None else log.drop("batch_id", "day")
+
+    def states(self, before: int | None = None) -> DataFrame | None:
+        """The newest state of every decided flag."""
+        states = self._read("states", before)
+        if states is None:
+            return None
+        rest = [c for c in states.columns if c not in ("_k", "flag_id", "batch_id")]
+        newest = states.groupBy("_k", "flag_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("s"))
+        return newest.select("_k", "flag_id", "s.*")
+
+    def compact(self, target: str) -> None:
+        """Write log and states as one batch each to another root."""
+        newest = self.next_batch() - 1
+        states, log = self.states(), self._read("log").drop("batch_id")
+        log.write.partitionBy("day").parquet(f"{target}/log/batch_id={newest}")
+        states.write.parquet(f"{target}/states/batch_id={newest}")
+
+
+def start_rescoring(decisions: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Run the stream into a ``DecisionLog`` at ``root``: every decision takes effect once."""
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        DecisionLog(batch.sparkSession, root).add(batch, batch_id)
 
     return (
-        flag_state(decisions, late)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        decisions.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .foreachBatch(append)
+        .foreachBatch(add)
         .start()
     )
 
 
-def current_state(spark: SparkSession, *state_paths: str) -> DataFrame:
-    """Latest state row per flag; rows are cumulative, so the highest batch wins."""
-    logs = [spark.read.parquet(p) for p in state_paths]
-    log = logs[0]
-    for more in logs[1:]:
-        log = log.unionByName(more)
-    rest = [c for c in STATE_COLUMNS if c not in ("_k", "flag_id")]
-    return log.groupBy("_k", "flag_id").agg(
-        F.max_by(F.struct(*rest), F.col("batch_id")).alias("s")
-    ).select("_k", "flag_id", "s.*")
-
-
-def compact_state(spark: SparkSession, state_path: str, target: str) -> None:
-    """Write the current state as one log (under its newest batch id) to ``target``."""
-    newest = spark.read.parquet(state_path).agg(F.max("batch_id")).scalar()
-    (
-        current_state(spark, state_path)
-        .withColumn("batch_id", newest)
-        .write.mode("errorifexists").partitionBy("batch_id").parquet(target)
-    )
-
-
-def live_scores(audits: DataFrame, flags: DataFrame, state: DataFrame) -> DataFrame:
-    """Audits with at least one decision, rescored from the stream's state."""
-    return rescore_decided(audits, merge_decisions(flags, state))
+def live_scores(audits: DataFrame, flags: DataFrame, states: DataFrame) -> DataFrame:
+    """Audits with at least one decision, rescored from the flags' states."""
+    return rescore_decided(audits, merge_decisions(flags, states))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from veridraft.functions.columns import mapped
 from veridraft.operators.activity import tumbling_activity
-from veridraft.operators.stages import furthest_stage
+from veridraft.operators.stages import STAGE_RANK, furthest_stage
 
 
 def stage_status(stage_events: DataFrame) -> DataFrame:
@@ -16,6 +19,41 @@ def stage_status(stage_events: DataFrame) -> DataFrame:
     return furthest_stage(stage_events)
 
 
+def stuck_stream(stage_events: DataFrame, idle: str = "24 hours", late: str = "1 hour") -> DataFrame:
+    """B14. Audits without an event for ``idle``, put out once when the watermark says so.
+
+    State is kept for open audits only: an audit leaves it when it completes or fails, or
+    when it is put out as stuck. The furthest stage counts, whatever the order of arrival.
+    """
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    final = STAGE_RANK["COMPLETED"]
+
+    def follow(key, batches, state):
+        rank, last = state.get if state.exists else (-1, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"audit_id": [key[0]], "stage_rank": [rank], "last_us": [last]})
+            return
+        for batch in batches:
+            rank = max(rank, int(batch["rank"].max()))
+            last = max(last, int(batch["us"].max()))
+        if rank >= final:
+            if state.exists:
+                state.remove()
+            return
+        state.update((rank, last))
+        state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+
+    rank = F.when(F.col("status") == "FAILED", final + 1).otherwise(mapped(F.col("status"), STAGE_RANK, -1))
+    events = stage_events.withWatermark("ts", late).select(
+        "audit_id", "ts", rank.alias("rank"), F.unix_micros("ts").alias("us")
+    )
+    return events.groupBy("audit_id").applyInPandasWithState(
+        follow, "audit_id string, stage_rank int, last_us long", "rank int, last long", "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def decision_windows(decisions: DataFrame, late: str = "1 hour", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """B15. Tumbling or sliding counts; decisions later than ``late`` are dropped."""
     return tumbling_activity(decisions.withWatermark("ts", late), size, slide)
