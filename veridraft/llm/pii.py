@@ -65,12 +65,13 @@ def fixed_spans(body: Column) -> Column:
     ip = F.filter(matches(body, IP), lambda s: s["value"].rlike(IP_PARTS))
     card = F.filter(matches(body, CARD), lambda s: passes_luhn(digits_of(s["value"])))
     phone = F.filter(matches(body, PHONE), lambda s: F.char_length(digits_of(s["value"])).between(9, 15))
-    return F.concat(*(
-        F.transform(found, lambda s, k=k: F.struct(
-            F.lit(k).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")
+
+    def numbered(kind: int, found: Column) -> Column:
+        return F.transform(found, lambda s: F.struct(
+            F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")
         ))
-        for k, found in enumerate((email, ip, card, phone))
-    ))
+
+    return F.concat(*(numbered(k, found) for k, found in enumerate((email, ip, card, phone))))
 
 
 def _side(c: Column) -> Column:
