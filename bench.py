@@ -13,7 +13,7 @@ import sys
 import time
 
 from veridraft.plans.registry import all_queries
-from veridraft.session import local_session
+from veridraft.session import clean_up, local_session
 
 HEADLINE = [
     "a35_pick_flag", "a37_review_queue", "a41_dashboard", "a43_rescore", "a43_rescored_queue", "a44_result_summary",
@@ -45,6 +45,7 @@ def main() -> None:
         once(name)  # warm-up
         times[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
+    clean_up(spark)
     scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(json.dumps({
         "metric": "headline_queries_total_seconds",
