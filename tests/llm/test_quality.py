@@ -76,6 +76,8 @@ def test_labels_null_missing_and_contradicting(spark):
     docs = documents(spark, [], extra=["quality"])
     empty = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.train(docs, empty) is quality.PASS_ALL
+    one = quality.train(documents(spark, ["a b", "c"]), spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int"))
+    assert one.probability("anything") > 0.99  # one kind of label: every text passes
     assert quality.quality_rules(docs, quality.PASS_ALL).count() == 0
     texts = [("good words " if k % 2 else "bad### $$$ ") * 40 for k in range(40)] + [None]
     labels = [(k, k % 2) for k in range(40)] + [(0, 1), (None, 1), (1, None), (40, 1), (99, 0)]

@@ -26,7 +26,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Fixed threshold: calibrated probability of good quality from which a text is kept.
 KEEP_FROM = 0.5
 #: Labelled documents the model is fitted on at most; those with the smallest hash of their id.
-TRAINING_ROWS = 3000
+TRAINING_ROWS = 2000
 BUCKETS_BITS = 15
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 
@@ -135,8 +135,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: in
     train = [r for r, h in zip(rows, held) if not h]
     y = labels[~held].astype(np.float64)
     index = np.concatenate([i for i, _ in train])
-    value = np.concatenate([v for _, v in train]).astype(np.float64)
-    owner = np.repeat(np.arange(len(train)), [len(i) for i, _ in train])
+    value = np.concatenate([v for _, v in train])
+    owner = np.repeat(np.arange(len(train), dtype=np.int32), [len(i) for i, _ in train])
     size = 4 << BUCKETS_BITS
     w, bias = np.zeros(size), float(np.log(y.mean() / (1 - y.mean())))
     # Both labels weigh the same; a small ridge keeps rare buckets near 0.
@@ -174,7 +174,7 @@ def calibrated(model: Model, scores: np.ndarray, labels: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fit on at most ``rows`` labelled documents: a bounded sample, which the driver may hold.
+    """Fit on at most ``rows`` labelled documents: a bounded sample, which one task may hold.
 
     Labels that are null or contradict one another for an id count as bad quality if one of
     them is 0, and not at all if none is known.
@@ -196,10 +196,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, doc_id:
             )
 
     kinds = [texts.schema["__id"].dataType, T.LongType(), T.BinaryType(), T.BinaryType()]
-    found = map_batches(texts, features, list(zip(["id", "label", "index", "value"], kinds))).collect()
-    found.sort(key=lambda r: (r["id"], bytes(r["index"]), bytes(r["value"])))
-    sparse = [(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32)) for r in found]
-    return fit(sparse, np.array([r["label"] for r in found], np.int64)) if found else PASS_ALL
+    found = map_batches(texts, features, list(zip(["id", "label", "index", "value"], kinds)))
+    fields = [("weights", T.BinaryType()), *((n, T.DoubleType()) for n in ("bias", "slope", "shift"))]
+    model = map_batches(found.repartition(1), _fitted, fields).first()
+    if model is None:
+        return PASS_ALL
+    return Model(np.frombuffer(model["weights"], np.float32), model["bias"], model["slope"], model["shift"])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sample's (id, label, buckets, frequencies) -> the model, as one row."""
+    rows = sorted(row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4))))
+    if rows:
+        sparse = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for _, _, i, v in rows]
+        model = fit(sparse, np.array([r[1] for r in rows], np.int64))
+        columns = [pa.array([model.weights.tobytes()], pa.binary())]
+        columns += [pa.array([x], pa.float64()) for x in (model.bias, model.slope, model.shift)]
+        yield pa.RecordBatch.from_arrays(columns, ["weights", "bias", "slope", "shift"])
 
 
 def quality_rules(
