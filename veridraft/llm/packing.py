@@ -33,6 +33,8 @@ from veridraft.session import materialise
 
 CAPACITY = 2048
 END = 0  # the id put after every document
+#: Exchanges the search tries at most; more may save a bin or two, fewer never lose a piece.
+SEARCH_STEPS = 20_000
 
 #: A kind of bin: its lengths, longest first.
 Kind = tuple[int, ...]
@@ -71,73 +73,100 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter[Kind]:
 
 
 class LocalSearch:
-    """Exchanges between underfull bins; every step increases the sum of squared fills."""
+    """Exchanges between underfull bins; every step increases the sum of squared fills.
+
+    The kinds are rows of a table: how many bins, their fill, and their lengths, padded with
+    zeros. A step compares what a giver could put out with all takers and their pieces at once.
+    """
 
     def __init__(self, kinds: Counter[Kind], capacity: int):
         self.capacity = capacity
-        self.kinds = Counter(kinds)
-
-    def underfull(self) -> list[Kind]:
-        """Emptiest first; equal fills in a fixed order."""
-        return sorted((k for k in self.kinds if sum(k) < self.capacity), key=lambda k: (sum(k), k))
-
-    def exchange(self, giver: Kind, taker: Kind, out: tuple[int, ...], back: tuple[int, ...]) -> None:
-        """``out`` leaves giver bins for taker bins, ``back`` returns; for all pairs of such bins."""
-        times = min(self.kinds[giver], self.kinds[taker])
-        if giver == taker:
-            times = self.kinds[giver] // 2
-        for kind, minus, plus in ((giver, out, back), (taker, back, out)):
-            new = list(kind)
+        self.kinds: list[Kind] = []
+        self.row: dict[Kind, int] = {}
+        self.bins = np.zeros(0, np.int64)
+        self.fill = np.zeros(0, np.int64)
+        self.pieces = np.zeros((0, 1), np.int64)
+        self.full: Counter[Kind] = Counter()
+        for kind, n in sorted(kinds.items()):
+            self.add(kind, n)
+
+    def add(self, kind: Kind, n: int) -> None:
+        if sum(kind) == self.capacity:  # takes part in nothing any more
+            self.full[kind] += n
+            return
+        at = self.row.setdefault(kind, len(self.kinds))
+        if at == len(self.kinds):
+            self.kinds.append(kind)
+            distinct = sorted(set(kind), reverse=True)
+            if at == len(self.bins):
+                more = max(64, at)
+                self.bins = np.append(self.bins, np.zeros(more, np.int64))
+                self.fill = np.append(self.fill, np.zeros(more, np.int64))
+                self.pieces = np.vstack([self.pieces, np.zeros((more, self.pieces.shape[1]), np.int64)])
+            if len(distinct) > self.pieces.shape[1]:
+                wider = np.zeros((len(self.pieces), len(distinct) - self.pieces.shape[1]), np.int64)
+                self.pieces = np.hstack([self.pieces, wider])
+            self.fill[at] = sum(kind)
+            self.pieces[at, : len(distinct)] = distinct
+        self.bins[at] += n
+
+    def step(self, at: int) -> bool:
+        """The exchange that moves most tokens out of a bin of this kind, if there is any.
+
+        A length goes out with nothing, or against one shorter length; so may a pair.
+        """
+        kind, fill, n = self.kinds[at], int(self.fill[at]), len(self.kinds)
+        takes = (self.bins[:n] > 0) & (self.fill[:n] >= fill)
+        takes[at] &= self.bins[at] > 1
+        rows = np.flatnonzero(takes)
+        if not len(rows):
+            return False
+        room = (self.capacity - self.fill[rows])[:, None]
+        # column 0: nothing comes back
+        back = np.hstack([np.zeros((len(rows), 1), np.int64), self.pieces[rows]])
+        real = np.hstack([np.ones((len(rows), 1), bool), self.pieces[rows] > 0])
+        outs = {(x,) for x in kind} | {(a, b) for i, a in enumerate(kind) for b in kind[i + 1 :]}
+        best, choice = 0, None
+        for out in sorted(outs, reverse=True):
+            gain = sum(out) - back
+            gain = np.where(real & (gain > 0) & (gain <= room), gain, 0)
+            if len(out) == 2:
+                gain[:, 0] = 0
+            spot = int(gain.argmax())
+            if gain.flat[spot] > best:
+                i, j = divmod(spot, gain.shape[1])
+                best, choice = int(gain.flat[spot]), (int(rows[i]), out, () if j == 0 else (int(back[i, j]),))
+        if choice is None:
+            return False
+        taker, out, returned = choice
+        times = int(self.bins[at] // 2 if taker == at else min(self.bins[at], self.bins[taker]))
+        for one, minus, plus in ((at, out, returned), (taker, returned, out)):
+            new = list(self.kinds[one])
             for x in minus:
                 new.remove(x)
-            self.kinds[kind] -= times
-            if not self.kinds[kind]:
-                del self.kinds[kind]
-            new = tuple(sorted(new + list(plus), reverse=True))
-            if new:
-                self.kinds[new] += times
-
-    def step(self, giver: Kind, takers: list[Kind]) -> bool:
-        """The exchange that moves most tokens out of ``giver``, if there is any."""
-        fill, best = sum(giver), (0,)
-        singles = [(x,) for x in sorted(set(giver), reverse=True)]
-        pairs = sorted({tuple(sorted((a, b), reverse=True)) for i, a in enumerate(giver) for b in giver[i + 1 :]}, reverse=True)
-        for taker in takers:
-            other = sum(taker)
-            if other < fill or (taker == giver and self.kinds[giver] < 2):
-                continue
-            room, backs = self.capacity - other, sorted(set(taker))
-            for out in singles + pairs:
-                size = sum(out)
-                if len(out) == 1 and best[0] < size <= room:
-                    best = (size, taker, out, ())
-                low = size - room
-                for back in backs:
-                    if back >= size:
-                        break
-                    if back >= low and size - back > best[0]:
-                        best = (size - back, taker, out, (back,))
-            if best[0] == fill:
-                break  # the bin is empty; nothing moves more
-        if len(best) == 1:
-            return False
-        self.exchange(giver, *best[1:])
+            self.bins[one] -= times
+            if new or plus:
+                self.add(tuple(sorted(new + list(plus), reverse=True)), times)
         return True
 
-    def run(self) -> Counter[Kind]:
-        total = sum(sum(k) * n for k, n in self.kinds.items())
-        least = -(-total // self.capacity)
-        stuck: set[Kind] = set()
-        while sum(self.kinds.values()) > least:
-            open_kinds = self.underfull()
-            giver = next((k for k in open_kinds if k not in stuck), None)
-            if giver is None:
+    def run(self, effort: int = SEARCH_STEPS) -> Counter[Kind]:
+        """From the emptiest kind on, until the bins are as few as their tokens allow, no
+        exchange improves, or ``effort`` steps were tried."""
+        found = lambda: Counter({k: int(b) for k, b in zip(self.kinds, self.bins) if b}) + self.full
+        least = -(-sum(sum(k) * n for k, n in found().items()) // self.capacity)
+        stuck: set[int] = set()
+        for _ in range(effort):
+            n = len(self.kinds)
+            if int(self.bins[:n].sum()) + self.full.total() <= least:
                 break
-            if self.step(giver, open_kinds[::-1]):
-                stuck.clear()
-            else:
-                stuck.add(giver)
-        return self.kinds
+            order = np.where(self.bins[:n] > 0, self.fill[:n], self.capacity)
+            order[list(stuck)] = self.capacity
+            at = int(order.argmin())
+            if order[at] == self.capacity:
+                break
+            if not self.step(at):
+                stuck.add(at)
+        return found()
 
 
 def pack(counts: dict[int, int], capacity: int = CAPACITY) -> Counter[Kind]:
