@@ -121,6 +121,7 @@ class LocalSearch:
         rows = np.flatnonzero(takes)
         if not len(rows):
             return False
+        rows = rows[np.lexsort((rows == at, -self.fill[rows]))]  # of equal gains the fullest taker
         room = (self.capacity - self.fill[rows])[:, None]
         # column 0: nothing comes back
         back = np.hstack([np.zeros((len(rows), 1), np.int64), self.pieces[rows]])
@@ -155,6 +156,7 @@ class LocalSearch:
         found = lambda: Counter({k: int(b) for k, b in zip(self.kinds, self.bins) if b}) + self.full
         least = -(-sum(sum(k) * n for k, n in found().items()) // self.capacity)
         stuck: set[int] = set()
+        moved = False
         for _ in range(effort):
             n = len(self.kinds)
             if int(self.bins[:n].sum()) + self.full.total() <= least:
@@ -163,8 +165,12 @@ class LocalSearch:
             order[list(stuck)] = self.capacity
             at = int(order.argmin())
             if order[at] == self.capacity:
-                break
-            if not self.step(at):
+                if not moved:
+                    break
+                stuck, moved = set(), False  # once more, as others have changed
+            elif self.step(at):
+                moved = True
+            else:
                 stuck.add(at)
         return found()
 
