@@ -128,7 +128,7 @@ class LocalSearch:
         real = np.hstack([np.ones((len(rows), 1), bool), self.pieces[rows] > 0])
         outs = {(x,) for x in kind} | {(a, b) for i, a in enumerate(kind) for b in kind[i + 1 :]}
         best, choice = 0, None
-        for out in sorted(outs, reverse=True):
+        for out in sorted(outs, key=lambda o: (len(o), [-x for x in o])):
             gain = sum(out) - back
             gain = np.where(real & (gain > 0) & (gain <= room), gain, 0)
             if len(out) == 2:
