@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import uuid
 from collections import Counter
 
 import pytest
@@ -116,6 +117,22 @@ def test_finds_random_strings_and_leaves_words(spark):
     assert sum(r.n_random for r in rows if r.doc_id >= 50) <= 1
 
 
+def test_finds_keys_of_one_case_and_leaves_prose(spark):
+    """Random strings of every encoding but digits, UUIDs, and prose without its spaces."""
+    rng = random.Random(6)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    kinds = [("0123456789ABCDEF", 0.85), (upper, 0.25), (upper.lower(), 0.25), (upper + "234567", 0.7), (upper.lower() + "0123456789", 0.75)]
+    hidden = ["see " + "".join(rng.choices(a, k=32)) for a, _ in kinds for _ in range(60)]
+    hidden += ["id " + str(uuid.UUID(int=rng.getrandbits(128), version=4)) for _ in range(60)]
+    prose = ("it is not only the words that a reader of these pages will have to judge but also what was left "
+             "out of them by people who never thought that anybody would come back and look for it").replace(" ", "")
+    plain = [x for n in (20, 32, 40, 64) for at in range(0, 60, 2) for x in (prose[at : at + n], prose[at : at + n].upper())]
+    rows = secrets.find_secrets(documents(spark, hidden + plain)).collect()
+    found = [sum(r.n_random for r in rows if r.doc_id // 60 == k) for k in range(6)]
+    assert all(n >= 60 * least for n, (_, least) in zip(found, kinds)) and found[5] >= 50
+    assert sum(r.n_random for r in rows if r.doc_id >= len(hidden)) <= 0.02 * sum(found)  # windows overlap, two places
+
+
 def test_many_matches_in_one_text(spark):
     """Places stay right beyond a block of matches."""
     text = "é".join(f" secret=abcdefgh{i}" for i in range(1000))

@@ -39,18 +39,24 @@ HEX = "[0-9a-f]{32,}"
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
 
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+#: Letters by how rare they are in prose (English, German, French, Spanish).
+RARE = "jkqvwxyzbpfgmacdehilnorstu"
+#: Groups of a UUID are read as one string of hexadecimal digits.
+UUID = "^([0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9A-F]{8}(-[0-9A-F]{4}){3}-[0-9A-F]{12})$"
 #: Fixed values by encoding: characters it may hold, its alphabet in order, and what ordinary
 #: text in it looks like: chance that two symbols agree, chance that neighbours lie on
-#: different sides of the alphabet's middle. The first encoding that fits is taken.
+#: different sides of the alphabet's middle. The first encoding that fits is taken. Letters of
+#: one case start with the rare ones: ordinary text hardly leaves the common half, random
+#: strings do half the time; how often symbols agree can't tell short ones apart.
 ENCODINGS = [
     ("[0-9]+", DIGITS, 0.14, 0.5),
-    ("[0-9a-f]+", DIGITS + "abcdef", 0.10, 0.4),
-    ("[0-9A-F]+", DIGITS + "ABCDEF", 0.10, 0.4),
-    ("[a-z]+", LOWER, 0.066, 0.5),
-    ("[A-Z]+", LOWER.upper(), 0.066, 0.5),
-    ("[A-Z2-7]+", "234567" + LOWER.upper(), 0.06, 0.4),
-    ("[0-9a-z]+", DIGITS + LOWER, 0.06, 0.25),
-    ("[0-9A-Z]+", DIGITS + LOWER.upper(), 0.06, 0.25),
+    ("[0-9a-f]+", DIGITS + "abcdef", 0.15, 0.25),
+    ("[0-9A-F]+", DIGITS + "ABCDEF", 0.15, 0.25),
+    ("[a-z]+", RARE, 0.066, 0.35),
+    ("[A-Z]+", RARE.upper(), 0.066, 0.35),
+    ("[A-Z2-7]+", "234567" + RARE.upper(), 0.06, 0.25),
+    ("[0-9a-z]+", DIGITS + RARE, 0.06, 0.25),
+    ("[0-9A-Z]+", DIGITS + RARE.upper(), 0.06, 0.25),
     (".+", "+/" + DIGITS + LOWER.upper() + LOWER, 0.055, 0.15),
 ]
 #: Every statistic of a random string lies within so many standard deviations.
@@ -90,7 +96,7 @@ def statistics(value: Column, alphabet: str, agree: float, cross: float) -> Colu
 
 def judged(value: Column) -> Column:
     """Statistics of a candidate in the encoding its characters suggest."""
-    plain = F.translate(value, "_-", "/+")
+    plain = F.when(value.rlike(UUID), F.replace(value, F.lit("-"), F.lit(""))).otherwise(F.translate(value, "_-", "/+"))
     chosen = None
     for fits, alphabet, agree, cross in reversed(ENCODINGS):
         found = statistics(plain, alphabet, agree, cross)
