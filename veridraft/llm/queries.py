@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from veridraft.llm import bpe, chat, exact, packing, passages, pii, quality, secrets, simhash, urls
+from veridraft.llm import (
+    bpe, chat, exact, negatives, packing, passages, pii, quality, secrets, simhash, topk, urls,
+)
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,10 +17,14 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_passages": passages.op10_passages,
+    "op11_top_k_search": topk.op11_top_k_search,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
 }
 
 #: The others hold models, tokenizers or search; tests/llm compares them with plain forms.
 SQL = {
     "op7_chat_format": chat.OP7_SQL,
     "op8_exact_dedup": exact.OP8_SQL,
+    "op11_top_k_search": topk.OP11_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
 }
