@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from veridraft.llm import (
-    bpe, chat, exact, negatives, packing, passages, pii, quality, secrets, simhash, topk, urls,
+    bpe, chat, exact, negatives, packing, passages, pii, quality, repair, secrets, simhash, topk, urls,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_passages": passages.op10_passages,
     "op11_top_k_search": topk.op11_top_k_search,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 #: The others hold models, tokenizers or search; tests/llm compares them with plain forms.
@@ -27,4 +28,5 @@ SQL = {
     "op8_exact_dedup": exact.OP8_SQL,
     "op11_top_k_search": topk.OP11_SQL,
     "op12_hard_negatives": negatives.OP12_SQL,
+    "op13_conversation_repair": repair.OP13_SQL,
 }
