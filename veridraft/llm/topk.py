@@ -31,7 +31,7 @@ from veridraft.llm.vectors import (
 from veridraft.session import materialise
 
 SCALE, K = 64, 20
-#: Longest rows that give the first thresholds: broadcast, so many vectors at most.
+#: Longest rows that give the first thresholds: one block, sent to all tasks as a scalar subquery.
 SEED_ROWS = 256
 #: Local threshold from which coordinates prune more than they cost, and the coordinates looked at.
 COORDINATES_FROM, FOCUS = 0.8, 4
@@ -117,9 +117,9 @@ def _seeded(k: int, own: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in pair_rows(batches):
-            queries, bucket = Block.read(row, "q_"), Bucket.read(row, "r_").prepare()
-            best = Best(len(queries.ids), k)
-            meet(queries, lengths(queries.mat), bucket, best, own)
+            queries, best = Block.read(row, "q_"), Best(row["q_n"], k)
+            if row["r_seed"] is not None:
+                meet(queries, lengths(queries.mat), Bucket.read(row["r_seed"], "").prepare(), best, own)
             floor = best.scores[:, -1]
             values = [row[f"q_{n}"] for n, _ in BLOCK_FIELDS] + [floor.tobytes(), float(floor.min())]
             kinds = [pa.int32()] * 4 + [pa.float64()] + [pa.binary()] * 4 + [pa.float64()]
@@ -181,10 +181,10 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, k: int = K, scale: int = SC
     asked = blocks(asked.repartitionByRange(*order).sortWithinPartitions(*order), QUERIES)
 
     seed = blocks(vectors.orderBy(*order).limit(SEED_ROWS), SEED_ROWS).where("seq = 0")
-    seed = seed.select(*(F.col(c).alias(f"r_{c}") for c in seed.columns), F.lit(0).alias("one"))
-    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns), F.lit(0).alias("one"))
+    seed = seed.select(F.struct(*seed.columns)).scalar()
+    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns)).withColumn("r_seed", seed)
     fields = BLOCK_FIELDS + [("floor", T.BinaryType()), ("least", T.DoubleType())]
-    asked = map_batches(asked.join(F.broadcast(seed), "one").drop("one"), _seeded(k, own), fields)
+    asked = map_batches(asked, _seeded(k, own), fields)
     asked = materialise(asked, "topk-queries")
 
     needed = (F.col("q_least") <= 0) | (F.col("q_longest") * F.col("r_longest") * ROOM >= F.col("q_least"))
