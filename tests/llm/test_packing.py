@@ -64,7 +64,6 @@ def test_best_fit_equals_the_plain_form():
 
 def check_rows(rows, texts, capacity):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -93,12 +92,49 @@ def check_rows(rows, texts, capacity):
 def test_whole_texts_are_packed(spark, capacity):
     rng = random.Random(capacity)
     texts = odd_texts(rng) + [words(rng, rng.randint(1, 900)) for _ in range(150)] + ["same text"] * 300
+    texts += ["end <|endoftext|> and more", "<|endoftext|>"]
     df = documents(spark, texts, extra=["piece", "first", "places"])
     rows = packing.pack_documents(df, PATH, capacity, parts=3).collect()
     bins, least = check_rows(rows, texts, capacity)
     assert bins <= least * 1.02 + 1
 
 
+def test_ids_are_those_of_the_library():
+    """Special tokens in the text, odd spaces, long runs, every character that takes the shorter way."""
+    tokenizer = Tokenizer.from_file(PATH)
+    rng = random.Random(12)
+    texts = [
+        "foo <|endoftext|>", "<|endoftext|> foo<|endoftext|>\n<|endoftext|>", "a<|endoftext|> b", "\n", "a\n b\nc",
+        " a", "a ", "a  b", "\t a\r\n b", "x" * 3000, "it's  'll\u3000\x85 \x1c a'S", "\u00a0a \u2028 b", "<|endoftext", "",
+    ]
+    texts += [t or "" for t in odd_texts(rng)] + [words(rng, 3000) for _ in range(3)]
+    texts += ["".join(rng.choices(["a", " ", "\n", "<|endoftext|>", "é", "!", "12", "'s"], k=30)) for _ in range(400)]
+    texts += [f"{c} {c}a{c}1{c}.{c} {c}{c}" for c in map(chr, range(0x250))]
+    texts += ["".join(rng.choices([chr(c) for c in range(0x250)], k=40)) for _ in range(2000)]
+    assert packing.merges_by_rank(PATH)
+    for ids in (packing.Ids(PATH, True), packing.Ids(PATH, False)):
+        for t in texts:
+            assert ids.of(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:50]
+    assert tokenizer.encode("foo <|endoftext|>", add_special_tokens=False).ids == [21943, 220, 50256]
+
+
+def test_when_ids_say_the_order_of_merges(tmp_path):
+    """Vocabularies in which they don't are told apart."""
+    import json
+
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+
+    def says(**model):
+        path = f"{tmp_path}/{len(list(tmp_path.iterdir()))}.json"
+        with open(path, "w", encoding="utf-8") as out:
+            json.dump(spec | {"model": spec["model"] | model}, out)
+        return packing.merges_by_rank(path)
+
+    merges = spec["model"]["merges"]
+    assert says() and not says(merges=merges[::-1]) and not says(merges=merges[1:]) and not says(ignore_merges=True)
+
+
 def test_empty_repeats_and_nulls(spark):
     assert packing.pack_documents(documents(spark, []), PATH).count() == 0
     rows = packing.pack_documents(documents(spark, ["a", "a", None], [None, 5, 5]), PATH).collect()

@@ -14,7 +14,9 @@ that length. Counting is spread over ``parts`` groups of each length.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,14 +30,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from veridraft.llm.common import map_batches, table
-from veridraft.llm.pretokens import Memory, chunked
+from veridraft.llm.pretokens import chunked
 from veridraft.session import materialise
 
 CAPACITY = 2048
 END = 0  # the id put after every document
-#: Exchanges the search tries at most; more may save a bin or two, fewer never lose a piece.
-SEARCH_STEPS = 20_000
-
 #: A kind of bin: its lengths, longest first.
 Kind = tuple[int, ...]
 
@@ -150,14 +149,14 @@ class LocalSearch:
                 self.add(tuple(sorted(new + list(plus), reverse=True)), times)
         return True
 
-    def run(self, effort: int = SEARCH_STEPS) -> Counter[Kind]:
-        """From the emptiest kind on, until the bins are as few as their tokens allow, no
-        exchange improves, or ``effort`` steps were tried."""
+    def run(self) -> Counter[Kind]:
+        """From the emptiest kind on, until the bins are as few as their tokens allow or a
+        whole sweep finds no exchange. It ends, as every exchange raises the squared fill."""
         found = lambda: Counter({k: int(b) for k, b in zip(self.kinds, self.bins) if b}) + self.full
         least = -(-sum(sum(k) * n for k, n in found().items()) // self.capacity)
         stuck: set[int] = set()
         moved = False
-        for _ in range(effort):
+        while True:
             n = len(self.kinds)
             if int(self.bins[:n].sum()) + self.full.total() <= least:
                 break
@@ -194,20 +193,85 @@ def places(kinds: Counter[Kind]) -> list[tuple[int, int, int, int, int]]:
     return rows
 
 
-@lru_cache(maxsize=2)
-def _worker(path: str) -> Memory:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: How a byte-level tokenizer cuts a text into pre-tokens (a fixed value).
+PRE_TOKENS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts with characters whose class may differ between Unicode versions, or with runs that a
+#: merge by scanning takes long for, are encoded by the tokenizer's own library.
+UNUSUAL = re.compile(r"[^\0-\u024f]|\S{1000}")
+
+
+def byte_symbols() -> dict[str, int]:
+    """The characters that stand for bytes in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(other)}
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def values(new: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids."""
-        found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+@lru_cache(maxsize=8)
+def merges_by_rank(path: str) -> bool:
+    """Whether merging by the ids of the merged tokens gives what the tokenizer's list of merges does.
+
+    It does if ids rise along the list and every token is what its own bytes are merged to: then
+    two neighbours that make a token, with no earlier merge left inside, are the listed pair.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in (
+        "dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"
+    )) and spec["normalizer"] is None
+    plain &= before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
+    plain &= all(t["special"] and not any(t[k] for k in ("lstrip", "rstrip", "single_word", "normalized")) for t in spec["added_tokens"])
+    if not plain:
+        return False
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    if ids != sorted(set(ids)) or ids[:1] == [-1]:
+        return False
+    rank = {pair: i for i, pair in enumerate(pairs)}
+
+    def merged(token: str) -> list[str]:
+        parts = list(token)
+        while len(parts) > 1:
+            best, at = min((rank.get(pair, len(rank)), i) for i, pair in enumerate(zip(parts, parts[1:])))
+            if best == len(rank):
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    special = {t["content"] for t in spec["added_tokens"]}
+    symbols = byte_symbols()
+    tokens = [t for t in model["vocab"] if t not in special]
+    return symbols.keys() <= set(tokens) and all(set(t) <= symbols.keys() and len(merged(t)) == 1 for t in tokens)
 
-    return Memory(values)
+
+class Ids:
+    """Ids of whole texts. ``by_rank``: as ``merges_by_rank`` says; usual texts then take a shorter way."""
+
+    def __init__(self, path: str, by_rank: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.short = Tokenizer.from_file(path), None
+        if by_rank:
+            special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+            symbols = byte_symbols()
+            ranks = {
+                bytes(map(symbols.__getitem__, t)): i
+                for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in special
+            }
+            self.short = tiktoken.Encoding(path, pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=special)
+
+    def of(self, text: str) -> np.ndarray:
+        if self.short is None or UNUSUAL.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return self.short.encode_to_numpy(text, allowed_special="all")
+
+
+@lru_cache(maxsize=2)
+def _worker(path: str, by_rank: bool) -> Ids:
+    return Ids(path, by_rank)
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -219,15 +283,19 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, path: str, capacity: int, text: str, carried: list[str]) -> DataFrame:
     """One row per piece: ``carried``, piece, start, length, ids_crc32."""
     rows = docs.select(*carried, F.col(text).alias("__text"))
+    by_rank = merges_by_rank(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.uint32(END).tobytes()
         for batch, texts in chunked(batches, len(carried)):
             owner, out = [], []
-            for i, parts in enumerate(_worker(path).of(texts)):
-                ids = memoryview(b"".join(parts) + np.uint32(END).tobytes())
-                for k, (start, n) in enumerate(cuts(len(ids) // 4, capacity)):
+            for i, t in enumerate(texts):
+                ids = _worker(path, by_rank).of(t)
+                n = len(ids) + 1  # with the end id
+                for k, (start, size) in enumerate(cuts(n, capacity)):
+                    crc = zlib.crc32(ids[start : start + size])
                     owner.append(i)
-                    out.append((k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
+                    out.append((k, start, size, zlib.crc32(end, crc) if start + size == n else crc))
             columns = [batch.column(i).take(pa.array(owner, pa.int64())) for i in range(len(carried))]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns += [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
@@ -250,8 +318,10 @@ def pack_documents(
     """One row per piece: ``columns`` (default: the id), piece, start, length, ids_crc32,
     sequence_id and offset. Added names replace carried ones.
 
-    ``path`` is a tokenizer file on every worker. A null or empty text is one piece, the end
-    id. No rows give no rows. Equal rows are packed one by one.
+    ``path`` is a tokenizer file on every worker; a text is encoded as its library does, so the
+    string of a special token gives that token. A null or empty text is one piece, the end id;
+    a text of any length is encoded whole and cut into pieces. Ids may repeat or be null. No
+    rows give no rows. Equal rows are packed one by one; which of them gets which place is open.
     """
     added = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     carried = [c for c in columns or ["doc_id"] if c not in added]
@@ -271,7 +341,7 @@ def pack_documents(
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(
         F.col("length"), F.col("__part"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")
-    ).join(F.broadcast(plan), "length")  # at most one row for each length below the capacity
+    ).join(plan, "length")
     ranked = rest.withColumn("__k", F.row_number().over(Window.partitionBy("length", "__part").orderBy("__row")))
     placed = ranked.join(counts, ["length", "__part"]).withColumn("__k", F.col("before") + F.col("__k") - 1)
     spot = F.element_at(F.filter("places", lambda p: p["first"] <= F.col("__k")), -1)
