@@ -125,6 +125,22 @@ def test_decision_replay(spark, t, n):
     assert done["history"].count() == n and done["rejected"].count() == 0
 
 
+def test_rejected_decisions_change_nothing(spark, t):
+    """A flag whose audit is unknown stays as it is; a repeated decision counts as first made."""
+    orphan = t["flags"].where("flag_id = 'FLG-201'").withColumn("audit_id", F.lit("AUD-9"))
+    flags = t["flags"].where("audit_id <> 'AUD-1088'").unionByName(orphan)
+    log = _log(spark, [("DISMISS", "FLG-201"), ("DISMISS", "FLG-101"), ("ACCEPT", "FLG-101")])
+    log = log.withColumn("audit_id", F.when(F.col("flag_id") == "FLG-201", F.lit("AUD-9")).otherwise(F.col("audit_id")))
+    again = log.where("decision_id = 2").withColumn("ts", F.expr("ts + INTERVAL 1 DAY"))
+    for every in (log.unionByName(again), again.unionByName(log)):
+        done = decisions.process_decisions(t["audits"], flags, every)
+        now = {r.flag_id: (r.status, r.decision_count) for r in done["flags"].collect()}
+        assert now["FLG-201"] == ("PENDING", 0) and now["FLG-101"] == ("ACCEPTED", 2)
+        assert [(r.decision_id, r.reason) for r in done["rejected"].collect()] == [(1, "Audit not found")]
+        assert [r.reviewer_decision_count for r in done["audits"].collect()] == [2]
+        assert done["history"].count() == 2
+
+
 def test_progression_follows_the_replay(spark, t):
     rows = scoring.score_progression(t["flags"], _log(spark, REPLAY)).orderBy("step").collect()
     assert [(r.score, r.unresolved_flags) for r in rows] == [(s[2], s[4]) for s in REPLAY]

@@ -13,8 +13,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veridraft.functions.arrays import BLOCK, start_offsets
+from tests.scans import shuffled_bytes
 from veridraft.operators import activity, canonical, evidence, ordered, paragraphs, passports, retrieval, scoring, stages
 
 
@@ -146,6 +148,41 @@ def test_match_paragraphs_equals_brute_force(spark, matching_case, small):
     assert {(r.audit_id, r.para_no): r.flag_id for r in got.collect()} == brute_match(paras, flags)
 
 
+def test_many_prefixes_in_one_audit(spark):
+    """1,000 prefixes of 30 lengths over text that holds many of them; the shuffle stays near the text's size."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij ", k=rng.randrange(3, 12))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=120)) for _ in range(400)] + [" ".join(rng.choices(words, k=8000))]
+    flags = []
+    for i in range(1000):
+        source, n = rng.choice(texts), i % 30 + 1
+        at = rng.randrange(len(source) - n)
+        # two thirds are not in the text as they stand, but for the short ones
+        claim = source[at : at + n] if i % 3 == 0 else "".join(rng.choices("abcdefghij XYZ", k=n))
+        flags.append(("A", (i * 37) % 1000, f"f{i}", claim))
+    # of many prefixes with the same beginning only the rest tells one from another
+    flags += [("A", 1000 + i, f"g{i}", f"the same beginning {i:04d}") for i in range(500)]
+    texts += [f"x the same beginning {i:04d} y" for i in range(0, 500, 50)]
+    paras = [("A", i, t) for i, t in enumerate(texts)]
+    for few in (flags, [f for f in flags if len(f[3]) > 7]):
+        df = paragraphs.match_paragraphs(
+            spark.createDataFrame(paras, "audit_id string, para_no int, para string").repartition(4),
+            spark.createDataFrame(few, "audit_id string, ord int, flag_id string, claim string"),
+        )
+        moved = shuffled_bytes(df)
+        assert {(r.audit_id, r.para_no): r.flag_id for r in df.collect()} == brute_match(paras, few)
+    # the second one has no prefixes of a letter or two, which are nearly everywhere
+    assert moved < 6 * sum(map(len, texts)), moved / sum(map(len, texts))
+
+
+def test_rarest_gram_is_the_anchor(spark):
+    rows = [("A", f"all share this {i}{i * 7 % 10}", i) for i in range(10)]
+    found = paragraphs.anchors(
+        spark.createDataFrame(rows, "k string, prefix string, ord int").selectExpr("k", "prefix", "struct(ord) AS hit"), "k"
+    ).collect()
+    assert len(found) == 10 and len({r.hash for r in found}) == 10 and {r.gram for r in found} == {16}
+
+
 @pytest.mark.parametrize("n", [1, 9, 10, 11, 25, 40])
 def test_segments_keep_every_substring(spark, n):
     text = "".join(chr(97 + i % 26) if i % 7 else "😀" for i in range(n))
@@ -204,6 +241,37 @@ def test_bm25_is_exact_for_any_split(spark, rare_df):
     assert all(abs(a[1] - b[1]) < 2e-6 for c in got for a, b in zip(got[c], want[c]))
 
 
+def test_bm25_of_common_words_only(spark):
+    """Every term is in most passages: exact, and few blocks are read for each claim."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(12)]
+
+    def text(n, favourite=None):
+        some = rng.sample(common, 7)  # every word is in more than half of the passages
+        return " ".join(favourite if favourite and rng.random() < 0.4 else rng.choice(some) for _ in range(n))
+
+    passages = [(i, text(rng.randrange(30, 300))) for i in range(6000)]
+    passages += [(6000 + i, text(40, rng.choice(common))) for i in range(120)]  # a few stand out
+    claims = [(i, " ".join(rng.sample(common, rng.choice([1, 2, 3])))) for i in range(40)]
+    index = retrieval.build_index(spark.createDataFrame(passages, "passage_id int, text string"), rare_df=50)
+    assert index.rare.isEmpty()
+    asked = spark.createDataFrame(claims, "claim_id int, text string")
+    got = {}
+    for r in sorted(retrieval.bm25_top_k(asked, index, k=3).collect(), key=lambda r: (r.claim_id, r["rank"])):
+        got.setdefault(r.claim_id, []).append((r.passage_id, r.score))
+    want = brute_bm25(claims, passages, 3)
+    assert {c: [p for p, _ in v] for c, v in got.items()} == {c: [p for p, _ in v] for c, v in want.items()}
+
+    terms = asked.select("claim_id", F.explode(retrieval.words(F.col("text"))).alias("term")).join(index.common_terms, "term")
+    nothing = spark.createDataFrame([], "claim_id int, passage_id int, score double")
+    first, blocks = retrieval.surviving_blocks(terms, index, nothing, "claim_id", 3)
+    read = blocks.count() + retrieval.FIRST_BLOCKS * len(claims)
+    every = index.maxima[1].select("cell").distinct().count()
+    assert every >= 90 and read < len(claims) * every / 5
+    scored = retrieval.common_scores(terms, index, blocks, "claim_id").count()
+    assert scored <= blocks.count() * retrieval.BLOCK
+
+
 def test_vector_top_k(spark):
     rng = random.Random(5)
     vectors = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(200)]
@@ -236,6 +304,44 @@ def test_vector_top_k_many(spark, block):
         assert [got[q][i + 1] for i in range(4)] == [v[0] for v in want]
 
 
+def test_vector_rings_are_skipped_and_hold_everything(spark):
+    """Clustered directions: exact, most rings are never compared, and nothing is collected on the way."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    rows = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)) * 0.05
+    rows[::500] = 0
+    rows[1::600] = rows[1]  # ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    df = df.unionByName(spark.createDataFrame([(9000, None), (9001, [None] * 16)], df.schema))
+    queries = df.where("vec_id % 97 = 0 OR vec_id IN (1, 500)").withColumnRenamed("vec_id", "query_id")
+    got = {}
+    for r in retrieval.vector_top_k_many(df, queries, 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    unit = rows / np.where(norms == 0, 1, norms)
+    asked = [i for i in range(6000) if i % 97 == 0 or i in (1, 500)]
+    for q in asked:
+        scores = np.round(unit @ unit[q], 6)
+        want = np.lexsort((np.arange(6000), -scores))[:5]
+        assert [got[q][i + 1] for i in range(5)] == [(int(i), scores[i]) for i in want]
+    assert set(got) == set(asked)
+
+    pivots = df.where("vec_id BETWEEN 2 AND 65").agg(F.collect_list("embedding")).scalar()
+    rings = retrieval._rings(df.where("vec_id < 9000"), pivots, "vec_id", "embedding", T.LongType()).collect()
+    assert sorted(k for r in rings for k in r["keys"]) == list(range(6000))
+    needed = pairs = 0
+    for r in rings:
+        units = np.frombuffer(r.units).reshape(-1, 16)
+        bounds = retrieval.ring_bounds(unit[asked], np.frombuffer(r.pivot), r.near, r.far)
+        scores = unit[asked] @ units.T
+        assert (bounds >= scores.max(axis=1)).all()
+        needed += int((bounds >= 0.95).sum())
+        pairs += len(asked)
+    assert needed < pairs / 4
+
+
 # -- text ------------------------------------------------------------------------------
 
 
@@ -269,7 +375,78 @@ def test_markup(spark):
     row = spark.createDataFrame([(html,)], "h string").select(
         canonical.normalise_space(canonical.strip_markup(F.col("h")))
     ).first()[0]
-    assert row == "A&lt; b C d © ’€'&#0;&#55296;&#99999999; &#65;"
+    assert row == "A&lt; b\u2029C d © ’€'&#0;&#55296;&#99999999; &#65;"
+
+
+def plain_text(html):
+    """A page's text, character by character: the states of a tokenizer."""
+    out, i, low = [], 0, html.lower()
+
+    def tag_end(i):
+        while i < len(html):
+            if html[i] == ">":
+                return i + 1
+            if html[i] == "=":
+                i += 1
+                while html[i : i + 1] in (" ", "\n", "\t"):
+                    i += 1
+                if html[i : i + 1] in ("'", '"'):
+                    close = html.find(html[i], i + 1)
+                    if close < 0:
+                        return len(html)
+                    i = close
+                else:
+                    continue
+            i += 1
+        return i
+
+    while i < len(html):
+        if low.startswith("<!--", i):
+            close = html.find("-->", i + 4)
+            i = len(html) if close < 0 else close + 3
+            out.append(" ")
+        elif m := re.match(r"<(/?[a-z]|[!?])", low[i : i + 3]):
+            name = re.match(r"</?([a-z0-9]*)", low[i : i + 20])[1]
+            hidden = name in ("script", "style") and low[i + 1] != "/"
+            i = tag_end(i + len(m[0]))
+            if hidden:
+                close = re.compile(rf"</{name}\s*>").search(low, i)
+                i = close.end() if close else len(html)
+            out.append("\u2029" if re.fullmatch(canonical.BLOCKS, name) else " ")
+        else:
+            out.append(html[i])
+            i += 1
+    text = re.sub("[ \n\t]+", " ", "".join(out))
+    return re.sub(" ?\u2029[ \u2029]*", "\u2029", text).strip("\u2029").strip(" ")
+
+
+PIECES = [
+    "<p>", "</p>", "<br/>", "<b>", "<a href='x>y'>", '<a title="<p>" b=">">', "<script>", "</script>", "<SCRIPT src=a>", "<style>",
+    "</STYLE >", "<!--", "-->", "<!DOCTYPE html>", "<?xml ?>", "x < y", "a > b", "don't", "=", "'", '"', "word.", " ", "<", "<p", "</", "\n", "<li a=b>",
+]
+
+
+@settings(max_examples=6, deadline=None)
+@given(pages=st.lists(st.lists(st.sampled_from(PIECES), max_size=25), min_size=60, max_size=80))
+def test_markup_against_a_tokenizer(spark, pages):
+    pages = ["".join(p) for p in pages]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, h string").select(
+        "i", "h", canonical.normalise_space(canonical.strip_markup(F.col("h"))).alias("t")
+    ).collect()
+    for r in rows:
+        assert r.t == plain_text(r.h), r.h
+
+
+def test_markup_is_linear(spark):
+    """What is never closed is scanned once: a megabyte of each, in seconds."""
+    import time
+
+    units = ["<script", "<script>", "<!--", "<a b='", '<a b=">" ', "<style x>", "<", "<a ", "&amp", "&", "= '"]
+    df = spark.createDataFrame([(u * (1_000_000 // len(u)),) for u in units], "h string").repartition(len(units))
+    text = canonical.strip_markup(F.col("h"))
+    start = time.time()
+    assert df.select(F.length(canonical.normalise_space(text)).alias("n")).agg(F.sum("n")).first()[0] > 0
+    assert time.time() - start < 60
 
 
 def test_extracted_claims(spark):

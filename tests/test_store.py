@@ -80,3 +80,25 @@ def test_one_audit_prunes_the_scan(spark, store, capsys):
     for rows in (get_audit(audits, "AUD-1042", strict=False), children_of(audits, flags, "AUD-1042")):
         rows.explain()
         assert "EqualTo(audit_key,aud-1042)" in capsys.readouterr().out and rows.count() > 0
+
+
+def test_one_audit_reads_one_bucket(spark, store):
+    """A point read meets one bucket of the states, whatever else was decided."""
+    from tests.scans import scanned
+
+    t = golden.tables(spark)
+    flag, audit = t["flags"].where("audit_id = 'AUD-1042'").limit(1), t["audits"].where("audit_id = 'AUD-1042'")
+    ids = spark.range(300).select(F.concat(F.lit("AUD-x"), "id").alias("_a"))
+    store.append("flags", flag.drop("audit_id").crossJoin(ids).withColumnRenamed("_a", "audit_id").select(*flag.columns).unionByName(t["flags"]))
+    store.append("audits", audit.drop("audit_id").crossJoin(ids).withColumnRenamed("_a", "audit_id").select(*audit.columns).unionByName(t["audits"]))
+    flag_id = flag.first().flag_id
+    log = ids.select(
+        F.xxhash64("_a").alias("decision_id"), F.col("_a").alias("audit_id"), F.lit(flag_id).alias("flag_id"),
+        F.lit("DISMISS").alias("action"), F.lit("why").alias("note"), F.lit("r").alias("reviewed_by"),
+        F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"),
+    )
+    assert store.submit_decisions(log).count() == 0
+    every, one = scanned(store._log().states()), scanned(store._log().states("aud-X7"))
+    assert every["rows"] == 300 and one["rows"] < 30 and one["files"] * 10 < every["files"]
+    assert store.audit("AUD-X7").first().reviewer_decision_count == 1
+    assert store.flags("aud-x7").first().status == "DISMISSED"

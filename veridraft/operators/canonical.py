@@ -3,24 +3,39 @@ stage: one row in, its sentences or claims out, no shuffle."""
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridraft.functions.arrays import start_offsets
 from veridraft.operators.verdicts import NUMBER, UNIT
 
-# --- fixed values: markup that carries no text, in the order it is removed ---------
-NO_TEXT = (
-    r"(?is)<script\b.*?</script\s*>",
-    r"(?is)<style\b.*?</style\s*>",
-    r"(?s)<!--.*?-->",
+#: The rest of a tag after its name: a quote counts after ``=`` only, and a ``>`` inside it ends
+#: nothing. What is never closed goes on to the end of the text, so no place is scanned twice.
+TAG_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))?+)*+(?:>|\z)"""
+TAG = rf"<(?:/?[a-zA-Z]|[!?]){TAG_REST}"
+# --- fixed values: elements without text, and those that end a sentence ---------------
+NO_TEXT = ("script", "style")
+BLOCKS = (
+    "address|article|aside|blockquote|br|caption|dd|details|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header"
+    "|hr|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
 )
-TAG = r"<[^>]*>"
-# --- fixed values: entities, '&amp;' last -------------------------------------------
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "),
-    ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"),
+#: Comments and elements without text; closed or up to the end.
+HIDDEN = r"<!--(?:.*?-->|.*)|" + "|".join(rf"<{e}\b{TAG_REST}(?:.*?</{e}\s*+>|.*)" for e in NO_TEXT)
+BLOCK_TAG = rf"</?(?:{BLOCKS})\b{TAG_REST}"
+#: Stands for the end of a block; in plain text too it separates paragraphs.
+BREAK = "\u2029"
+#: (pattern, replacement), one after another: each alternation walks the text tag by tag.
+MARKUP = (
+    (rf"(?is)(?:{HIDDEN})|({TAG})", " $1"),
+    (rf"(?is)({BLOCK_TAG})|{TAG}", " $1"),
+    (rf"(?is){BLOCK_TAG}", BREAK),
 )
+#: Named entities and their characters, without those for the ampersand, which come last.
+ENTITIES = {f"&{n}": c for n, c in html5.items() if n.endswith(";") and c != "&"} | {"&nbsp;": " "}
+AMPERSANDS = tuple(f"&{n}" for n, c in html5.items() if n.endswith(";") and c == "&")
+ENTITY = "&[a-zA-Z][a-zA-Z0-9]{1,31};"
 # --- fixed values: what counts as a verifiable value -----------------------------------
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 #: A run before the @ is taken whole and only where it begins: linear in the text, without a
@@ -43,19 +58,30 @@ CLAIM_PATTERNS = (
     ),
 )
 ENTITY_NUMBER = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-SENTENCE_END = "(?<=[.!?]) "
+SENTENCE_END = f"(?<=[.!?]) |{BREAK}"
 
 
 def strip_markup(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments and tags out, entities decoded."""
+    """Text of a page: scripts, styles, comments and tags out, block ends marked, entities decoded.
+
+    Linear in the page: every pattern consumes what it looks at. An element, comment, quote or
+    tag that is never closed goes on to the end, as in a browser.
+    """
     text = html
-    for pattern in NO_TEXT:
-        text = F.regexp_replace(text, pattern, " ")
-    text = F.regexp_replace(text, TAG, " ")
-    text = numeric_entities(text)
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    for pattern, by in MARKUP:
+        text = F.regexp_replace(text, pattern, by)
+    return named_entities(numeric_entities(text))
+
+
+def named_entities(text: Column) -> Column:
+    """Decode ``&eacute;`` and the like; unknown names stay as they are."""
+    # one literal, as thousands of them take seconds to plan
+    table = F.str_to_map(F.lit("\u0002".join(f"{e}\u0001{c}" for e, c in ENTITIES.items())), F.lit("\u0002"), F.lit("\u0001"))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
+    decoded = F.aggregate(found, text, lambda t, e: F.replace(t, e, F.coalesce(F.try_element_at(table, e), e)))
+    for entity in AMPERSANDS:
+        decoded = F.replace(decoded, F.lit(entity), F.lit("&"))
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def numeric_entities(text: Column) -> Column:
@@ -73,18 +99,21 @@ def numeric_entities(text: Column) -> Column:
 
 
 def normalise_space(text: Column) -> Column:
-    """Runs of white space become one blank. Plain byte replacements do most of the work;
-    the pattern only meets runs of blanks."""
+    """Runs of white space become one blank, those with a ``BREAK`` one of these. Plain byte
+    replacements do most of the work; the patterns only meet runs."""
     for space in "\t\n\u000b\f\r":
         text = F.replace(text, F.lit(space), F.lit(" "))
-    return F.trim(F.regexp_replace(text, " {2,}", " "))
+    text = F.regexp_replace(text, " {2,}", " ")
+    broken = F.regexp_replace(F.regexp_replace(text, f" ?{BREAK} ?", BREAK), f"{BREAK}{{2,}}", BREAK)
+    broken = F.regexp_replace(broken, rf"^{BREAK}|{BREAK}\z", "")
+    return F.trim(F.when(F.contains(text, F.lit(BREAK)), broken).otherwise(text))
 
 
 def canonical_stream(documents: DataFrame, key: str, text: Column) -> DataFrame:
     """B04. Sentence rows of the canonical text with [char_start, char_end) offsets.
 
-    A sentence ends at . ! ? followed by a blank. Offsets count code points of the
-    canonical (space-normalised) text.
+    A sentence ends at . ! ? followed by a blank, or with its block. Offsets count code points
+    of the canonical (space-normalised) text, in which one character separates sentences.
     """
     parts = F.split("_text", SENTENCE_END)
     starts = start_offsets(F.transform(F.col("_parts"), lambda s: (F.length(s) + 1).cast("bigint")))

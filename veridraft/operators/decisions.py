@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridraft import domains as D
@@ -68,11 +68,11 @@ def flag_states(decisions: DataFrame) -> DataFrame:
     )
 
 
-def merge_states(states: DataFrame) -> DataFrame:
-    """States of disjoint sets of decisions become the states of all of them."""
+def merge_states(states: DataFrame, *more: Column) -> DataFrame:
+    """States of disjoint sets of decisions become the states of all of them; ``more`` to aggregate."""
     return states.groupBy("_k", "flag_id").agg(
         F.max("status_at").alias("status_at"), F.max("note_at").alias("note_at"),
-        F.max("decided_at").alias("decided_at"), F.sum("decision_count").alias("decision_count"),
+        F.max("decided_at").alias("decided_at"), F.sum("decision_count").alias("decision_count"), *more,
     )
 
 
@@ -117,16 +117,26 @@ def validate_notes(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.where("_ok").drop("_ok"), judged.where("NOT _ok").drop("_ok")
 
 
+def first_deliveries(decisions: DataFrame) -> DataFrame:
+    """Each ``decision_id`` once: the delivery with the earliest time, ties by the other columns.
+
+    An aggregation, so an id that comes very often is reduced before the shuffle.
+    """
+    rest = [c for c in decisions.columns if c not in ("decision_id", "ts")]
+    first = decisions.groupBy("decision_id").agg(F.min(F.struct("ts", *rest)).alias("_d"))
+    return first.select(*(F.col(c) if c == "decision_id" else F.col(f"_d.{c}") for c in decisions.columns))
+
+
 def process_decisions(audits: DataFrame, flags: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]:
     """A67. Reject, apply, log and rescore in one pass over the log.
 
-    A decision that was delivered again (same ``decision_id``) counts once. Only audits with an accepted decision are rescored; their decision counter grows by the
-    number of accepted log rows. Returns audits, flags, history, rejected.
+    A decision that was delivered again (same ``decision_id``) counts once, as it was first
+    made. A rejected decision changes nothing: neither does one on a flag whose audit is
+    unknown. Only audits with an accepted decision are rescored; their decision counter grows
+    by the number of accepted log rows. Returns audits, flags, history, rejected.
     """
-    decisions = decisions.dropDuplicates(["decision_id"])
-    accepted, rejected = split_decisions(decisions, audits, flags)
-    # decisions on unknown flags drop out of this join by themselves
-    current = apply_decisions(flags, decisions)
+    accepted, rejected = split_decisions(first_deliveries(decisions), audits, flags)
+    current = apply_decisions(flags, accepted)
     return {
         "audits": rescore_decided(audits, current),
         "flags": current,

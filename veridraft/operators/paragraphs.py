@@ -12,8 +12,10 @@ from veridraft.operators.triage import finding_visible
 
 #: Audits with at most this many different claim prefixes carry them as one small array.
 SMALL_AUDIT_PREFIXES = 16
-#: Longer paragraphs are cut up before their substrings are listed.
+#: Longer paragraphs are cut up before they are searched.
 SEGMENT_CHARS = 10_000
+#: Longest gram that finds a prefix, and 64-bit words of an audit's filter at most.
+GRAM_CHARS, FILTER_WORDS = 16, 1 << 14
 
 
 def paragraphs(documents: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:
@@ -52,6 +54,55 @@ def segments(text: Column, overlap: int, size: int = SEGMENT_CHARS) -> Column:
     return F.when(F.length(text) <= size, F.array(text)).otherwise(pieces)
 
 
+def gram_chars(length: Column) -> Column:
+    """Length of the gram that anchors a prefix: the largest power of two that fits, up to ``GRAM_CHARS``."""
+    found = F.lit(1)
+    size = 2
+    while size <= GRAM_CHARS:
+        found = F.when(length >= size, size).otherwise(found)
+        size *= 2
+    return found
+
+
+def anchors(prefixes: DataFrame, key: str) -> DataFrame:
+    """(key, prefix, hit, gram, hash): each prefix with the hash of the gram that the fewest prefixes of
+    its audit hold, so that a text position leads to as few of them as possible."""
+    grams = prefixes.withColumn("gram", gram_chars(F.length("prefix"))).withColumn(
+        "hash", F.explode(F.transform(all_substrings(F.col("prefix"), F.col("gram")), lambda g: F.xxhash64(g)))
+    )
+    held = grams.groupBy(key, "hash").agg(F.count(F.lit(1)).alias("_held"))
+    rarest = F.min(F.struct("_held", "hash", "gram", "hit")).alias("a")
+    return grams.join(held, [key, "hash"]).groupBy(key, "prefix").agg(rarest).select(
+        key, "prefix", "a.hit", "a.gram", "a.hash"
+    )
+
+
+def anchor_filters(found: DataFrame, key: str) -> DataFrame:
+    """(key, _grams, _bits): gram lengths in use, and one bit for each anchor of an audit.
+
+    ``_bits`` has 32 bits or more per prefix and ``FILTER_WORDS`` words at most; with more
+    prefixes than that more positions pass, and the join sorts them out.
+    """
+    words = F.least(F.lit(FILTER_WORDS), F.expr("shiftleft(1, cast(ceil(log2(greatest(_n, 2))) as int) - 1)"))
+    sizes = found.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.collect_set("gram").alias("_grams")).select(
+        key, "_grams", words.alias("_words")
+    )
+    bits = (
+        found.join(sizes, key)
+        .groupBy(key, "_grams", "_words", F.expr("cast(shiftrightunsigned(hash, 6) & (_words - 1) as int)").alias("_word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(hash & 63 as int)))").alias("_set"))
+        .groupBy(key, "_grams", "_words")
+        .agg(F.map_from_entries(F.collect_list(F.struct("_word", "_set"))).alias("_m"))
+    )
+    every = F.expr("transform(sequence(0, _words - 1), i -> coalesce(_m[i], 0L))")
+    return bits.select(key, "_grams", every.alias("_bits"))
+
+
+def may_be_anchor(bits: Column, hashed: Column) -> Column:
+    word = F.shiftrightunsigned(hashed, 6).bitwiseAND(F.size(bits) - 1).cast("int")
+    return F.getbit(F.get(bits, word), hashed.bitwiseAND(63).cast("int")) == 1
+
+
 def match_paragraphs(
     paras: DataFrame,
     flags: DataFrame,
@@ -64,10 +115,11 @@ def match_paragraphs(
 
     Flags are first reduced to one row per different prefix (the lowest ``ord`` wins).
     Audits with few prefixes test them in place against an array of at most ``small``
-    entries. Audits with many prefixes never pair every paragraph with every flag: their
-    paragraphs are cut into substrings of the prefix lengths in use, and equal strings are
-    joined, which also spreads a very large audit over many tasks. Both kinds pass through
-    one join, so paragraphs are shuffled once.
+    entries. In audits with many prefixes each prefix is found through one gram of it, its
+    anchor: the text is hashed gram by gram, a position whose hash passes the audit's filter
+    leaves one hash, and equal hashes are joined. Every pair is verified in the text. So a
+    paragraph never meets all flags, prefixes of any lengths cost one hash per position and
+    gram length (five at most), and a very large audit is spread over many tasks.
     """
     first = (
         flags.withColumn("prefix", claim_prefix(F.col("claim"), prefix_chars))
@@ -76,52 +128,36 @@ def match_paragraphs(
         .agg(F.min(F.struct("ord", "flag_id")).alias("hit"))
     )
     sizes = first.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"),
-        # at most prefix_chars different lengths
-        F.collect_set(F.when(F.col("prefix") != "", F.length("prefix"))).alias("_lengths"),
-        F.min(F.when(F.col("prefix") == "", F.col("hit"))).alias("_always"),
-    )
-    is_small = F.col("_n") <= small
-    few = (
-        first.join(sizes.where(is_small).select(key), key, "left_semi")
+        F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("prefix") == "", F.col("hit"))).alias("_always")
+    )
+    few, many = sizes.where(F.col("_n") <= small), sizes.where(F.col("_n") > small)
+    prefixes = (
+        first.join(few.select(key), key, "left_semi")
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("hit", "prefix"))).alias("_prefixes"))
     )
-    info = sizes.join(few, key, "left").select(
-        key, "_prefixes", F.when(~is_small, F.col("_lengths")).alias("_lengths"),
-        F.when(~is_small, F.col("_always")).alias("_always"),
-    )
-
-    def in_place(para: Column) -> Column:
-        hits = F.filter("_prefixes", lambda p: F.contains(para, p["prefix"]))
-        return F.transform(
-            F.slice(hits, 1, 1), lambda p: F.struct(p["hit"].alias("hit"), F.lit(None).cast("string").alias("prefix"))
-        )
-
-    def by_pieces(para: Column) -> Column:
-        pieces = F.flatten(F.transform("_lengths", lambda n: all_substrings(para, n)))
-        cut = F.transform(
-            pieces, lambda s: F.struct(F.col("_no_hit").alias("hit"), s.alias("prefix"))
-        )
-        always = F.struct(F.col("_always").alias("hit"), F.lit(None).cast("string").alias("prefix"))
-        return F.when(F.col("_always").isNull(), cut).otherwise(F.array_append(cut, always))
-
-    no_hit = F.lit(None).cast(first.schema["hit"].dataType)
-    is_few = F.col("_prefixes").isNotNull()
     text = F.lower("para")
-    candidates = (
-        paras.join(info.withColumn("_no_hit", no_hit), key)
-        .withColumn("_text", F.explode(F.when(is_few, F.array(text)).otherwise(segments(text, prefix_chars - 1))))
-        .select(
-            key, "para_no",
-            F.explode(F.when(is_few, in_place(F.col("_text"))).otherwise(by_pieces(F.col("_text")))).alias("c"),
-        )
-        .select(key, "para_no", "c.hit", "c.prefix")
+    in_place = F.get(F.filter("_prefixes", lambda p: F.contains(text, p["prefix"])), F.lit(0))["hit"]
+    hits = paras.join(prefixes, key).select(key, "para_no", in_place.alias("hit")).where("hit IS NOT NULL")
+    always = many.where("_always IS NOT NULL").select(key, F.col("_always").alias("hit"))
+    hits = hits.unionByName(paras.join(always, key).select(key, "para_no", "hit"))
+
+    found = anchors(first.where("prefix <> ''").join(many.select(key), key, "left_semi"), key)
+    pieces = paras.select(key, "para_no", F.posexplode(segments(text, prefix_chars - 1)).alias("_piece", "_text"))
+    hashes = F.flatten(F.transform(
+        "_grams", lambda n: F.transform(all_substrings(F.col("_text"), n), lambda g: F.xxhash64(g))
+    ))
+    met = (
+        pieces.join(anchor_filters(found, key), key)
+        .select(key, "para_no", "_piece", F.explode(
+            F.filter(hashes, lambda h: may_be_anchor(F.col("_bits"), h))
+        ).alias("hash"))
+        .join(found.drop("gram"), [key, "hash"])
+        .drop("hash")
     )
+    held = met.join(pieces, [key, "para_no", "_piece"]).where(F.contains("_text", F.col("prefix")))
     return (
-        candidates.join(first.withColumnRenamed("hit", "_found"), [key, "prefix"], "left")
-        .select(key, "para_no", F.coalesce("hit", "_found").alias("hit"))
-        .where("hit IS NOT NULL")
+        hits.unionByName(held.select(key, "para_no", "hit"))
         .groupBy(key, "para_no")
         .agg(F.min("hit").alias("hit"))
         .select(key, "para_no", F.col("hit.flag_id").alias("flag_id"))

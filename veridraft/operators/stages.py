@@ -48,14 +48,16 @@ def furthest_stage(stage_events: DataFrame) -> DataFrame:
     rank = F.when(F.col("status") == "FAILED", len(D.ALL_STAGES)).otherwise(
         mapped(F.col("status"), STAGE_RANK, -1)
     )
-    return stage_events.groupBy("audit_id").agg(
+    return with_stage(stage_events.groupBy("audit_id").agg(
         F.max(rank).alias("stage_rank"),
         F.max("ts").alias("last_ts"),
         F.count(F.lit(1)).alias("events"),
-    ).withColumn(
-        "stage",
-        mapped(F.col("stage_rank"), {**{i: s for s, i in STAGE_RANK.items()}, len(D.ALL_STAGES): "FAILED"}),
-    )
+    ))
+
+
+def with_stage(ranked: DataFrame) -> DataFrame:
+    names = {**{i: s for s, i in STAGE_RANK.items()}, len(D.ALL_STAGES): "FAILED"}
+    return ranked.withColumn("stage", mapped(F.col("stage_rank"), names))
 
 
 def stuck_audits(furthest: DataFrame, now, idle_seconds: int) -> DataFrame:

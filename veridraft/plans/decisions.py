@@ -123,6 +123,26 @@ def _(v):
     return done["audits"].select(*PROCESSED_COLUMNS)
 
 
+@query(
+    "a67_processed_flags",
+    """WITH a AS (SELECT DISTINCT audit_id FROM v_decision_flags WHERE audit_id <> 'AUD-3'),
+         d AS (SELECT x.* FROM (SELECT DISTINCT ON (decision_id) * FROM (
+             SELECT * FROM v_decisions UNION ALL SELECT * REPLACE (ts + INTERVAL 400 DAY AS ts) FROM v_decisions WHERE decision_id % 3 = 0) b
+           ORDER BY decision_id, ts) x JOIN a ON x.audit_id = a.audit_id),
+         m AS (SELECT audit_id, flag_id, arg_max(CASE action WHEN 'ACCEPT' THEN 'ACCEPTED' WHEN 'DISMISS' THEN 'DISMISSED' ELSE 'FIXED' END,
+             struct_pack(ts := ts, id := decision_id)) FILTER (action IN ('ACCEPT', 'DISMISS', 'FIX')) AS st, count(*) AS n FROM d GROUP BY audit_id, flag_id)
+       SELECT f.audit_id, f.flag_id, coalesce(m.st, 'PENDING') AS status, coalesce(m.n, 0) AS decision_count
+       FROM v_decision_flags f LEFT JOIN m ON f.audit_id = m.audit_id AND f.flag_id = m.flag_id""",
+    BOTH,
+)
+def _(v):
+    # one audit is unknown though its flags are there, and a third of the log was delivered again later
+    again = v.decisions().where("decision_id % 3 = 0").withColumn("ts", F.expr("ts + INTERVAL 400 DAYS"))
+    audits = v.decision_audits().where("audit_id <> 'AUD-3'")
+    done = R.process_decisions(audits, v.decision_flags(), v.decisions().unionByName(again))
+    return done["flags"].select("audit_id", "flag_id", "status", "decision_count")
+
+
 @query(
     "a68_decision_feedback",
     """SELECT decision_id, CASE action WHEN 'ACCEPT' THEN 'Finding accepted. Risk confirmed on audit record.'

@@ -12,6 +12,7 @@ from veridraft.plans.triage import SELECTION_SQL, selection
 
 C = F.col
 MATCHING = ("v_doc_flags", "v_paragraphs", "v_matches")
+FIRST_LINE = F.expr("flag_id = concat_ws('-', doc_id, 1)")
 
 
 def _paragraphs(v):
@@ -41,11 +42,14 @@ def _(v):
 @query(
     "a58_clean_paragraphs",
     """SELECT p.doc_id, p.para_no, p.para FROM v_paragraphs p
-       WHERE NOT EXISTS (SELECT 1 FROM v_matches m WHERE m.doc_id = p.doc_id AND m.para_no = p.para_no)""",
+       WHERE NOT EXISTS (SELECT 1 FROM v_doc_flags f WHERE f.doc_id = p.doc_id AND f.status = 'PENDING'
+         AND contains(lower(p.para), substr(lower(f.claim), 1, 30)))""",
     MATCHING,
 )
 def _(v):
-    return P.clean_paragraphs(_paragraphs(v), _matches(v), "doc_id")
+    # every line has a flag; every other one is pending
+    pending = P.match_paragraphs(_paragraphs(v), v.doc_flags().where("status = 'PENDING'"), "doc_id")
+    return P.clean_paragraphs(_paragraphs(v), pending, "doc_id")
 
 
 REST_SQL = r"""regexp_replace(CASE WHEN m.flag_id IS NULL THEN p.para WHEN strpos(p.para, f.claim) = 0 THEN p.para
@@ -68,14 +72,14 @@ def _(v):
     "a60_paragraph_view",
     """SELECT p.doc_id, p.para_no, m.flag_id, m.flag_id IS NULL AS is_clean,
        coalesce(f.status = 'PENDING' OR f.severity = 'LOW', TRUE) AS is_visible,
-       coalesce(m.flag_id = CAST(p.doc_id AS STRING), FALSE) AS is_selected
+       coalesce(m.flag_id = concat(p.doc_id, '-1'), FALSE) AS is_selected
        FROM v_paragraphs p LEFT JOIN v_matches m ON p.doc_id = m.doc_id AND p.para_no = m.para_no
        LEFT JOIN v_doc_flags f ON m.doc_id = f.doc_id AND m.flag_id = f.flag_id""",
     MATCHING,
 )
 def _(v):
     flags = v.doc_flags()
-    chosen = flags.where("ord = 1").select("doc_id", "flag_id")
+    chosen = flags.where(FIRST_LINE).select("doc_id", "flag_id")
     view = P.paragraph_view(_paragraphs(v), _matches(v), flags, chosen, "UNCERTAIN", "doc_id")
     return view.select("doc_id", "para_no", "flag_id", "is_clean", "is_visible", "is_selected")
 
@@ -83,13 +87,13 @@ def _(v):
 @query(
     "a61_is_dynamic",
     """SELECT d.doc_id, CASE WHEN d.lang = 'en' THEN TRUE ELSE FALSE END AND coalesce(f.claim <> '', FALSE) AS is_dynamic
-       FROM documents d LEFT JOIN v_doc_flags f ON d.doc_id = f.doc_id AND f.ord = 2""",
+       FROM documents d LEFT JOIN v_doc_flags f ON d.doc_id = f.doc_id AND f.flag_id = concat(d.doc_id, '-1')""",
     ("v_doc_flags",),
 )
 def _(v):
     text = F.when(C("lang") == "en", F.concat(F.lit("AI SYNTHESIZED\n"), "text")).otherwise(C("text"))
     docs = v.table("documents").select(C("doc_id").alias("audit_id"), text.alias("raw_text"))
-    flags = v.doc_flags().withColumn("ord", F.when(C("ord") == 2, 0).otherwise(1))
+    flags = v.doc_flags().withColumn("ord", F.when(FIRST_LINE, 0).otherwise(1))
     return P.is_dynamic(docs, flags.withColumnRenamed("doc_id", "audit_id")).withColumnRenamed("audit_id", "doc_id")
 
 
@@ -127,21 +131,41 @@ def _(v):
     )
 
 
-SENTENCES = r"""parts AS (SELECT {key}, string_split(regexp_replace(t, '([.!?]+) ', '\1' || chr(1), 'g'), chr(1)) AS p
-     FROM (SELECT {key}, trim(regexp_replace({text}, '\s+', ' ', 'g')) AS t FROM {table}) a WHERE t <> ''),
+#: A break stands for the end of a block; runs of white space with one become one.
+_SPACED = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({text}, '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ?\x{{2029}} ?', chr(8233), 'g'),
+     '\x{{2029}}+', chr(8233), 'g'), '^\x{{2029}}|\x{{2029}}$', '', 'g'))"""
+SENTENCES = r"""parts AS (SELECT {key}, string_split(replace(regexp_replace(t, '([.!?]+) ', '\1' || chr(1), 'g'), chr(8233), chr(1)), chr(1)) AS p
+     FROM (SELECT {key}, """ + _SPACED + r""" AS t FROM {table}) a WHERE t <> ''),
    sent AS (SELECT {key}, CAST(i AS INT) AS sentence_no, p[i] AS sentence,
      CAST(coalesce(list_sum(list_transform(p[1:i - 1], lambda s: length(s) + 1)), 0) AS BIGINT) AS char_start FROM (
        SELECT {key}, p, unnest(range(1, len(p) + 1)) AS i FROM parts) b)"""
 #: The comparison engine's patterns have no look-behind, and need none.
 _SQL_PATTERNS = [(c, p.replace(K.EMAIL, r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")) for c, p in K.CLAIM_PATTERNS]
-STRIPPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-for _entity, _char in K.ENTITIES:
-    STRIPPED = f"replace({STRIPPED}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
+
+
+def _stripped_sql() -> str:
+    """The markup patterns without possessive loops, of which the comparison engine needs none."""
+    text = "html"
+    for pattern, by in K.MARKUP:
+        plain = pattern.replace("++", "+").replace("*+", "*").replace("?+", "?").replace("'", "''")
+        text = f"regexp_replace({text}, '{plain}', '{by.replace('$1', chr(92) + '1')}', 'g')"
+    return text
+
+
+#: Named entities; the comparison engine looks them up in a map.
+_QUOTED = [["'" + x.replace("'", "''") + "'" for x in pair] for pair in K.ENTITIES.items()]
+_ENTITY_MAP = "MAP {" + ", ".join(f"{n}: {c}" for n, c in _QUOTED) + "}"
+STRIPPED = f"""list_reduce(list_prepend(stripped, list_distinct(regexp_extract_all(stripped, '{K.ENTITY}'))),
+     lambda t, e: replace(t, e, coalesce(named[e], e)))"""
+for _entity in K.AMPERSANDS:
+    STRIPPED = f"replace({STRIPPED}, '{_entity}', '&')"
+PAGE_TEXTS = f"""(SELECT page_id, {STRIPPED} AS page_text FROM (
+     SELECT page_id, replace({_stripped_sql()}, '&#39;', chr(39)) AS stripped FROM pages) p, (SELECT {_ENTITY_MAP} AS named) n)"""
 
 
 @query(
     "b04_canonical_text",
-    "WITH " + SENTENCES.format(key="page_id", text=STRIPPED.replace("&#39;", "&#39;"), table="pages")
+    "WITH " + SENTENCES.format(key="page_id", text="page_text", table=PAGE_TEXTS)
     + " SELECT page_id, sentence_no, sentence, char_start, CAST(char_start + length(sentence) AS BIGINT) AS char_end FROM sent",
 )
 def _(v):

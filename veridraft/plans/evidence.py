@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veridraft.operators import evidence as E
+from veridraft.operators import regions as G
 from veridraft.plans.labels import LOCATION_SQL, RANK_SQL, VERDICT_SQL
 from veridraft.plans.registry import query
 
@@ -124,6 +125,86 @@ def _(v):
     return E.location_flags(v.rich_flags())
 
 
+#: One crowded document per supplier, with intervals and boxes made from its lines.
+_SPOTS_SQL = f"""spots AS (SELECT concat('AUD-', l_suppkey % 10) AS audit_id, CASE WHEN l_linenumber % 2 = 0 THEN 'text' ELSE concat('paragraph ', CAST(l_quantity AS INT)) END AS place,
+      concat_ws('-', 'FLG', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS flag_id, {{rank}} AS r,
+      CAST(l_partkey * 37 % 50021 AS INT) AS a, CAST(l_partkey * 37 % 50021 + CAST(l_quantity AS INT) - 5 AS INT) AS b FROM (
+        SELECT *, CASE WHEN l_discount >= 0.09 THEN 'CRITICAL' WHEN l_discount >= 0.07 THEN 'HIGH' WHEN l_discount >= 0.04 THEN 'MEDIUM'
+          WHEN l_discount >= 0.02 THEN 'LOW' ELSE 'INFORMATIONAL' END AS severity FROM lineitem) l),
+   isl AS (SELECT *, sum(new) OVER (PARTITION BY audit_id, place ORDER BY a, b, flag_id ROWS UNBOUNDED PRECEDING) AS region_no FROM (
+      SELECT *, CASE WHEN a < max(b) OVER (PARTITION BY audit_id, place ORDER BY a, b, flag_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new
+      FROM spots WHERE a < b) x)""".replace("{rank}", RANK_SQL.format("severity"))
+
+
+def _spots(v):
+    lines = v.table("lineitem")
+    kind = F.expr("CASE WHEN l_linenumber % 2 = 0 THEN 'text' ELSE 'docx' END")
+    start = F.expr("CAST(l_partkey * 37 % 50021 AS INT)")
+    location = F.struct(
+        kind.alias("type"), F.expr("CAST(l_quantity AS INT)").alias("paragraph"), F.lit(None).cast("int").alias("page"),
+        F.lit(None).cast("string").alias("sheet"), start.alias("char_start"),
+        (start + F.expr("CAST(l_quantity AS INT)") - 5).alias("char_end"),
+    )
+    ids = F.expr("concat_ws('-', 'FLG', l_orderkey, l_linenumber, l_partkey, l_suppkey)")
+    return lines.select(
+        F.expr("concat('AUD-', l_suppkey % 10)").alias("audit_id"), ids.alias("flag_id"), location.alias("document_location"),
+        F.expr("CASE WHEN l_discount >= 0.09 THEN 'CRITICAL' WHEN l_discount >= 0.07 THEN 'HIGH' WHEN l_discount >= 0.04 THEN 'MEDIUM'"
+               " WHEN l_discount >= 0.02 THEN 'LOW' ELSE 'INFORMATIONAL' END").alias("severity"),
+    )
+
+
+@query(
+    "b03_text_regions",
+    f"""WITH {_SPOTS_SQL} SELECT audit_id, place, CAST(region_no AS BIGINT) AS region_no, min(a) AS char_start, max(b) AS char_end,
+        count(*) AS finding_count, ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFORMATIONAL'][min(r) + 1] AS worst_severity
+        FROM isl GROUP BY audit_id, place, region_no""",
+)
+def _(v):
+    return G.text_regions(_spots(v))
+
+
+@query("b03_text_region_flags", f"WITH {_SPOTS_SQL} SELECT audit_id, place, CAST(region_no AS BIGINT) AS region_no, flag_id FROM isl")
+def _(v):
+    return G.text_region_flags(_spots(v))
+
+
+_BOXES_SQL = """boxes AS (SELECT concat('AUD-', l_orderkey % 500) AS audit_id, concat('page ', l_linenumber) AS place,
+      concat_ws('-', 'FLG', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS flag_id, l_discount,
+      l_partkey % 600 AS x, l_suppkey * 13 % 780 AS y, l_quantity AS w, l_orderkey % 40 AS h FROM lineitem),
+   cov AS (SELECT audit_id, place, flag_id, l_discount, CAST(cy * 32 + cx AS INT) AS cell FROM boxes,
+      range(0, 32) a(cx), range(0, 32) b(cy)
+      WHERE cx BETWEEN least(31, CAST(floor(x * 32 / 612.0) AS INT)) AND least(31, CAST(floor((x + w) * 32 / 612.0) AS INT))
+        AND cy BETWEEN least(31, CAST(floor(y * 32 / 792.0) AS INT)) AND least(31, CAST(floor((y + h) * 32 / 792.0) AS INT))),
+   cel AS (SELECT DISTINCT audit_id, place, cell FROM cov),
+   reach AS (SELECT audit_id, place, cell, cell AS other FROM cel
+     UNION SELECT r.audit_id, r.place, r.cell, c.cell FROM reach r JOIN cel c ON r.audit_id = c.audit_id AND r.place = c.place
+       AND (abs(c.cell - r.other) = 32 OR (abs(c.cell - r.other) = 1 AND c.cell // 32 = r.other // 32))),
+   reg AS (SELECT audit_id, place, cell, min(other) AS region FROM reach GROUP BY audit_id, place, cell)"""
+
+
+@query(
+    "b03_page_regions",
+    f"""WITH RECURSIVE {_BOXES_SQL}
+        SELECT f.audit_id, f.place, f.region, f.finding_count, f.worst_severity, a.cells FROM (
+          SELECT audit_id, place, region, count(*) AS finding_count, CASE WHEN max(l_discount) >= 0.09 THEN 'CRITICAL' WHEN max(l_discount) >= 0.07 THEN 'HIGH'
+            WHEN max(l_discount) >= 0.04 THEN 'MEDIUM' WHEN max(l_discount) >= 0.02 THEN 'LOW' ELSE 'INFORMATIONAL' END AS worst_severity
+          FROM (SELECT DISTINCT v.audit_id, v.place, v.flag_id, v.l_discount, g.region FROM cov v JOIN reg g ON v.audit_id = g.audit_id AND v.place = g.place AND v.cell = g.cell) d
+          GROUP BY audit_id, place, region) f
+        JOIN (SELECT audit_id, place, region, count(*) AS cells FROM reg GROUP BY audit_id, place, region) a
+          ON f.audit_id = a.audit_id AND f.place = a.place AND f.region = a.region""",
+)
+def _(v):
+    boxed = v.table("lineitem").selectExpr(
+        "concat('AUD-', l_orderkey % 500) AS audit_id", "concat_ws('-', 'FLG', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS flag_id",
+        "CASE WHEN l_discount >= 0.09 THEN 'CRITICAL' WHEN l_discount >= 0.07 THEN 'HIGH' WHEN l_discount >= 0.04 THEN 'MEDIUM'"
+        " WHEN l_discount >= 0.02 THEN 'LOW' ELSE 'INFORMATIONAL' END AS severity",
+        "named_struct('type', 'pdf', 'page', CAST(l_linenumber AS INT), 'paragraph', CAST(NULL AS INT), 'sheet', CAST(NULL AS STRING),"
+        " 'char_start', CAST(NULL AS INT), 'char_end', CAST(NULL AS INT), 'bbox', array(CAST(l_partkey % 600 + l_quantity AS DOUBLE),"
+        " CAST(l_suppkey * 13 % 780 AS DOUBLE), CAST(l_partkey % 600 AS DOUBLE), CAST(l_suppkey * 13 % 780 + l_orderkey % 40 AS DOUBLE))) AS document_location",
+    )
+    return G.page_regions(boxed)
+
+
 @query(
     "b08_source_precedence",
     """SELECT group_key, source_id, CASE authority WHEN 'LATEST_APPROVED' THEN 0 WHEN 'SIGNED_EXECUTED' THEN 1 WHEN 'DRAFT' THEN 2 ELSE 3 END AS authority_rank,

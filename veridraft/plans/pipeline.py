@@ -36,6 +36,14 @@ def _claims_sql(name: str, key: str, table: str) -> str:
         CASE WHEN category = 'DELIVERY_DATE' THEN CAST(try_strptime(value, {days}) AS DATE) END AS day FROM {name}_vals)"""
 
 
+def _context_sql(name: str, table: str) -> str:
+    """A CTE with the words around each value."""
+    n = E.CONTEXT_CHARS
+    around = f"substr(sentence, greatest(1, spot - {n}), least({n}, spot - 1)) || ' ' || substr(sentence, spot + length(value), {n})"
+    return f"""{name} AS (SELECT *, list_distinct({_TOKENS.replace('text', around)}) AS ctx
+      FROM (SELECT *, strpos(sentence, value) AS spot FROM {table}) x)"""
+
+
 VERDICTS = f"""{_claims_sql('clm', 'doc_id', 'documents')}, {_claims_sql('src', 'item_id', 'benchmark')},
   pw AS (SELECT item_id, {_TOKENS} AS w FROM benchmark),
   st AS (SELECT avg(len(w)) AS mean_len, count(*) AS n FROM pw),
@@ -46,10 +54,15 @@ VERDICTS = f"""{_claims_sql('clm', 'doc_id', 'documents')}, {_claims_sql('src',
   sc AS (SELECT q.claim_id, wgt.item_id, round(sum(terms.idf * wgt.weight), 6) AS score
          FROM q JOIN terms ON q.term = terms.term JOIN wgt ON q.term = wgt.term GROUP BY q.claim_id, wgt.item_id),
   hit AS (SELECT claim_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, item_id) AS r FROM sc) x WHERE r <= 3),
-  firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, category ORDER BY sentence_no, value_no) AS r FROM src) x WHERE r = 1),
-  truth AS (SELECT * FROM (SELECT c.claim_id, f.item_id, f.amount, f.day, row_number() OVER (PARTITION BY c.claim_id ORDER BY
-        CASE f.item_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, f.item_id % 7 DESC, concat('SRC-', f.item_id)) AS r
-      FROM clm c JOIN hit h ON c.claim_id = h.claim_id JOIN firsts f ON h.item_id = f.item_id AND c.category = f.category) x WHERE r = 1),
+  {_context_sql('cc', 'clm')}, {_context_sql('cs', 'src')},
+  pairs AS (SELECT c.doc_id, c.sentence_no, s.item_id, c.category, list([{{'o': -len(list_intersect(c.ctx, s.ctx)), 'c': c.value_no, 's': s.sentence_no,
+        'v': s.value_no, 'id': c.claim_id, 'a': s.amount, 'd': s.day}}] ORDER BY len(list_intersect(c.ctx, s.ctx)) DESC, c.value_no, s.sentence_no, s.value_no) AS p
+      FROM cc c JOIN hit h ON c.claim_id = h.claim_id JOIN cs s ON h.item_id = s.item_id AND c.category = s.category
+      WHERE len(list_intersect(c.ctx, s.ctx)) > 0 GROUP BY c.doc_id, c.sentence_no, s.item_id, c.category),
+  aligned AS (SELECT item_id, unnest(list_reduce(p, lambda done, x: CASE WHEN len(list_filter(done, lambda y:
+        y.c = x[1].c OR (y.s = x[1].s AND y.v = x[1].v))) > 0 THEN done ELSE list_concat(done, x) END)) AS m FROM pairs),
+  truth AS (SELECT * FROM (SELECT m.id AS claim_id, item_id, m.a AS amount, m.d AS day, row_number() OVER (PARTITION BY m.id ORDER BY
+        CASE item_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, item_id % 7 DESC, concat('SRC-', item_id)) AS r FROM aligned) x WHERE r = 1),
   ver AS (SELECT c.doc_id, c.claim_id, c.category, c.value, 'SRC-' || t.item_id AS source_id,
       CASE WHEN t.claim_id IS NULL THEN 'UNSUPPORTED' WHEN c.amount - t.amount IS NULL AND date_diff('day', t.day, c.day) IS NULL THEN 'UNCERTAIN'
         WHEN coalesce(c.amount - t.amount, 0) = 0 AND coalesce(date_diff('day', t.day, c.day), 0) = 0 THEN 'SUPPORTED' ELSE 'CONTRADICTED' END AS verdict,

@@ -33,9 +33,9 @@ def _(v):
 @query("b14_live_stages", STAGE_STATUS_SQL, ("v_stage_events",))
 def _(v):
     path = work_dir(v.spark, "stages")
-    stream = tables.stage_status(stage_events_from_events(_events(v)))
-    _finish(tables.start_table(stream, f"{path}/log", f"{path}/checkpoint", availableNow=True))
-    rows = tables.latest_rows(v.spark, f"{path}/log", ["audit_id"])
+    stream = stage_events_from_events(_events(v))
+    _finish(tables.start_stages(stream, f"{path}/stages", f"{path}/checkpoint", availableNow=True))
+    rows = tables.stage_table(v.spark, f"{path}/stages").current()
     return rows.withColumn("last_us", F.unix_micros("last_ts")).drop("last_ts")
 
 
@@ -47,8 +47,8 @@ def _(v):
 def _(v):
     path = work_dir(v.spark, "windows")
     stream = tables.decision_windows(decisions_from_events(_events(v)))
-    _finish(tables.start_table(stream, f"{path}/log", f"{path}/checkpoint", availableNow=True))
     keys = ["window_start", "window_end", "reviewed_by", "action"]
+    _finish(tables.start_table(stream, f"{path}/log", f"{path}/checkpoint", keys=keys, availableNow=True))
     rows = tables.latest_rows(v.spark, f"{path}/log", keys)
     return rows.select(F.unix_micros("window_start").alias("start_us"), "reviewed_by", "action", "decisions")
 
@@ -75,8 +75,8 @@ def _(v):
 def _(v):
     path = work_dir(v.spark, "sliding")
     stream = tables.decision_windows(decisions_from_events(_events(v)), slide="30 minutes")
-    _finish(tables.start_table(stream, f"{path}/log", f"{path}/checkpoint", availableNow=True))
     keys = ["window_start", "window_end", "reviewed_by", "action"]
+    _finish(tables.start_table(stream, f"{path}/log", f"{path}/checkpoint", keys=keys, availableNow=True))
     rows = tables.latest_rows(v.spark, f"{path}/log", keys)
     return rows.select(F.unix_micros("window_start").alias("start_us"), "reviewed_by", "action", "decisions")
 

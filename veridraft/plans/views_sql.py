@@ -51,12 +51,12 @@ SELECT event_id AS decision_id, concat('AUD-', CAST(user_id % 10 AS STRING)) AS
        concat('reviewer-', CAST(event_id % 7 AS STRING)) AS reviewed_by, ts
 FROM events""",
     "v_doc_flags": """
-SELECT d.doc_id, CAST(d.doc_id AS STRING) AS flag_id, 1 AS ord, split_part(d.text, chr(10), 2) AS claim,
-       CASE WHEN l.toxic = 1 THEN 'CRITICAL' WHEN l.quality = 0 THEN 'HIGH' ELSE 'LOW' END AS severity, 'PENDING' AS status
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE split_part(d.text, chr(10), 2) <> ''
-UNION ALL
-SELECT d.doc_id, concat(CAST(d.doc_id AS STRING), 'b') AS flag_id, 2 AS ord, split_part(d.text, chr(10), 1) AS claim, 'MEDIUM' AS severity, 'ACCEPTED' AS status
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE split_part(d.text, chr(10), 1) <> ''""",
+SELECT d.doc_id, concat(d.doc_id, '-', i) AS flag_id, CAST(i * 7 % 13 * 1000000 + i AS INT) AS ord, p[i] AS claim,
+       CASE WHEN l.toxic = 1 THEN 'CRITICAL' WHEN l.quality = 0 THEN 'HIGH' WHEN (i - 1) % 3 = 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+       CASE WHEN (i - 1) % 2 = 0 THEN 'PENDING' ELSE 'ACCEPTED' END AS status
+FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) a) d
+LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE p[i] <> ''""",
     "v_paragraphs": """
 SELECT doc_id, CAST(i AS INT) AS para_no, p[i] AS para
 FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,11 +74,28 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return path
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Delete every folder ``work_dir`` has given out, once their results are no longer read."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def clean_up(spark: SparkSession, paths: list[str] | None = None, but: DataFrame | None = None) -> None:
+    """Delete folders that ``work_dir`` has given out (default: all), once their results are no
+    longer read. Those that ``but`` reads stay, and stay in ``paths``."""
+    paths = _WRITTEN if paths is None else paths
+    read = [urlsplit(f).path for f in but.inputFiles()] if but is not None and paths else []
+    for name in list(paths):
+        below = urlsplit(name).path + "/"
+        if any(f.startswith(below) for f in read):
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        paths.remove(name)
+        if name in _WRITTEN:
+            _WRITTEN.remove(name)
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Add the folders given out inside the block to ``paths``."""
+    before = set(_WRITTEN)
+    yield
+    paths += [p for p in _WRITTEN if p not in before]
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:

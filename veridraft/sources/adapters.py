@@ -230,29 +230,14 @@ class Views:
 
     # -- documents -------------------------------------------------------------------
     def doc_flags(self) -> DataFrame:
-        """documents + labels -> two flags per labelled document."""
-        docs, labels = self.table("documents"), self.table("labels")
-        lines = F.split("text", "\n")
-        joined = docs.join(labels, "doc_id").select(
-            "doc_id", "toxic", "quality",
-            F.coalesce(F.get(lines, F.lit(0)), F.lit("")).alias("line1"),
-            F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("line2"),
-        )
-        severity = F.expr("CASE WHEN toxic = 1 THEN 'CRITICAL' WHEN quality = 0 THEN 'HIGH' ELSE 'LOW' END")
-        doc = F.col("doc_id").cast("string")
-        both = F.array(
-            F.struct(
-                doc.alias("flag_id"), F.lit(1).alias("ord"), F.col("line2").alias("claim"),
-                severity.alias("severity"), F.lit("PENDING").alias("status"),
-            ),
-            F.struct(
-                F.concat(doc, F.lit("b")).alias("flag_id"), F.lit(2).alias("ord"),
-                F.col("line1").alias("claim"), F.lit("MEDIUM").alias("severity"),
-                F.lit("ACCEPTED").alias("status"),
-            ),
-        )
-        return joined.select("doc_id", F.explode(both).alias("f")).select("doc_id", "f.*").where(
-            "claim <> ''"
+        """documents + labels -> one flag per line of each document; the array order is not that of the lines."""
+        labels = self.table("labels").select("doc_id", "toxic", "quality")
+        lines = self.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "claim"))
+        return lines.where("claim <> ''").join(labels, "doc_id", "left").selectExpr(
+            "doc_id", "concat_ws('-', doc_id, line + 1) AS flag_id",
+            "CAST((line + 1) * 7 % 13 * 1000000 + line + 1 AS INT) AS ord", "claim",
+            "CASE WHEN toxic = 1 THEN 'CRITICAL' WHEN quality = 0 THEN 'HIGH' WHEN line % 3 = 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity",
+            "CASE WHEN line % 2 = 0 THEN 'PENDING' ELSE 'ACCEPTED' END AS status",
         )
 
     def passport_requests(self) -> DataFrame:

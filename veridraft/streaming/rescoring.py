@@ -1,92 +1,114 @@
 """Live rescoring from a stream of reviewer decisions.
 
-Every micro-batch is merged into two tables: the log of raw decisions, each id once, and the
-state of every flag that was ever decided. A flag's state holds the winning decisions with
-their (time, id), so a decision may arrive at any time and in any order: it wins exactly if
-it is the newest, as in the batch pipeline. Nothing is dropped for being late, and nothing is
-kept in a state store.
+Every micro-batch adds to two tables of levelled runs (see ``runs``): the log of raw decisions
+and the states of the flags it decided. A state holds the winning decisions with their (time,
+id), and states of different decisions can be merged in any order, so a decision may arrive at
+any time: it wins exactly if it is the newest, as in the batch pipeline. Nothing is dropped for
+being late, and nothing is kept in a state store.
+
+A batch reads of the log what lies in the buckets of its audits, to know decisions that come
+again, and of the states nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from veridraft.operators.decisions import flag_states, merge_decisions, merge_states
+from veridraft.functions.columns import audit_key
+from veridraft.operators.decisions import first_deliveries, flag_states, merge_decisions, merge_states
 from veridraft.operators.scoring import rescore_decided
+from veridraft.streaming.runs import BUCKETS, FAN, Runs
 
 
-class DecisionLog:
-    """Decisions and flag states below ``root``, in folders by batch.
+def _merged_log(rows: DataFrame) -> DataFrame:
+    return first_deliveries(rows.drop("run_first"))
 
-    A batch that is retried replaces its own folders and only looks at earlier ones.
-    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+def _merged_states(rows: DataFrame) -> DataFrame:
+    """One state per flag. A state that is marked ``whole`` replaces those of earlier runs."""
+    flag = Window.partitionBy("_k", "flag_id")  # one row per run
+    since = F.coalesce(F.max(F.when(F.col("whole"), F.col("run_first"))).over(flag), F.lit(-1))
+    return merge_states(rows.withColumn("_since", since).where("run_first >= _since"), F.bool_or("whole").alias("whole"))
 
-    def _read(self, name: str, before: int | None = None) -> DataFrame | None:
-        try:
-            table = self.spark.read.parquet(f"{self.root}/{name}")
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return None
-        return table if before is None else table.where(F.col("batch_id") < before)
+
+class DecisionLog:
+    """Decisions and flag states below ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, fan: int = FAN):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.log = Runs(spark, f"{self.root}/log", ["_k"], _merged_log, buckets, fan)
+        self.runs = Runs(spark, f"{self.root}/states", ["_k"], _merged_states, buckets, fan)
 
     def next_batch(self) -> int:
-        log = self._read("log")
-        return 0 if log is None else (log.agg(F.max("batch_id")).first()[0] or 0) + 1
+        return self.log.next_batch()
+
+    def known(self, buckets: list[int], before: int | None = None) -> DataFrame | None:
+        """The log of some buckets, each decision as first delivered."""
+        rows = self.log.read(before, buckets)
+        return None if rows is None else _merged_log(rows)
 
     def add(self, decisions: DataFrame, batch_id: int) -> None:
-        """Log the decisions that are new, then bring the touched flags up to date."""
-        new = decisions.dropDuplicates(["decision_id"]).withColumn("day", F.to_date("ts"))
-        known = self._read("log", batch_id)
+        """Log the decisions that are new, and the states of the flags they decide.
+
+        A decision that comes again changes nothing, unless its time is earlier than the one
+        known; then its flag's state is made anew from the log.
+        """
+        if not self.log.merged_away(batch_id):  # else both runs of this batch were written before
+            self._add(decisions, batch_id)
+        self.log.merge_due(batch_id)
+        self.runs.merge_due(batch_id)
+
+    def _add(self, decisions: DataFrame, batch_id: int) -> None:
+        batch = first_deliveries(decisions.withColumn("_k", audit_key(F.col("audit_id"))))
+        known = self.known(self.log.buckets_of(batch), batch_id)
         if known is not None:
-            # a decision that comes again has the same time: only its day's files are read
-            again = known.select(F.col("day").alias("_day"), F.col("decision_id").alias("_id"))
-            new = new.join(
-                again, (F.col("decision_id") == F.col("_id")) & F.col("day").eqNullSafe(F.col("_day")), "left_anti"
-            )
-        at = f"batch_id={batch_id}"
-        new.write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/log/{at}")
-        added = self.spark.read.schema(new.schema).option("basePath", f"{self.root}/log/{at}").parquet(f"{self.root}/log/{at}")
-        states = flag_states(added)
-        earlier = self.states(batch_id)
-        if earlier is not None:
-            touched = earlier.join(states.select("_k", "flag_id"), ["_k", "flag_id"], "left_semi")
-            states = merge_states(states.unionByName(touched))
-        states.write.mode("overwrite").parquet(f"{self.root}/states/{at}")
+            before = known.select("decision_id", F.col("ts").alias("_ts"))
+            batch = batch.join(before, "decision_id", "left").where("_ts IS NULL OR ts < _ts").drop("_ts")
+        self.log.put(batch, batch_id)
+        new = self.log.only(batch_id)
+        new = decisions.limit(0).withColumn("_k", F.lit("")) if new is None else new
+        if known is None:
+            self.runs.put(flag_states(new).withColumn("whole", F.lit(False)), batch_id)
+            return
+        moved = new.join(known, "decision_id", "left_semi").select("_k", "flag_id").distinct()
+        plain = flag_states(new.join(moved, ["_k", "flag_id"], "left_anti"))
+        every = first_deliveries(known.unionByName(new))
+        anew = flag_states(every.join(moved, ["_k", "flag_id"], "left_semi"))
+        self.runs.put(
+            plain.withColumn("whole", F.lit(False)).unionByName(anew.withColumn("whole", F.lit(True))), batch_id
+        )
 
     def decisions(self) -> DataFrame | None:
         """Every decision once."""
-        log = self._read("log")
-        return None if log is None else log.drop("batch_id", "day")
-
-    def states(self, before: int | None = None) -> DataFrame | None:
-        """The newest state of every decided flag."""
-        states = self._read("states", before)
-        if states is None:
-            return None
-        rest = [c for c in states.columns if c not in ("_k", "flag_id", "batch_id")]
-        newest = states.groupBy("_k", "flag_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("s"))
-        return newest.select("_k", "flag_id", "s.*")
-
-    def compact(self, target: str) -> None:
-        """Write log and states as one batch each to another root."""
-        newest = self.next_batch() - 1
-        states, log = self.states(), self._read("log").drop("batch_id")
-        log.write.partitionBy("day").parquet(f"{target}/log/batch_id={newest}")
-        states.write.parquet(f"{target}/states/batch_id={newest}")
+        log = self.log.current()
+        return None if log is None else log.drop("_k")
+
+    def states(self, audit_id: str | None = None) -> DataFrame | None:
+        """The state of every decided flag, or of those of one audit: then its bucket alone is read."""
+        if audit_id is None:
+            found = self.runs.current()
+            return None if found is None else found.drop("whole")
+        key = audit_key(F.lit(audit_id))
+        found = self.runs.read(buckets=self.runs.buckets_of(self.spark.range(1).select(key.alias("_k"))))
+        return None if found is None else _merged_states(found.where(F.col("_k") == key)).drop("whole")
+
+    def compact(self) -> None:
+        """One run each; to be called between batches."""
+        self.log.compact()
+        self.runs.compact()
 
 
 def start_rescoring(decisions: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Run the stream into a ``DecisionLog`` at ``root``: every decision takes effect once."""
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        DecisionLog(batch.sparkSession, root).add(batch, batch_id)
+        batch.persist()  # a batch is read for its buckets and for its rows
+        try:
+            DecisionLog(batch.sparkSession, root).add(batch, batch_id)
+        finally:
+            batch.unpersist()
 
     return (
         decisions.writeStream.option("checkpointLocation", checkpoint)

@@ -10,46 +10,74 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from veridraft.functions.columns import mapped
 from veridraft.operators.activity import tumbling_activity
-from veridraft.operators.stages import STAGE_RANK, furthest_stage
+from veridraft.operators.stages import STAGE_RANK, furthest_stage, with_stage
+from veridraft.streaming.runs import Runs, newest
 
 
-def stage_status(stage_events: DataFrame) -> DataFrame:
-    """B14. Furthest stage per audit. The maximum makes it safe against disorder; the same
-    function serves batch and stream."""
-    return furthest_stage(stage_events)
+STAGE_KEYS = ["audit_id"]
 
 
-def stuck_stream(stage_events: DataFrame, idle: str = "24 hours", late: str = "1 hour") -> DataFrame:
-    """B14. Audits without an event for ``idle``, put out once when the watermark says so.
+def _merged_stages(rows: DataFrame) -> DataFrame:
+    return with_stage(rows.groupBy(*STAGE_KEYS).agg(
+        F.max("stage_rank").alias("stage_rank"), F.max("last_ts").alias("last_ts"), F.sum("events").alias("events")
+    ))
 
-    State is kept for open audits only: an audit leaves it when it completes or fails, or
-    when it is put out as stuck. The furthest stage counts, whatever the order of arrival.
+
+def stage_table(spark: SparkSession, root: str) -> Runs:
+    """B14. The table that ``start_stages`` keeps; ``current()`` is the furthest stage per audit."""
+    return Runs(spark, root, STAGE_KEYS, _merged_stages)
+
+
+def start_stages(stage_events: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """B14. Furthest stage per audit. Each batch is reduced to its own furthest stages and
+    merged when read: the maximum makes that safe against any disorder, and no state is kept."""
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        table = stage_table(batch.sparkSession, root)
+        table.put(furthest_stage(batch), batch_id)
+        table.merge_due(batch_id)
+
+    return _started(stage_events.writeStream, add, checkpoint, trigger)
+
+
+def stuck_stream(
+    stage_events: DataFrame, idle: str = "24 hours", late: str = "1 hour", forget: str = "7 days"
+) -> DataFrame:
+    """B14. Audits without an event for ``idle``, put out when the watermark says so.
+
+    The furthest stage counts, whatever the order of arrival: an audit that has completed or
+    failed, or was put out, stays known for ``forget`` after its last event. So an earlier
+    stage that arrives late doesn't open it again, and one that goes on and gets stuck once
+    more is put out with the furthest stage it ever reached. After that it is forgotten: the
+    state holds audits with an event in the last ``idle`` + ``forget`` only.
     """
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait, keep = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (idle, forget))
     final = STAGE_RANK["COMPLETED"]
 
     def follow(key, batches, state):
-        rank, last = state.get if state.exists else (-1, 0)
-        if state.hasTimedOut:
+        rank, last, settled = state.get if state.exists else (-1, 0, False)
+        if state.hasTimedOut and settled:
             state.remove()
-            yield pd.DataFrame({"audit_id": [key[0]], "stage_rank": [rank], "last_us": [last]})
-            return
-        for batch in batches:
-            rank = max(rank, int(batch["rank"].max()))
-            last = max(last, int(batch["us"].max()))
-        if rank >= final:
-            if state.exists:
-                state.remove()
             return
-        state.update((rank, last))
-        state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+        if state.hasTimedOut:
+            yield pd.DataFrame({"audit_id": [key[0]], "stage_rank": [rank], "last_us": [last]})
+            settled = True
+        else:
+            for batch in batches:
+                rank = max(rank, int(batch["rank"].max()))
+                newest = int(batch["us"].max())
+                settled, last = settled and newest <= last, max(last, newest)
+            settled = settled or rank >= final
+        state.update((rank, last, settled))
+        until = last // 1000 + wait + (keep if settled else 0)
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
 
     rank = F.when(F.col("status") == "FAILED", final + 1).otherwise(mapped(F.col("status"), STAGE_RANK, -1))
     events = stage_events.withWatermark("ts", late).select(
         "audit_id", "ts", rank.alias("rank"), F.unix_micros("ts").alias("us")
     )
     return events.groupBy("audit_id").applyInPandasWithState(
-        follow, "audit_id string, stage_rank int, last_us long", "rank int, last long", "append",
+        follow, "audit_id string, stage_rank int, last_us long", "rank int, last long, settled boolean", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
@@ -78,23 +106,32 @@ def decision_sessions(
     )
 
 
-def start_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", **trigger) -> StreamingQuery:
-    """Log every changed row with its batch id; a retried batch replaces its own folder."""
-
-    def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
+def _started(writer, add, checkpoint: str, trigger: dict) -> StreamingQuery:
     return (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
+        writer.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
-        .foreachBatch(append)
+        .foreachBatch(add)
         .start()
     )
 
 
+def start_table(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "update", keys: list[str] | None = None, **trigger
+) -> StreamingQuery:
+    """Write every batch of changed rows; a retried batch replaces its own. With ``keys`` the
+    rows of a key replace one another and old runs are merged: read them with ``latest_rows``."""
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        if keys is None:
+            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            return
+        table = Runs(batch.sparkSession, path, keys, newest(keys))
+        table.put(batch, batch_id)
+        table.merge_due(batch_id)
+
+    return _started(stream.writeStream.outputMode(mode), append, checkpoint, trigger)
+
+
 def latest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """Current content of a table written in update mode."""
-    log = spark.read.parquet(path)
-    rest = [c for c in log.columns if c not in (*keys, "batch_id")]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("s")).select(*keys, "s.*")
+    return Runs(spark, path, keys, newest(keys)).current()
