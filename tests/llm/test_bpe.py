@@ -86,3 +86,30 @@ def test_query(spark, extra):
         want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
         assert (rows[i].n_tokens, rows[i].ids_sha256, rows[i].decoded_sha256) == want
     assert bpe.encode_documents(documents(spark, []), PATH, public.PATTERN).count() == 0
+
+
+def test_long_pre_tokens_of_ranks_that_open_lower_ones():
+    """80,000 repeats of such a token in seconds, and the library's ids for mixtures of them."""
+    import time
+
+    import tiktoken
+
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    pairs = bpe.BytePairs(ranks)
+    library = tiktoken.Encoding("x", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    opening = sorted((t for t, r in ranks.items() if pairs.opens[r] and t.isalpha()), key=lambda t: ranks[t])
+    rng = random.Random(21)
+    cases = [t * 60 for t in opening[:60]]
+    for _ in range(150):
+        some = rng.sample(opening[:400], 4)
+        cases.append(b"".join(rng.choices(some, k=rng.randint(2, 80))))
+        cases.append(bytes(rng.choices(b"".join(some), k=rng.randint(2, 200))))
+    got = pairs.encode_pieces(cases)
+    for case, ids in zip(cases, got):
+        assert ids == library.encode_ordinary(case.decode()), case
+        assert pairs.decode(ids) == case
+    start = time.time()
+    for unit in (b"st", b"est", b"th", opening[0] + opening[1]):
+        assert pairs.decode(pairs.encode_pieces([unit * 80_000])[0]) == unit * 80_000
+    assert time.time() - start < 60

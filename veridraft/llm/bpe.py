@@ -4,14 +4,18 @@ The queue holds, for every merge rank, the places where that merge could be made
 of 64-bit words say which ranks have places; find-first-set from the top gives the next rank
 in three steps. The places are those of a linked list over the bytes of all pre-tokens that
 are new in a chunk of texts, so one step merges a rank's places wherever they are. Merging a
-pair makes its neighbours' entries stale; they are skipped when their turn comes. A pre-token
-of n bytes costs O(n) queue entries, however long it is.
+pair makes its neighbours' entries stale; they are skipped when their turn comes.
+
+A few ranks can open a lower one, which then goes first. Of such a rank a step merges, in each
+pre-token, the places up to the first one that does; the others wait in order and are not
+looked at again before their turn. A pre-token of n bytes costs O(n log n), however long it is.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -76,6 +80,70 @@ class RankQueue:
         return np.sort(places)
 
 
+class Waiting:
+    """Places of one rank in pre-tokens that have several, taken from the left.
+
+    An entry of a pre-token is a sorted array, how far it was read, a heap of places that came
+    later, and how many places the next step may try: twice as many as long as all goes well.
+    """
+
+    def __init__(self) -> None:
+        self.entries: dict[int, list] = {}
+
+    def put(self, places: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Add sorted places; those alone in their pre-token are returned, as they need not wait."""
+        own = piece[places]
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(places) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(places)))
+        alone = sizes == 1
+        if self.entries:
+            alone &= ~np.isin(own[starts], np.fromiter(self.entries, np.int64, len(self.entries)))
+        for start, size in zip(starts[~alone].tolist(), sizes[~alone].tolist()):
+            part = places[start : start + size]
+            entry = self.entries.setdefault(int(own[start]), [part, 0, [], 1])
+            if entry[0] is not part:
+                for place in part.tolist():
+                    heapq.heappush(entry[2], place)
+        return places[starts[alone]]
+
+    def take(self, fits) -> list[np.ndarray]:
+        """The next places of every pre-token for which ``fits`` still holds, in order."""
+        found = []
+        for k, entry in list(self.entries.items()):
+            some = np.zeros(0, np.int64)
+            while not len(some) and (entry[1] < len(entry[0]) or entry[2]):
+                array, at, heap, ahead = entry
+                if heap:
+                    some = []
+                    while len(some) < ahead and (heap or entry[1] < len(array)):
+                        if entry[1] == len(array) or heap and heap[0] < array[entry[1]]:
+                            some.append(heapq.heappop(heap))
+                        else:
+                            some.append(int(array[entry[1]]))
+                            entry[1] += 1
+                    some = np.array(some, np.int64)
+                else:
+                    some = array[at : at + ahead]
+                    entry[1] += len(some)
+                some = some[fits(some)]
+            if len(some):
+                found.append(some)
+            else:
+                del self.entries[k]
+        return found
+
+    def settle(self, back: np.ndarray, piece: np.ndarray) -> None:
+        """After a step: ``back`` are places that have to wait on."""
+        again = piece[back]
+        for place, k in zip(back.tolist(), again.tolist()):
+            heapq.heappush(self.entries[k][2], place)
+        held = set(again.tolist())
+        for k, entry in list(self.entries.items()):
+            entry[3] = 1 if k in held else min(2 * entry[3], 1 << 20)
+            if entry[1] == len(entry[0]) and not entry[2]:
+                del self.entries[k]
+
+
 class BytePairs:
     """Encodes and decodes by the ranks of byte strings; a rank is the token's id."""
 
@@ -87,7 +155,7 @@ class BytePairs:
         self.byte_pair = np.full((256, 256), -1, np.int64)
         #: All ways to write a token as two tokens: key (left, right), sorted, and its rank.
         keys, values = [], []
-        #: Ranks whose merge can open a lower rank: these are merged one by one in a pre-token.
+        #: Ranks whose merge can open a lower rank.
         self.opens = np.zeros(self.size, bool)
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -134,20 +202,27 @@ class BytePairs:
         start = np.flatnonzero(pair >= 0)
         if len(start):
             queue.push_all(pair[start], start)
+        waiting: dict[int, Waiting] = {}
         while (rank := queue.first()) >= 0:
             places = queue.take(rank)
             places = places[pair[places] == rank]  # the others are stale
-            if self.opens[rank] and len(places) > 1:
-                one = np.append(True, piece[places[1:]] != piece[places[:-1]])
-                if not one.all():
-                    queue.push(rank, places[~one])
-                    places = places[one]
-            elif len(places) > 1:
-                chained = after[places[:-1]] == places[1:]
-                if chained.any():  # of places that share a token every other one, from the left
-                    k = np.arange(len(places))
-                    head = np.append(True, ~chained)
-                    places = places[(k - np.maximum.accumulate(np.where(head, k, 0))) % 2 == 0]
+            if self.opens[rank]:
+                wait = waiting.pop(rank, None)
+                if wait or len(places) > 1 and not (piece[places[1:]] != piece[places[:-1]]).all():
+                    wait = wait or Waiting()
+                    alone = wait.put(places, piece)
+                    some = wait.take(lambda x: pair[x] == rank)
+                    places = np.sort(np.concatenate([alone, *some]))
+                    kept = places[self._up_to_lower(rank, places, token, after, before, stop, piece)]
+                    last = np.zeros(len(pieces), np.int64) - 1
+                    last[piece[kept]] = kept  # the last one kept in each pre-token
+                    wait.settle(places[places > last[piece[places]]], piece)
+                    places = kept
+                    if wait.entries:
+                        waiting[rank] = wait
+                        queue.push(rank, places[:0])
+            else:
+                places = self._every_other(places, after)
             if not len(places):
                 continue
             gone = after[places]
@@ -174,6 +249,34 @@ class BytePairs:
         cuts = np.searchsorted(owner, np.arange(1, len(pieces)))
         return [part.tolist() for part in np.split(ids, cuts)]
 
+    @staticmethod
+    def _every_other(places: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Of places that share a token every other one, from the left."""
+        chained = after[places[:-1]] == places[1:]
+        if len(places) < 2 or not chained.any():
+            return places
+        k = np.arange(len(places))
+        head = np.append(True, ~chained)
+        return places[(k - np.maximum.accumulate(np.where(head, k, 0))) % 2 == 0]
+
+    def _up_to_lower(self, rank, places, token, after, before, stop, piece) -> np.ndarray:
+        """Which places are merged now: in each pre-token those up to the first whose merge, with all
+        earlier ones made and no later one, leaves a neighbour that makes a lower rank."""
+        kept = self._every_other(places, after)
+        gone = after[kept]
+        end, back = after[gone], before[kept]
+        right = np.where(end < stop[kept], token[np.minimum(end, len(token) - 1)], -1)
+        joined = np.append(False, end[:-1] == kept[1:])  # the one before it was merged just now
+        left = np.where(joined, rank, np.where(back >= 0, token[back], -1))
+        lower = np.zeros(len(kept), bool)
+        for new, there in ((self.merged(np.full(len(kept), rank), right), right), (self.merged(left, np.full(len(kept), rank)), left)):
+            lower |= (there >= 0) & (new >= 0) & (new < rank)
+        own = piece[kept]
+        first = np.append(True, own[1:] != own[:-1])
+        earlier = np.cumsum(lower) - lower  # lower ones before it, in all pre-tokens
+        start = np.maximum.accumulate(np.where(first, np.arange(len(kept)), 0))
+        return np.isin(places, kept[earlier == earlier[start]], assume_unique=True)
+
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
@@ -218,7 +321,9 @@ def encode_documents(
 
     ``path`` is a rank file on every worker, ``pattern`` what cuts a text into pre-tokens.
     ``columns`` (default: the id) pass through; added names replace carried ones. A null or
-    empty text has no tokens. No special tokens are used: their strings are ordinary text.
+    empty text has no tokens. No special tokens are used: their strings are ordinary text. Texts
+    and pre-tokens of any length are encoded whole. Repeated rows are rows of their own; no
+    rows give no rows.
     """
     added = ["n_tokens", "ids_sha256", "decoded_sha256"]
     carried = [c for c in columns or ["doc_id"] if c not in added]
