@@ -5,8 +5,9 @@ the encoding its characters suggest, and three statistics compare it with unifor
 chi-squared over the alphabet, the number of runs below and above the alphabet's middle, and
 the correlation of neighbouring symbols. A candidate that all three call random is a secret
 if ordinary text of the same length in that encoding would hardly look like this: that
-p-value knows the length, as short strings of ordinary text pass any test, and goes through
-Benjamini-Hochberg over all candidates of the corpus.
+p-value knows the length, as short strings of ordinary text pass any test. A candidate that
+fails one of the three tests has a p-value of 1; one p-value per candidate goes through
+Benjamini-Hochberg over all candidates of the corpus, so the level holds for what is put out.
 
 Everything is built-in functions; the corpus-wide step is a histogram with a fixed number of
 bins.
@@ -113,20 +114,20 @@ def upper_tail(z: Column) -> Column:
 
 
 def least_bin(candidates: DataFrame, rate: float) -> DataFrame:
-    """One row: the lowest bin of ``bin`` that Benjamini-Hochberg accepts, or null.
+    """One row: the lowest bin that Benjamini-Hochberg accepts, or null.
 
-    Counts cover all candidates; the histogram has at most 1,401 rows, so its running count is
-    made in one task.
+    Counts cover all candidates (bin, random); those that are not random are never found. The
+    histogram has at most 1,401 rows, so its running count is made in one task.
     """
-    counts = candidates.groupBy("bin").count()
+    counts = candidates.groupBy("bin").agg(F.count("*").alias("count"), F.count_if("random").alias("passed"))
     above = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.select(
         "bin",
-        F.sum("count").over(above).alias("found"),
+        F.sum("passed").over(above).alias("found"),
         F.sum("count").over(Window.partitionBy(F.lit(1))).alias("all"),
         upper_tail(F.col("bin") / BINS_PER_UNIT).alias("p"),
     )
-    return ranked.where(F.col("p") * F.col("all") <= rate * F.col("found")).agg(F.min("bin").alias("bin"))
+    return ranked.where((F.col("found") > 0) & (F.col("p") * F.col("all") <= rate * F.col("found"))).agg(F.min("bin").alias("bin"))
 
 
 def find_secrets(
@@ -139,8 +140,9 @@ def find_secrets(
     """One row per document: ``columns`` (default: the id), n_assign, n_access, n_hex, n_random,
     base_sha256 and spans (kind:start:stop in code points). Added names replace carried ones.
 
-    A null or empty text has no secrets. Equal texts get equal spans. A candidate that touches
-    a span of a fixed pattern is not listed again. No rows give no rows.
+    A null or empty text has no secrets; a text of any length is read whole. Equal texts get
+    equal spans, repeated rows rows of their own. Spans that start together are listed by kind.
+    A candidate that touches a span of a fixed pattern is not listed again. No rows give no rows.
     """
     added = ["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"]
     carried = [c for c in columns or ["doc_id"] if c not in added]
@@ -168,7 +170,7 @@ def find_secrets(
         F.least(F.greatest(F.floor(s["is"]["ordinary"] * BINS_PER_UNIT), F.lit(-LAST_BIN)), F.lit(LAST_BIN)).cast("int").alias("bin"),
         ((s["is"]["chi"] < limit) & (F.abs(s["is"]["runs"]) < limit) & (F.abs(s["is"]["serial"]) < limit)).alias("random"),
     ))), "secrets-scanned")
-    least = least_bin(scanned.select(F.explode("__found").alias("f")).select("f.bin"), false_discoveries).scalar()
+    least = least_bin(scanned.select(F.explode("__found").alias("f")).select("f.bin", "f.random"), false_discoveries).scalar()
     secret = F.filter("__found", lambda s: s["random"] & (s["bin"] >= F.col("__least")) & ~F.exists(
         "__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])
     ))
