@@ -9,7 +9,7 @@ import corpus_pipeline
 from tests.llm.cases import documents, odd_texts, words
 from tests.llm.test_exact import expected
 from tests.llm.test_packing import check_rows
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_similar import plain_components
 from veridraft.llm import pii, quality
 
 
@@ -70,7 +70,7 @@ def test_every_stage_against_plain_forms(spark, tables, tmp_path):
 
     stage(2)
     ids = list(alive)
-    root = slow_components(ids, [slow_fingerprint(alive[i]) for i in ids])
+    root = plain_components(ids, list(alive.values()))
     alive = {i: alive[i] for i, r in zip(ids, root) if i == r}
     same()
 
