@@ -16,7 +16,7 @@ from veridraft.session import materialise
 FINDINGS = {"CONTRADICTED": ("CRITICAL", -10), "UNSUPPORTED": ("MEDIUM", -3), "UNCERTAIN": ("LOW", -1)}
 
 #: Characters on either side of a value whose words say what it is about.
-CONTEXT_CHARS = 40
+CONTEXT_CHARS = 24
 
 
 def typed_values(claims: DataFrame) -> DataFrame:
