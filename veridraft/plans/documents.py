@@ -12,7 +12,7 @@ from veridraft.plans.triage import SELECTION_SQL, selection
 
 C = F.col
 MATCHING = ("v_doc_flags", "v_paragraphs", "v_matches")
-FIRST_LINE = F.expr("flag_id = concat_ws('-', doc_id, 1)")
+FIRST_LINE = "flag_id = concat_ws('-', doc_id, 1)"
 
 
 def _paragraphs(v):
@@ -93,7 +93,7 @@ def _(v):
 def _(v):
     text = F.when(C("lang") == "en", F.concat(F.lit("AI SYNTHESIZED\n"), "text")).otherwise(C("text"))
     docs = v.table("documents").select(C("doc_id").alias("audit_id"), text.alias("raw_text"))
-    flags = v.doc_flags().withColumn("ord", F.when(FIRST_LINE, 0).otherwise(1))
+    flags = v.doc_flags().withColumn("ord", F.when(F.expr(FIRST_LINE), 0).otherwise(1))
     return P.is_dynamic(docs, flags.withColumnRenamed("doc_id", "audit_id")).withColumnRenamed("audit_id", "doc_id")
 
 
