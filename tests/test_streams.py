@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tests.scans import scanned
 from veridraft.operators import activity, decisions, stages
 from veridraft.sources.adapters import Views
+from veridraft.operators.stages import STAGE_RANK
 from veridraft.streaming import rescoring, tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -216,3 +217,14 @@ def test_settled_audits_stay_known(spark, tmp_path):
         [(f"{k}-{i}", "COMPLETED" if i % 2 else "PARSING", 100 * k) for i in range(20)] for k in range(6)
     ], forget="2 days")
     assert len(found) == 50 and left <= 40  # of 120 audits
+
+
+def test_many_audits_share_few_states(spark, tmp_path, monkeypatch):
+    """Hundreds of audits meet in a few states; what is put out is that of audits on their own."""
+    monkeypatch.setattr(tables, "STUCK_BUCKETS", 4, raising=False)
+    found, left = _stuck(spark, tmp_path, [
+        [(f"a{i}", "COMPLETED" if i % 3 == 0 else "PARSING", i / 30) for i in range(300)],
+        [(f"a{i}", "INDEXING", 20 + i / 30) for i in range(0, 300, 5)], [("late", "QUEUED", 40)], [("end", "COMPLETED", 60)],
+    ])
+    want = [(f"a{i}", STAGE_RANK["INDEXING" if i % 5 == 0 else "PARSING"]) for i in range(300) if i % 3]
+    assert found == sorted(want) and left <= 4

@@ -15,6 +15,8 @@ from veridraft.streaming.runs import Runs, newest
 
 
 STAGE_KEYS = ["audit_id"]
+#: Groups that ``stuck_stream`` deals audits to: calls into Python grow with them at most, not with the audits.
+STUCK_BUCKETS = 1 << 15
 
 
 def _merged_stages(rows: DataFrame) -> DataFrame:
@@ -50,34 +52,50 @@ def stuck_stream(
     stage that arrives late doesn't open it again, and one that goes on and gets stuck once
     more is put out with the furthest stage it ever reached. After that it is forgotten: the
     state holds audits with an event in the last ``idle`` + ``forget`` only.
+
+    Audits share ``STUCK_BUCKETS`` states by hash; a bucket's timer is that of its next audit.
     """
     wait, keep = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (idle, forget))
     final = STAGE_RANK["COMPLETED"]
 
-    def follow(key, batches, state):
-        rank, last, settled = state.get if state.exists else (-1, 0, False)
-        if state.hasTimedOut and settled:
-            state.remove()
-            return
-        if state.hasTimedOut:
-            yield pd.DataFrame({"audit_id": [key[0]], "stage_rank": [rank], "last_us": [last]})
-            settled = True
+    def until(known) -> int:
+        _rank, last, settled = known
+        return last // 1000 + wait + (keep if settled else 0)
+
+    def follow(_key, batches, state):
+        known = {a: rest for a, *rest in zip(*state.get)} if state.exists else {}
+        now, seen, stuck = state.getCurrentWatermarkMs(), set(), []
+        for batch in [] if state.hasTimedOut else batches:
+            for audit, stage, us in zip(batch["audit_id"].tolist(), batch["rank"].tolist(), batch["us"].tolist()):
+                rank, last, settled = known.get(audit, (-1, 0, False))
+                rank = max(rank, stage)
+                known[audit] = rank, max(last, us), settled and us <= last or rank >= final
+                seen.add(audit)
+        # Audits that are heard of in this batch wait for the next one.
+        for audit in [a for a, k in known.items() if a not in seen and until(k) <= now]:
+            rank, last, settled = known[audit]
+            if settled:
+                del known[audit]
+            else:
+                stuck.append((audit, rank, last))
+                known[audit] = rank, last, True
+        if stuck:
+            yield pd.DataFrame(stuck, columns=["audit_id", "stage_rank", "last_us"])
+        if known:
+            state.update(tuple(map(list, zip(*((a, *k) for a, k in known.items())))))
+            # A timer fires when the watermark is past it.
+            state.setTimeoutTimestamp(max(min(map(until, known.values())) - 1, now + 1))
         else:
-            for batch in batches:
-                rank = max(rank, int(batch["rank"].max()))
-                newest = int(batch["us"].max())
-                settled, last = settled and newest <= last, max(last, newest)
-            settled = settled or rank >= final
-        state.update((rank, last, settled))
-        until = last // 1000 + wait + (keep if settled else 0)
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+            state.remove()
 
     rank = F.when(F.col("status") == "FAILED", final + 1).otherwise(mapped(F.col("status"), STAGE_RANK, -1))
     events = stage_events.withWatermark("ts", late).select(
-        "audit_id", "ts", rank.alias("rank"), F.unix_micros("ts").alias("us")
+        F.pmod(F.xxhash64("audit_id"), F.lit(STUCK_BUCKETS)).cast("int").alias("bucket"),
+        "audit_id", "ts", rank.alias("rank"), F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("us"),
     )
-    return events.groupBy("audit_id").applyInPandasWithState(
-        follow, "audit_id string, stage_rank int, last_us long", "rank int, last long, settled boolean", "append",
+    return events.groupBy("bucket").applyInPandasWithState(
+        follow, "audit_id string, stage_rank int, last_us long",
+        "audits array<string>, ranks array<int>, last array<long>, settled array<boolean>", "append",
         GroupStateTimeout.EventTimeTimeout,
     )
 
