@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import random
-from itertools import combinations
+from itertools import combinations, product
 
 import pytest
 
@@ -142,6 +142,28 @@ def test_long_urls_are_mined_and_matched(spark):
     assert rows == {i: "block" if i % 4 == 0 else "allow" for i in range(200)}
 
 
+def test_all_tokens_of_a_page_are_mined(spark):
+    """Twelve tokens on many pages, each a little telling: rules hold all of them, also those that stand on the
+    same pages as another, which do in its place on pages without it."""
+    rng = random.Random(4)
+    pages, labels = [], []
+    for i in range(500):
+        shown = [k for k in range(12) if rng.random() < 0.4]
+        twins = ["aa11"] if 11 in shown else []
+        pages.append((i, "http://h.org/" + "/".join([*(f"t{k:02}" for k in shown), *twins]), None))
+        labels.append((i, int(rng.random() > 0.1 + 0.07 * len(shown) + 0.4 * (10 in shown and 11 in shown)), 0))
+    df = spark.createDataFrame(pages, PAGES)
+    mined = urls.mine_rules(df, spark.createDataFrame(labels, LABELS), 0.02, 0.6, 2.0).collect()
+    tokens = [set(r.t) for r in df.select(urls.url_tokens(df.url).alias("t")).collect()]
+    want = slow_rules([(t, q == 0) for t, (_, q, _) in zip(tokens, labels)], 0.02, 0.6, 2.0)
+    got = {tuple(sorted(x)): r["confidence"] for r in mined for x in product(*r["same"])}
+    assert got == pytest.approx(want)
+    assert {t for items in want for t in items} >= {f"p:t{k:02}" for k in range(12)} | {"p:aa11"}
+    one = spark.createDataFrame([(0, "http://x.org/t10/aa11", None), (1, "http://x.org/t10/t11", None)], PAGES)
+    rules = urls.mine_rules(df, spark.createDataFrame(labels, LABELS), 0.02, 0.6, 2.0)
+    assert [r.verdict for r in urls.filter_urls(one, [], rules).collect()] == ["block"] * 2
+
+
 def test_no_rows_no_labels_and_clashing_columns(spark):
     none = spark.createDataFrame([], PAGES)
     assert urls.mine_rules(none, spark.createDataFrame([], LABELS)) is None

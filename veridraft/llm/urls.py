@@ -7,10 +7,15 @@ has to be significant: the lower end of its confidence interval lies above the s
 pages. Rules that need more tokens than another rule without being surer are pruned. An
 inverted index from each rule's rarest token finds the rules a URL could meet; the rest of
 their tokens is then checked.
+
+All tokens of a page take part. Only those that no rule can need stay out of mining, and tokens
+that stand on the same pages are mined as one; both leave the rules as they are.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +35,6 @@ RULES = [
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
 #: Half-width of the confidence interval (Wilson) in standard deviations.
 SIGNIFICANCE = 4.0
-#: Tokens of a page that take part in mining: those that tell most about the label. Bounds the
-#: combinations of a page, 2^8; what a rule is matched with are all tokens of a URL.
-MINED_TOKENS = 8
 BAD = "=bad"
 
 
@@ -75,17 +77,24 @@ def wilson_low(share: Column, n: Column, z: float) -> Column:
     return (share + z * z / (2 * n) - spread) / (1 + z * z / n)
 
 
-def telling_tokens(rows: DataFrame, most: int) -> DataFrame:
-    """(bad, tokens) of (page, bad, tokens): per page the ``most`` tokens whose pages differ most from all
-    pages in their share of bad ones, in standard deviations; ties by name."""
+def mined_items(rows: DataFrame, pages: int, bad: float, support: float, significance: float) -> DataFrame:
+    """(token, item) of (page, bad, tokens): the tokens that a rule can hold. Tokens of exactly the same pages
+    make the same rules, so one of them, the first by name, is the item of all.
+
+    A rule's bad pages show each of its tokens. So a token on too few bad pages for the support, or
+    for significance if no other page had it, is in no rule; one on all pages adds nothing to a rule.
+    """
     each = rows.select("page", "bad", F.explode("tokens").alias("token"))
-    share = rows.agg(F.avg(F.col("bad").cast("double"))).scalar()
-    found = each.groupBy("token").agg(F.count("*").alias("n"), F.avg(F.col("bad").cast("double")).alias("p"))
-    weight = found.select("token", (F.abs(F.col("p") - share) * F.sqrt("n")).alias("weight"))
-    ranked = each.join(weight, "token").groupBy("page", "bad").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("less"), "token"))).alias("t")
+    cover = [F.sum(F.xxhash64("page").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("page", F.lit(1)))]
+    found = each.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"), *(c.alias(f"c{i}") for i, c in enumerate(cover))
+    )
+    surest = F.col("bad") / (F.col("bad") + significance * significance)  # ``wilson_low`` of a share of 1
+    found = found.where(
+        (F.col("bad") >= math.ceil(support * pages)) & (surest > bad - 1e-9) & (F.col("n") < pages)
     )
-    return ranked.select("bad", F.slice("t.token", 1, most).alias("tokens"))
+    same = found.groupBy("n", "bad", "c0", "c1").agg(F.min("token").alias("item"), F.collect_list("token").alias("token"))
+    return same.select(F.explode("token").alias("token"), "item")
 
 
 def mine_rules(
@@ -94,11 +103,11 @@ def mine_rules(
     support: float = MIN_SUPPORT,
     confidence: float = MIN_CONFIDENCE,
     significance: float = SIGNIFICANCE,
-    most_tokens: int = MINED_TOKENS,
 ) -> DataFrame | None:
-    """(items, confidence, support) of pruned rules "these tokens, so bad"; None without labelled pages.
+    """(items, confidence, support, same) of pruned rules "these tokens, so bad"; None without labelled pages.
 
-    All labelled pages count; a page is bad if a label of its id says poor quality or toxic.
+    ``same`` has, for each item, the tokens that stand on the same pages, itself included: any of
+    them does in its place. All labelled pages and all their tokens count; a page is bad if a label of its id says poor quality or toxic.
     Support, confidence and significance mean the same at every size of the table.
     """
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
@@ -111,10 +120,13 @@ def mine_rules(
     if not totals.n:
         return None
     bad_item = F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
-    items = telling_tokens(rows, most_tokens).select(F.concat("tokens", bad_item).alias("items"))
-    # Pages without tokens show no combination, but they are pages.
-    none = rows.where(F.size("tokens") == 0).select(bad_item.alias("items"))
-    items = materialise(items.unionByName(none), "urls-items")
+    known = materialise(mined_items(rows, totals.n, totals.bad, support, significance), "urls-tokens")
+    shown = rows.select("page", F.explode("tokens").alias("token")).join(known, "token")
+    shown = shown.groupBy("page").agg(F.collect_set("item").alias("shown"))
+    # Pages without such tokens show no combination, but they are pages.
+    shown = rows.select("page", "bad").join(shown, "page", "left")
+    none = F.array().cast("array<string>")
+    items = materialise(shown.select(F.concat(F.coalesce("shown", none), bad_item).alias("items")), "urls-items")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.col("lift") > 1))
     shown = F.col("support") * totals.n / F.col("confidence")  # pages with the rule's tokens, bad or not
@@ -122,13 +134,16 @@ def mine_rules(
     rules = materialise(rules.select(
         F.array_sort("antecedent").alias("items"), "confidence", "support"
     ), "urls-rules")
-    return pruned_rules(rules)
+    groups = known.groupBy("item").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    each = pruned_rules(rules).select("*", F.posexplode("items").alias("at", "item")).join(groups, "item")
+    same = F.array_sort(F.collect_list(F.struct("at", "tokens")))["tokens"]
+    return each.groupBy("items", "confidence", "support").agg(same.alias("same"))
 
 
 def pruned_rules(rules: DataFrame) -> DataFrame:
     """Rules without those that have a subset, which has all their pages, that is as sure.
 
-    A rule has 2^8 subsets at most; each is looked up by its items.
+    Each subset of a rule, all of which were mined as well, is looked up by its items.
     """
     subsets = rules.withColumn("part", F.explode(_subsets(F.col("items")))).where(F.size("part") < F.size("items"))
     sure = rules.select(F.col("items").alias("part"), F.col("confidence").alias("sure"))
@@ -145,10 +160,12 @@ def _subsets(items: Column) -> Column:
 
 
 def rules_by_token(rules: DataFrame) -> DataFrame:
-    """(token, items, confidence): each rule under its rarest token among rules, ties by name."""
-    each = rules.select("items", "confidence", F.explode("items").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("n"))
-    return each.join(often, "token").groupBy("items", "confidence").agg(F.min(F.struct("n", "token"))["token"].alias("token"))
+    """(token, same, confidence): each rule under its rarest item among rules, ties by name, and under
+    all tokens that do in its place."""
+    each = rules.select("same", "confidence", F.posexplode("items").alias("at", "item"))
+    often = each.groupBy("item").agg(F.count("*").alias("n"))
+    least = each.join(often, "item").groupBy("same", "confidence").agg(F.min(F.struct("n", "item", "at"))["at"].alias("at"))
+    return least.select(F.explode(F.get("same", F.col("at"))).alias("token"), "same", "confidence")
 
 
 def filter_urls(
@@ -169,7 +186,7 @@ def filter_urls(
         # Only distinct URLs look for rules: each meets those under one of its tokens.
         urls = rows.select("__url").where("__url IS NOT NULL").distinct().withColumn("__tokens", url_tokens(F.col("__url")))
         met = urls.withColumn("token", F.explode("__tokens")).join(rules_by_token(mined), "token").where(
-            F.size(F.array_except("items", "__tokens")) == 0
+            F.forall("same", lambda tokens: F.arrays_overlap(tokens, F.col("__tokens")))
         )
         met = met.groupBy("__url").agg(F.max("confidence").alias("__sure"))
         rows = rows.join(met, "__url", "left")
