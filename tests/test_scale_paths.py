@@ -8,6 +8,7 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -183,6 +184,23 @@ def test_rarest_gram_is_the_anchor(spark):
     assert len(found) == 10 and len({r.hash for r in found}) == 10 and {r.gram for r in found} == {16}
 
 
+def test_anchors_are_found_by_bytes(spark):
+    """A rolling hash of the bytes: equal grams have equal hashes wherever they stand."""
+    texts = ["", "a", "naïve 😀 naïve", "x" * 40, "of the first line and the second"]
+    for size, hashes in paragraphs.gram_hashes(np.frombuffer("".join(texts).encode(), np.uint8)):
+        data, seen = "".join(texts).encode(), {}
+        for at in range(len(data) - size + 1):
+            assert seen.setdefault(data[at : at + size], hashes[at]) == hashes[at]
+        assert len(set(map(int, seen.values()))) == len(seen)
+    paras = [("A", i, f"{t} tail {t}") for i, t in enumerate(texts)]
+    flags = [("A", i, f"f{i}", t[:29]) for i, t in enumerate(texts) if t]
+    got = paragraphs.match_paragraphs(
+        spark.createDataFrame(paras, "audit_id string, para_no int, para string"),
+        spark.createDataFrame(flags, "audit_id string, ord int, flag_id string, claim string"), small=0,
+    )
+    assert {(r.audit_id, r.para_no): r.flag_id for r in got.collect()} == brute_match(paras, flags)
+
+
 @pytest.mark.parametrize("n", [1, 9, 10, 11, 25, 40])
 def test_segments_keep_every_substring(spark, n):
     text = "".join(chr(97 + i % 26) if i % 7 else "😀" for i in range(n))

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veridraft import domains as D
 from veridraft.functions.scores import label_of
 from veridraft.functions.texts import split_paragraphs, without_first
 from veridraft.operators.triage import finding_visible
+from veridraft.session import materialise
 
 #: Audits with at most this many different claim prefixes carry them as one small array.
 SMALL_AUDIT_PREFIXES = 16
 #: Longer paragraphs are cut up before they are searched.
 SEGMENT_CHARS = 10_000
-#: Longest gram that finds a prefix, and 64-bit words of an audit's filter at most.
-GRAM_CHARS, FILTER_WORDS = 16, 1 << 14
+#: Longest gram in bytes that finds a prefix, and 64-bit words of an audit's filter at most.
+GRAM_BYTES, FILTER_WORDS = 16, 1 << 14
+#: Odd factors of the rolling hash.
+FACTORS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def paragraphs(documents: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:
@@ -30,18 +38,6 @@ def claim_prefix(claim: Column, chars: int = D.CLAIM_PREFIX_CHARS) -> Column:
     return F.substring(F.lower(claim), 1, chars)
 
 
-def all_substrings(text: Column, length: Column) -> Column:
-    """Distinct substrings of a given length (``length`` > 0), found in one pass.
-
-    The look-ahead makes matches overlap; the second condition keeps a match from starting
-    in the middle of a character outside the BMP.
-    """
-    pattern = F.concat(
-        F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{"), length.cast("string"), F.lit("}))")
-    )
-    return F.array_distinct(F.regexp_extract_all(text, pattern, F.lit(1)))
-
-
 def segments(text: Column, overlap: int, size: int = SEGMENT_CHARS) -> Column:
     """A long text in pieces of ``size`` characters that overlap by ``overlap``, so that any
     string of up to ``overlap`` + 1 characters lies inside one of them."""
@@ -54,43 +50,96 @@ def segments(text: Column, overlap: int, size: int = SEGMENT_CHARS) -> Column:
     return F.when(F.length(text) <= size, F.array(text)).otherwise(pieces)
 
 
-def gram_chars(length: Column) -> Column:
-    """Length of the gram that anchors a prefix: the largest power of two that fits, up to ``GRAM_CHARS``."""
-    found = F.lit(1)
-    size = 2
-    while size <= GRAM_CHARS:
-        found = F.when(length >= size, size).otherwise(found)
+def gram_bytes(length: np.ndarray) -> np.ndarray:
+    """Length of the gram that anchors a prefix: the largest power of two that fits, up to ``GRAM_BYTES``."""
+    return np.left_shift(1, np.log2(np.clip(length, 1, GRAM_BYTES)).astype(np.int64))
+
+
+def gram_hashes(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hash of the gram of this length that begins at each byte) for 1, 2, 4 ... ``GRAM_BYTES``."""
+    size, hashes = 1, (data.astype(np.uint64) + np.uint64(1)) * FACTORS[0]
+    while True:
+        mixed = (hashes ^ hashes >> np.uint64(32)) * FACTORS[1]
+        yield size, mixed ^ mixed >> np.uint64(29)
+        if size == GRAM_BYTES:
+            return
+        rest = np.zeros_like(hashes)
+        rest[:-size] = hashes[size:]
+        hashes = (hashes ^ hashes >> np.uint64(31)) * FACTORS[0] + rest
         size *= 2
-    return found
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, where each row ends, the row of each byte) of a column of texts."""
+    column = pa.concat_arrays([column.cast(pa.binary())])
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data and ends[-1] > ends[0] else np.empty(0, np.uint8)
+    return data, ends[1:] - ends[0], np.repeat(np.arange(len(column)), np.diff(ends))
+
+
+def _once(rows: list[np.ndarray], hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Equal pairs once, ordered."""
+    row, hashed = np.concatenate(rows), np.concatenate(hashes)
+    order = np.lexsort((hashed, row))
+    row, hashed = row[order], hashed[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashed[1:] != hashed[:-1])
+    return row[new], hashed[new].view(np.int64)
+
+
+def _prefix_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., prefix) with gram and hashes: of all grams of this length in the prefix."""
+    for batch in batches:
+        data, ends, row = _bytes_of(batch.column("prefix"))
+        grams = gram_bytes(np.diff(ends, prepend=0))
+        rows, found = [], []
+        for size, hashes in gram_hashes(data):
+            at = np.flatnonzero((grams[row] == size) & (np.arange(len(data)) + size <= ends[row]))
+            rows.append(row[at])
+            found.append(hashes[at])
+        row, hashed = _once(rows, found)
+        offsets = np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashed))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(grams.astype(np.int32)), lists], [*batch.schema.names, "gram", "hashes"]
+        )
 
 
 def anchors(prefixes: DataFrame, key: str) -> DataFrame:
     """(key, prefix, hit, gram, hash): each prefix with the hash of the gram that the fewest prefixes of
-    its audit hold, so that a text position leads to as few of them as possible."""
-    grams = prefixes.withColumn("gram", gram_chars(F.length("prefix"))).withColumn(
-        "hash", F.explode(F.transform(all_substrings(F.col("prefix"), F.col("gram")), lambda g: F.xxhash64(g)))
-    )
-    held = grams.groupBy(key, "hash").agg(F.count(F.lit(1)).alias("_held"))
-    rarest = F.min(F.struct("_held", "hash", "gram", "hit")).alias("a")
-    return grams.join(held, [key, "hash"]).groupBy(key, "prefix").agg(rarest).select(
-        key, "prefix", "a.hit", "a.gram", "a.hash"
-    )
+    its audit hold, so that a text position leads to as few of them as possible.
+
+    Audits without a gram in two prefixes take any; only the others count each prefix's grams.
+    """
+    rows = prefixes.select(key, "prefix", "hit")
+    schema = T.StructType([*rows.schema, T.StructField("gram", T.IntegerType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    grams = rows.mapInArrow(_prefix_grams, schema)
+    held = grams.select(key, F.explode("hashes").alias("hash")).groupBy(key, "hash").agg(F.count(F.lit(1)).alias("_held"))
+    shared = materialise(held.where(F.col("_held") > 1), "shared-grams")
+    audits = shared.select(key).distinct()
+    alone = grams.join(audits, key, "left_anti").select(key, "prefix", "hit", "gram", F.get("hashes", F.lit(0)).alias("hash"))
+    each = grams.join(audits, key, "left_semi").select(key, "prefix", "hit", "gram", F.explode("hashes").alias("hash"))
+    rarest = F.min(F.struct(F.coalesce("_held", F.lit(1)).alias("_held"), "hash", "gram", "hit")).alias("a")
+    counted = each.join(shared, [key, "hash"], "left").groupBy(key, "prefix").agg(rarest)
+    return alone.unionByName(counted.select(key, "prefix", "a.hit", "a.gram", "a.hash"))
 
 
 def anchor_filters(found: DataFrame, key: str) -> DataFrame:
-    """(key, _grams, _bits): gram lengths in use, and one bit for each anchor of an audit.
+    """(key, _grams, _bits): gram lengths in use, added up, and two bits in one word for each anchor of an audit.
 
     ``_bits`` has 32 bits or more per prefix and ``FILTER_WORDS`` words at most; with more
     prefixes than that more positions pass, and the join sorts them out.
     """
     words = F.least(F.lit(FILTER_WORDS), F.expr("shiftleft(1, cast(ceil(log2(greatest(_n, 2))) as int) - 1)"))
-    sizes = found.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.collect_set("gram").alias("_grams")).select(
+    sizes = found.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.bit_or("gram").alias("_grams")).select(
         key, "_grams", words.alias("_words")
     )
+    bit = "shiftleft(1L, cast(shiftrightunsigned(hash, {}) & 63 as int))"
     bits = (
         found.join(sizes, key)
-        .groupBy(key, "_grams", "_words", F.expr("cast(shiftrightunsigned(hash, 6) & (_words - 1) as int)").alias("_word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(hash & 63 as int)))").alias("_set"))
+        .groupBy(key, "_grams", "_words", F.expr("cast(shiftrightunsigned(hash, 12) & (_words - 1) as int)").alias("_word"))
+        .agg(F.expr(f"bit_or({bit.format(0)} | {bit.format(6)})").alias("_set"))
         .groupBy(key, "_grams", "_words")
         .agg(F.map_from_entries(F.collect_list(F.struct("_word", "_set"))).alias("_m"))
     )
@@ -98,9 +147,27 @@ def anchor_filters(found: DataFrame, key: str) -> DataFrame:
     return bits.select(key, "_grams", every.alias("_bits"))
 
 
-def may_be_anchor(bits: Column, hashed: Column) -> Column:
-    word = F.shiftrightunsigned(hashed, 6).bitwiseAND(F.size(bits) - 1).cast("int")
-    return F.getbit(F.get(bits, word), hashed.bitwiseAND(63).cast("int")) == 1
+def _anchor_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., _text, _grams, _bits) to (..., hash): the grams of each text that pass its filter."""
+    for batch in batches:
+        data, ends, row = _bytes_of(batch.column("_text"))
+        wanted = batch.column("_grams").to_numpy()
+        bits, words = batch.column("_bits").flatten().to_numpy().view(np.uint64), batch.column("_bits").value_lengths().to_numpy()
+        first = np.cumsum(words) - words
+        rows, found = [], []
+        for size, hashes in gram_hashes(data):
+            if not (wanted & size).any():
+                continue
+            at = np.flatnonzero((wanted & size > 0)[row] & (np.arange(len(data)) + size <= ends[row]))
+            hashed, its = hashes[at], row[at]
+            word = bits[first[its] + ((hashed >> np.uint64(12)).astype(np.int64) & words[its] - 1)]
+            held = word >> (hashed & np.uint64(63)) & word >> (hashed >> np.uint64(6) & np.uint64(63)) & np.uint64(1)
+            rows.append(its[held > 0])
+            found.append(hashed[held > 0])
+        if rows:
+            row, hashed = _once(rows, found)
+            kept = [c for c in batch.schema.names if c not in ("_text", "_grams", "_bits")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row)) for c in kept), pa.array(hashed)], [*kept, "hash"])
 
 
 def match_paragraphs(
@@ -116,16 +183,18 @@ def match_paragraphs(
     Flags are first reduced to one row per different prefix (the lowest ``ord`` wins).
     Audits with few prefixes test them in place against an array of at most ``small``
     entries. In audits with many prefixes each prefix is found through one gram of it, its
-    anchor: the text is hashed gram by gram, a position whose hash passes the audit's filter
-    leaves one hash, and equal hashes are joined. Every pair is verified in the text. So a
+    anchor: a rolling hash passes over the bytes of the text, a position whose hash passes the
+    audit's filter leaves it, and equal hashes are joined. Every pair is verified in the text. So a
     paragraph never meets all flags, prefixes of any lengths cost one hash per position and
-    gram length (five at most), and a very large audit is spread over many tasks.
+    gram length (five at most), and a very large audit is spread over many tasks. The prefixes
+    and their anchors are written once.
     """
-    first = (
+    first = materialise(
         flags.withColumn("prefix", claim_prefix(F.col("claim"), prefix_chars))
         .where("prefix IS NOT NULL")
         .groupBy(key, "prefix")
-        .agg(F.min(F.struct("ord", "flag_id")).alias("hit"))
+        .agg(F.min(F.struct("ord", "flag_id")).alias("hit")),
+        "claim-prefixes",
     )
     sizes = first.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("prefix") == "", F.col("hit"))).alias("_always")
@@ -142,16 +211,15 @@ def match_paragraphs(
     always = many.where("_always IS NOT NULL").select(key, F.col("_always").alias("hit"))
     hits = hits.unionByName(paras.join(always, key).select(key, "para_no", "hit"))
 
-    found = anchors(first.where("prefix <> ''").join(many.select(key), key, "left_semi"), key)
+    found = materialise(
+        anchors(first.where("prefix <> ''").join(many.select(key), key, "left_semi"), key), "claim-anchors"
+    )
     pieces = paras.select(key, "para_no", F.posexplode(segments(text, prefix_chars - 1)).alias("_piece", "_text"))
-    hashes = F.flatten(F.transform(
-        "_grams", lambda n: F.transform(all_substrings(F.col("_text"), n), lambda g: F.xxhash64(g))
-    ))
+    place = [pieces.schema[c] for c in (key, "para_no", "_piece")]
     met = (
         pieces.join(anchor_filters(found, key), key)
-        .select(key, "para_no", "_piece", F.explode(
-            F.filter(hashes, lambda h: may_be_anchor(F.col("_bits"), h))
-        ).alias("hash"))
+        .select(key, "para_no", "_piece", "_text", "_grams", "_bits")
+        .mapInArrow(_anchor_places, T.StructType([*place, T.StructField("hash", T.LongType())]))
         .join(found.drop("gram"), [key, "hash"])
         .drop("hash")
     )
