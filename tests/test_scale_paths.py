@@ -457,6 +457,15 @@ def test_markup_against_a_tokenizer(spark, pages):
         assert r.t == plain_text(r.h), r.h
 
 
+def test_text_of_a_page_is_computed_once(spark):
+    """No step of the markup stands twice in the plan: neither in branches of a condition nor in a filter."""
+    pages = spark.createDataFrame([(1, "<p>a &amp; b. c&#39;s</p>"), (2, " "), (3, None)], "k int, html string")
+    rows = canonical.canonical_stream(pages, "k", canonical.strip_markup(F.col("html")))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("<!--") == 1 and plan.count(canonical.ENTITY_NUMBER) == 1
+    assert [(r.k, r.sentence) for r in rows.collect()] == [(1, "a & b."), (1, "c's")]
+
+
 def test_markup_is_linear(spark):
     """What is never closed is scanned once: a megabyte of each, in seconds."""
     import time

@@ -3,6 +3,7 @@ stage: one row in, its sentences or claims out, no shuffle."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,11 @@ ENTITY_NUMBER = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 SENTENCE_END = f"(?<=[.!?]) |{BREAK}"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_markup(html: Column) -> Column:
     """Text of a page: scripts, styles, comments and tags out, block ends marked, entities decoded.
 
@@ -70,7 +76,7 @@ def strip_markup(html: Column) -> Column:
     text = html
     for pattern, by in MARKUP:
         text = F.regexp_replace(text, pattern, by)
-    return named_entities(numeric_entities(text))
+    return once(once(text, numeric_entities), named_entities)
 
 
 def named_entities(text: Column) -> Column:
@@ -103,10 +109,12 @@ def normalise_space(text: Column) -> Column:
     replacements do most of the work; the patterns only meet runs."""
     for space in "\t\n\u000b\f\r":
         text = F.replace(text, F.lit(space), F.lit(" "))
-    text = F.regexp_replace(text, " {2,}", " ")
-    broken = F.regexp_replace(F.regexp_replace(text, f" ?{BREAK} ?", BREAK), f"{BREAK}{{2,}}", BREAK)
-    broken = F.regexp_replace(broken, rf"^{BREAK}|{BREAK}\z", "")
-    return F.trim(F.when(F.contains(text, F.lit(BREAK)), broken).otherwise(text))
+    def broken(text: Column) -> Column:
+        marked = F.regexp_replace(F.regexp_replace(text, f" ?{BREAK} ?", BREAK), f"{BREAK}{{2,}}", BREAK)
+        marked = F.regexp_replace(marked, rf"^{BREAK}|{BREAK}\z", "")
+        return F.when(F.contains(text, F.lit(BREAK)), marked).otherwise(text)
+
+    return F.trim(once(F.regexp_replace(text, " {2,}", " "), broken))
 
 
 def canonical_stream(documents: DataFrame, key: str, text: Column) -> DataFrame:
@@ -118,9 +126,9 @@ def canonical_stream(documents: DataFrame, key: str, text: Column) -> DataFrame:
     parts = F.split("_text", SENTENCE_END)
     starts = start_offsets(F.transform(F.col("_parts"), lambda s: (F.length(s) + 1).cast("bigint")))
     return (
+        # a filter on the text would be pushed down and compute it twice; no parts give no rows
         documents.select(key, normalise_space(text).alias("_text"))
-        .where("_text <> ''")
-        .select(key, parts.alias("_parts"))
+        .select(key, F.when(F.col("_text") != "", parts).alias("_parts"))
         .select(key, F.posexplode(F.arrays_zip(F.col("_parts").alias("s"), starts.alias("b"))).alias("i", "z"))
         .select(
             key,
