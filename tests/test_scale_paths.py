@@ -55,6 +55,18 @@ def test_last_before_equals_plain_window(skewed_log, group_rows):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_tasks_stay_small_as_data_grows(spark):
+    """A stage that chains sorts holds many times what it reads, so a task reads a few MB, not a share of the input."""
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = spark.range(3_000_000).selectExpr("xxhash64(id) AS k", "xxhash64(id, 1) AS at", "id")
+        placed = ordered.position(rows, ["k"], [F.col("at")], ordered.block_chunks("at"), "p", 0)
+        assert placed.rdd.getNumPartitions() >= 12
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_group_with_one_timestamp(spark):
     """A bulk import: one key holds all rows, at one time."""
     log = spark.range(5000).selectExpr("id * 40 AS id", "'hot' AS k", "TIMESTAMP '2026-01-01' AS ts", "CAST(id % 7 AS INT) AS v")

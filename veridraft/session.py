@@ -15,6 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Shuffled rows are small beside the sort buffers of a stage that chains windows and joins: a
+    # task that reads 10 MB can hold 2 GB. So tasks stay small however much data there is.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even when that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
