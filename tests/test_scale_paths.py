@@ -271,6 +271,30 @@ def test_bm25_is_exact_for_any_split(spark, rare_df):
     assert all(abs(a[1] - b[1]) < 2e-6 for c in got for a, b in zip(got[c], want[c]))
 
 
+def test_bm25_tasks_grow_with_the_claims(spark, monkeypatch):
+    """A task holds the passages of its claims, so more claims need more tasks, not larger ones."""
+    monkeypatch.setattr(retrieval, "TASK_TERMS", 20, raising=False)
+    seen, write = [], retrieval.materialise
+
+    def watched(df, purpose):
+        if purpose == "first-round":
+            df = df.select("*")
+            seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, purpose)
+
+    monkeypatch.setattr(retrieval, "materialise", watched)
+    passages = [(i, f"the word{i} of fee{i % 4}") for i in range(12)]
+    claims = [(i, f"the word{i % 12} and fee{i % 3} of absent{i}") for i in range(100)]
+    index = retrieval.build_index(spark.createDataFrame(passages, "passage_id int, text string"), rare_df=1)
+    rows = retrieval.bm25_top_k(spark.createDataFrame(claims, "claim_id int, text string"), index, k=3).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.claim_id, r["rank"])):
+        got.setdefault(r.claim_id, []).append(r.passage_id)
+    assert got == {c: [p for p, _ in v] for c, v in brute_bm25(claims, passages, 3).items()}
+    # Four words of each claim are in the index: 400 rows, at most 20 a task.
+    assert "RepartitionByExpression [claim_id" in seen[0] and ", 20" in seen[0]
+
+
 def test_bm25_of_common_words_only(spark):
     """Every term is in most passages: exact, and blocks that can't reach the k-th score are not read.
 

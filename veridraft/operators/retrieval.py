@@ -25,6 +25,8 @@ BLOCK = 1 << BLOCK_BITS
 FIRST_BLOCKS = 4
 #: Scores are rounded to six digits: bounds get that much room.
 SLACK = 1e-6
+#: Claims' terms in one task, which holds the passages that they meet.
+TASK_TERMS = 50_000
 NON_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -134,6 +136,7 @@ def bm25_top_k(
         index = PassageIndex(index.key, index.postings, index.terms, rare_df)
     c, p = claim_key, index.key
     query = claims.select(c, F.explode(F.array_distinct(words(F.col(claim_text)))).alias("term"))
+    query = by_claim(query.join(index.terms.select("term"), "term", "left_semi"), c)
     pairs = query.join(index.rare, "term")
     rare = pairs.groupBy(c, p).agg(F.sum(F.col("idf") * F.col("weight")).alias("rare_score"))
     if not index.has_common_terms:
@@ -154,10 +157,19 @@ def bm25_top_k(
     first, blocks = surviving_blocks(asked, index, first, c, k)
     if blocks is not None:
         # A passage with a rare term gets less here than in the first round, where all of those were scored.
-        first = first.unionByName(common_scores(asked, index, blocks, c)).groupBy(c, p).agg(F.max("score").alias("score"))
+        # So the k best of either are enough.
+        more = _best(common_scores(asked, index, blocks, c), c, p, k).drop("rank")
+        first = first.unionByName(more).groupBy(c, p).agg(F.max("score").alias("score"))
     return _best(first, c, p, k)
 
 
+def by_claim(query: DataFrame, c: str) -> DataFrame:
+    """query(claim, term), written once and dealt by claim to as many tasks as its rows need."""
+    query = materialise(query.select(c, "term"), "claim-terms")
+    tasks = int(query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return query.repartition(max(tasks, -(-query.count() // TASK_TERMS)), c)
+
+
 def common_scores(asked: DataFrame, index: PassageIndex, blocks: DataFrame, c: str) -> DataFrame:
     """(claim, passage, score) of the passages in blocks(claim, cell), over common terms."""
     met = asked.select(c, "term").join(blocks.select(c, F.col("cell").alias("block")), c)
@@ -203,7 +215,8 @@ def surviving_blocks(
         highest = F.row_number().over(Window.partitionBy(c).orderBy(F.desc("bound"), "cell"))
         above = cells(0, unsure).withColumn("_r", highest).where(F.col("_r") <= FIRST_BLOCKS)
         blocks = cells(1, unsure, above).withColumn("_r", highest).where(F.col("_r") <= FIRST_BLOCKS)
-        first = first.unionByName(common_scores(asked, index, blocks, c)).groupBy(c, p).agg(F.max("score").alias("score"))
+        more = _best(common_scores(asked, index, blocks, c), c, p, k).drop("rank")
+        first = first.unionByName(more).groupBy(c, p).agg(F.max("score").alias("score"))
         first = materialise(_best(first, c, p, k).drop("rank"), "first-blocks")
         kth = first.groupBy(c).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_kth"))
         open_ = open_.select(c).join(kth, c, "left").select(c, F.when(F.col("_n") >= k, F.col("_kth")).alias("_kth"))
